@@ -4,14 +4,14 @@ A join of (document, piece) pairs with corpus-wide values of the pieces shuffles
 pieces of a *block* (some thousand documents) once; only those distinct pieces travel, dealt by a hash into *parts*, and what
 comes back to the block is one value array per part. The documents' own numbers stay in one compressed row per block.
 
-Table ``blocks``: per block one row with part = -1 (docs: the compressed numbers) and one row per part with its distinct
-pieces. All parts' pieces of a block, concatenated in part order, are numbered 0, 1, 2, ... in the documents' rows.
+Table ``blocks`` (block, part, data): per block one row with part -1 (the documents) and one row per part with its distinct pieces
+and their training counts. The pieces of a block, in part order, are numbered 0, 1, 2, ... in the documents' row.
 """
 
 from __future__ import annotations
 
 import random
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,25 +22,47 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.scratch import spread, written
 
-BLOCK_SCHEMA = "block long, part int, pieces array<binary>, counts array<long>, docs binary"
+#: Stands for a null id inside the documents' rows.
+NULL_ID = -(2**63)
+
+
+def squeeze(*arrays: np.ndarray, more: bytes = b"") -> bytes:
+    """Arrays of int32 (and bytes after them) to one zstd frame; bytes of equal weight lie together, as most high ones are zero."""
+    planes = [np.ascontiguousarray(a, np.int32).view(np.uint8).reshape(-1, 4).T.tobytes() for a in arrays]
+    return zstandard.compress(np.array([len(arrays), *map(len, arrays)], np.int32).tobytes() + b"".join(planes) + more, 1)
+
 
+def unsqueeze(data: bytes) -> tuple[list[np.ndarray], bytes]:
+    raw = zstandard.decompress(data)
+    count = int(np.frombuffer(raw, np.int32, 1)[0])
+    sizes, at, out = np.frombuffer(raw, np.int32, count, 4), 4 + 4 * count, []
+    for n in sizes.tolist():
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n, at).reshape(4, n).T).view(np.int32).ravel())
+        at += 4 * n
+    return out, raw[at:]
 
-def squeeze(*arrays: np.ndarray) -> bytes:
-    """Arrays of int32 to one zstd frame."""
-    head = np.array([len(arrays), *map(len, arrays)], np.int32)
-    return zstandard.compress(b"".join([head.tobytes(), *[np.ascontiguousarray(a, np.int32).tobytes() for a in arrays]]), 1)
 
+def longs(a: Iterable[int]) -> np.ndarray:
+    """int64 as twice as many int32, for ``squeeze``."""
+    return np.array(a, np.int64).view(np.int32)
+
+
+def as_longs(a: np.ndarray) -> np.ndarray:
+    return a.view(np.int64)
+
+
+def ids_of(a: np.ndarray) -> list[int | None]:
+    return [None if i == NULL_ID else i for i in as_longs(a).tolist()]
 
-def unsqueeze(data: bytes) -> list[np.ndarray]:
-    flat = np.frombuffer(zstandard.decompress(data), np.int32)
-    sizes = flat[1 : 1 + flat[0]]
-    ends = 1 + flat[0] + np.cumsum(sizes)
-    return [flat[e - n : e] for e, n in zip(ends, sizes, strict=True)]
 
+def pack_pieces(pieces: list[bytes], counts: Iterable[int]) -> bytes:
+    return squeeze(np.fromiter(map(len, pieces), np.int32, len(pieces)), longs(counts), more=b"".join(pieces))
 
-def longs(a: np.ndarray) -> np.ndarray:
-    """int64 as twice as many int32, for ``squeeze``; ``.view(np.int64)`` on the copy goes back."""
-    return np.ascontiguousarray(a, np.int64).view(np.int32)
+
+def unpack_pieces(data: bytes) -> tuple[list[bytes], np.ndarray]:
+    (sizes, counts), flat = unsqueeze(data)
+    ends = np.cumsum(sizes, dtype=np.int64).tolist()
+    return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)], as_longs(counts)
 
 
 def parts_for(df: DataFrame, bytes_each: int = 32 << 20, most: int = 20_000) -> int:
@@ -49,99 +71,104 @@ def parts_for(df: DataFrame, bytes_each: int = 32 << 20, most: int = 20_000) ->
     return int(min(most, max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // bytes_each)))
 
 
-def make_blocks(df: DataFrame, pieces_of: Callable, parts: int, most_pieces: int = 2_000_000) -> DataFrame:
-    """``df``: _id, _text. ``pieces_of(_id, text bytes) -> (list of bytes, bool)``: a document's pieces in order and whether they count.
+def make_blocks(df: DataFrame, pieces_of: Callable[[str], list[bytes]], parts: int, sequences: bool, most_pieces: int = 1_000_000) -> DataFrame:
+    """``df``: _id, _text (not null), _learn (its pieces count). ``pieces_of`` gives a text's pieces in order.
 
-    The documents' row has arrays ids (as longs), ends (running number of pieces) and numbers, each sequence in order.
-    A block ends with the document that brings it to ``most_pieces``; its id is random, which is safe as the table is written.
+    The documents' row has the arrays ids (longs), sizes (longs: bytes of the text), learn (0/1), ends (running number of entries),
+    numbers and, unless ``sequences``, times. With ``sequences`` an entry is a piece in its place, else a distinct piece of the
+    document (numbers ascending, kept as differences) and how often it occurs. A block ends with the document that brings it to
+    ``most_pieces`` pieces. Its id is random, which is safe as the table is written.
     """
 
-    def build(batches: Iterable[pa.RecordBatch]):
+    def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = random.SystemRandom()
         own: dict[bytes, int] = {}
-        ids, ends, numbers, train, total = [], [], [], [], 0
+        ids, sizes, learn, numbers = [], [], [], []
+        total = 0
 
         def done():
-            keys = np.empty(len(own), object)
-            keys[:] = list(own)
-            part = np.fromiter((xxhash.xxh32_intdigest(k) % parts for k in own), np.int32, len(own))
+            keys = list(own)
+            part = np.fromiter((xxhash.xxh32_intdigest(k) % parts for k in keys), np.int32, len(keys))
             order = np.argsort(part, kind="stable")
-            new = np.empty(len(own), np.int32)
-            new[order] = np.arange(len(own), dtype=np.int32)
-            flat = np.concatenate(numbers) if numbers else np.zeros(0, np.int32)
-            counted = np.repeat(np.array(train, bool), np.diff(np.array([0, *ends])))
-            counts = np.bincount(flat[counted], minlength=len(own))
+            new = np.empty(len(keys), np.int32)
+            new[order] = np.arange(len(keys), dtype=np.int32)
+            counts = np.zeros(len(keys), np.int64)
+            for flag, n in zip(learn, numbers, strict=True):
+                if flag:
+                    np.add.at(counts, n, 1) if len(n) < 2000 else np.add(counts, np.bincount(n, minlength=len(keys)), out=counts)
+            if sequences:
+                entries, times = [new[n] for n in numbers], None
+            else:
+                found = [np.unique(new[n], return_counts=True) for n in numbers]
+                entries, times = [np.diff(e, prepend=0) for e, _ in found], np.concatenate([t for _, t in found])
+            ends = np.cumsum([len(e) for e in entries])
+            docs = squeeze(longs(ids), longs(sizes), np.array(learn), ends, np.concatenate(entries), *([] if times is None else [times]))
             cuts = np.searchsorted(part[order], np.arange(parts + 1))
-            block, full = rng.getrandbits(62), np.flatnonzero(np.diff(cuts))
-            keys, counts = keys[order], counts[order]
-            docs = squeeze(longs(np.array(ids)), np.array(ends), new[flat])
-            rows = [(block, -1, None, None, docs)] + [(block, int(p), keys[cuts[p] : cuts[p + 1]].tolist(), counts[cuts[p] : cuts[p + 1]].tolist(), None) for p in full]
-            for at in range(0, len(rows), 64):
-                cols = list(zip(*rows[at : at + 64], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary()), strict=True)], names=["block", "part", "pieces", "counts", "docs"])
-            own.clear(), ids.clear(), ends.clear(), numbers.clear(), train.clear()
+            block, full = rng.getrandbits(62), np.flatnonzero(np.diff(cuts)).tolist()
+            order_, counts = order.tolist(), counts[order]
+            rows = [(block, -1, docs)] + [(block, p, pack_pieces([keys[k] for k in order_[cuts[p] : cuts[p + 1]]], counts[cuts[p] : cuts[p + 1]])) for p in full]
+            own.clear(), ids.clear(), sizes.clear(), learn.clear(), numbers.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["block", "part", "data"])
 
         for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                pieces, counts = pieces_of(i, text)
+            for i, text, flag in zip(*[batch.column(c).to_pylist() for c in range(3)], strict=True):
+                pieces = pieces_of(text)
                 for p in pieces:
                     if p not in own:
                         own[p] = len(own)
                 numbers.append(np.fromiter(map(own.__getitem__, pieces), np.int32, len(pieces)))
+                ids.append(NULL_ID if i is None else i), sizes.append(len(text.encode())), learn.append(int(flag))
                 total += len(pieces)
-                ids.append(NULL_ID if i is None else i), ends.append(total), train.append(counts)
                 if total >= most_pieces:
                     yield from done()
                     total = 0
         if ids:
             yield from done()
 
-    return written(df.select("_id", "_text").mapInArrow(build, BLOCK_SCHEMA), "blocks")
+    return written(df.select("_id", "_text", "_learn").mapInArrow(build, "block long, part int, data binary"), "blocks")
 
 
-#: Stands for a null id inside the documents' rows.
-NULL_ID = -(2**63)
+def asked(blocks: DataFrame, parts: int) -> DataFrame:
+    """The pieces' rows, dealt by part."""
+    return spread(blocks.where("part >= 0"), parts, "part")
 
 
-def ids_of(a: np.ndarray) -> list[int | None]:
-    return [None if i == NULL_ID else i for i in a.copy().view(np.int64).tolist()]
+def answered(rows: DataFrame, answer: Callable) -> DataFrame:
+    """``answer`` makes of (block, part, data) batches tuples (block, part, bytes of a ``squeeze``)."""
 
+    def run(batches):
+        for batch in batches:
+            out = list(answer(*[batch.column(c).to_pylist() for c in range(3)]))
+            cols = list(zip(*out, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["block", "part", "data"])
 
-def asked(blocks: DataFrame, parts: int) -> DataFrame:
-    """The pieces' rows, dealt by part."""
-    return spread(blocks.where("part >= 0").select("block", "part", "pieces", "counts"), parts, "part")
+    return rows.mapInArrow(run, "block long, part int, data binary")
 
 
-def with_answers(blocks: DataFrame, answers: DataFrame, columns: dict[str, type], rows_of: Callable, schema: str) -> DataFrame:
+def with_answers(blocks: DataFrame, answers: DataFrame, rows_of: Callable, schema: str) -> DataFrame:
     """Joins value arrays back to the blocks' documents.
 
-    ``answers``: block, part and one array column per entry of ``columns`` (numpy type). ``rows_of(ids, ends, numbers, values)``
-    gives a RecordBatch of ``schema`` for one block; values[name][number] is a piece's value.
+    ``rows_of(docs, values)`` gives RecordBatches of ``schema`` for one block: the arrays of its documents' row, and its answers'
+    arrays over all its pieces.
     """
-    names = list(columns)
-    docs = blocks.where("part = -1").select("block", "part", "docs", *[F.lit(None).cast(answers.schema[c].dataType).alias(c) for c in names])
-    rows = answers.select("block", "part", F.lit(None).cast("binary").alias("docs"), *names).unionByName(docs)
-    rows = rows.repartition("block").sortWithinPartitions("block", "part")
+    rows = blocks.where("part = -1").unionByName(answers).repartition("block").sortWithinPartitions("block", "part")
 
     def finish(batches):
-        held, docs_, got = None, None, []
+        held, docs, got = None, None, []
 
         def done():
-            ids, ends, numbers = unsqueeze(docs_)
-            values = {c: np.concatenate([g[k] for g in got]) if got else np.zeros(0, columns[c]) for k, c in enumerate(names)}
-            return rows_of(ids_of(ids), ends, numbers, values)
+            return rows_of(docs, [np.concatenate(x) for x in zip(*got, strict=True)])
 
         for batch in batches:
-            at = {c: batch.column(batch.schema.get_field_index(c)) for c in ("block", "part", "docs", *names)}
-            for k, (block, part) in enumerate(zip(at["block"].to_pylist(), at["part"].to_pylist(), strict=True)):
+            for block, part, data in zip(*[batch.column(c).to_pylist() for c in range(3)], strict=True):
                 if block != held:
                     if held is not None:
                         yield from done()
                     held, got = block, []
                 if part < 0:
-                    docs_ = at["docs"][k].as_py()
+                    docs = unsqueeze(data)[0]
                 else:
-                    got.append([at[c][k].values.to_numpy(zero_copy_only=False).astype(columns[c]) for c in names])
+                    got.append(unsqueeze(data)[0])
         if held is not None:
             yield from done()
 

@@ -53,7 +53,8 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
         .agg(F.first("_keep").alias("_keep"), F.first("_n").alias("_n"), F.count(F.lit(1)).alias("_texts"))
         .withColumn("_n", F.when(F.col("_texts") == 1, F.col("_n")).otherwise(F.raise_error(F.lit("two different texts agree in both digests"))))
     )
-    return digests.join(groups, ["_h", "_sha"]).select(
+    # written, so that both sides of the join are exchanges of their own and a hot group's side can be split
+    return digests.join(written(groups, "exact-groups"), ["_h", "_sha"]).select(
         F.col("_id").alias(id_col),
         F.col("_keep").alias("keep_id"),
         F.col("_n").alias("group_size"),

@@ -4,12 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corpusloom.llm.exact_dedup import exact_dedup
+from corpusloom.llm.hmm import hmm_score
+from corpusloom.llm.knn import top_k
+from corpusloom.llm.language_id import identify_language
 from corpusloom.llm.mixing import mix_sources
+from corpusloom.llm.near_dedup import near_dedup
 from corpusloom.llm.packing import pack_best_fit
+from corpusloom.llm.secrets import scan_secrets
 from corpusloom.llm.token_counts import count_tokens
+from corpusloom.llm.toxicity import score_toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,10 +27,42 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_best_fit(documents(spark, sf_dir))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(documents(spark, sf_dir))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op5_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_score(documents(spark, sf_dir), train_on=F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) != 2)
+
+
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), queries=F.col("vec_id") % 20 == 0)
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(documents(spark, sf_dir))
+    of_kind = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", of_kind("assign"), of_kind("access"), of_kind("hex"), F.sha2(joined("base_spans").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
+def joined(spans: str) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rest = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
+    found = identify_language(documents(spark, sf_dir), train_on=rest != 0)
+    return found.select("doc_id", (F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir))
 
@@ -40,9 +79,16 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_toxicity": op2_toxicity,
+    "op3_near_dedup": op3_near_dedup,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_hmm_scores": op5_hmm_scores,
+    "op6_exact_top_k": op6_exact_top_k,
+    "op7_secret_scan": op7_secret_scan,
+    "op8_language_id": op8_language_id,
     "op9_token_counts": op9_token_counts,
     "op10_mix_sources": op10_mix_sources,
+    "pipeline": pipeline,
 }
 
 OP4_SQL = r"""
@@ -81,4 +127,17 @@ WITH d AS (
 SELECT doc_id, size, words AS source_size, target, ((certain + CASE WHEN rest > 0 AND run - size / 2.0 <= rest THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM r
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op10_mix_sources": OP10_SQL}
+OP6_SQL = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM p
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+ORACLE_SQL: dict[str, str] = {"op6_exact_top_k": OP6_SQL, "op4_exact_dedup": OP4_SQL, "op10_mix_sources": OP10_SQL}

@@ -13,8 +13,9 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from corpusloom.llm.blocks import asked, make_blocks, parts_for, with_answers
+from corpusloom.llm.blocks import answered, as_longs, asked, ids_of, make_blocks, parts_for, squeeze, unpack_pieces, with_answers
 from corpusloom.llm.scratch import free_name, id_and_text
 
 #: Fixed value: the pre-token pattern of byte-level BPE.
@@ -62,40 +63,31 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts have no tokens. Null ids and repeated rows are returned as they come; other columns are ignored; a result column
     that would clash with the id column gets an underscore. An empty table gives an empty result.
     """
-    rows = id_and_text(df, id_col, text_col)
+    rows = id_and_text(df, id_col, text_col).withColumn("_learn", F.lit(False))
     parts = parts_for(rows)
     split = _Lazy(path)
+    blocks = make_blocks(rows, lambda text: [p.encode() for p in split()(text)], parts, sequences=False)
 
-    def pieces_of(_, text):
-        return [p.encode() for p in split()(text.decode())], True
-
-    blocks = make_blocks(rows, pieces_of, parts)
-
-    def answer(batches):
+    def answer(block_ids, part_ids, packed):
         known: dict[bytes, int] = {}
-        for batch in batches:
-            lists = batch.column(2)
-            flat = lists.values if isinstance(lists, pa.ListArray) else lists.flatten()
-            pieces = lists.flatten().to_pylist()
-            new = [p for p in dict.fromkeys(pieces) if p not in known]
+        for block, part, data in zip(block_ids, part_ids, packed, strict=True):
+            pieces, _ = unpack_pieces(data)
+            new = [p for p in pieces if p not in known]
             known.update(zip(new, split().count([p.decode() for p in new]), strict=True))
-            sizes = np.fromiter(map(known.__getitem__, pieces), np.int32, len(pieces))
-            bytes_ = np.fromiter(map(len, pieces), np.int32, len(pieces))
-            del flat
-            offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in lists])]), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, sizes), pa.ListArray.from_arrays(offsets, bytes_)], names=["block", "part", "tokens", "bytes"])
-
-    answers = asked(blocks, parts).mapInArrow(answer, "block long, part int, tokens array<int>, bytes array<int>")
-
-    def rows_of(ids, ends, numbers, values):
-        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-        sums = []
-        for c in ("bytes", "tokens"):
-            run = np.concatenate([[0], np.cumsum(values[c][numbers], dtype=np.int64)])
-            sums.append(run[ends] - run[starts])
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[1] > limit)], names=["_id", "n_bytes", "n_tokens", "over_limit"])
-
-    counted = with_answers(blocks, answers, {"tokens": np.int64, "bytes": np.int64}, rows_of, "_id long, n_bytes long, n_tokens long, over_limit boolean")
+            yield block, part, squeeze(np.fromiter(map(known.__getitem__, pieces), np.int32, len(pieces)))
+
+    def rows_of(docs, values):
+        ids, sizes, _, ends, steps, times = docs
+        starts = np.concatenate([[0], ends[:-1]])
+        # differences start anew with each document
+        run = np.cumsum(steps, dtype=np.int64)
+        before = np.concatenate([[0], run])[starts]
+        numbers = run - np.repeat(before, np.diff(ends, prepend=0))
+        tokens = np.concatenate([[0], np.cumsum(values[0][numbers].astype(np.int64) * times if values else [], dtype=np.int64)])
+        counts = tokens[ends] - tokens[starts]
+        yield pa.RecordBatch.from_arrays([pa.array(ids_of(ids), pa.int64()), pa.array(as_longs(sizes)), pa.array(counts), pa.array(counts > limit)], names=["_id", "n_bytes", "n_tokens", "over_limit"])
+
+    counted = with_answers(blocks, answered(asked(blocks, parts), answer), rows_of, "_id long, n_bytes long, n_tokens long, over_limit boolean")
     return counted.select(counted._id.alias(id_col), *[counted[c].alias(free_name(c, [id_col])) for c in ("n_bytes", "n_tokens", "over_limit")])
 
 
