@@ -1,14 +1,12 @@
 """Toxicity grades by cumulative-link ordinal regression on sparse text features.
 
 P(grade > k) = logistic(w . x - t_k): one weight vector shared by all thresholds, which are kept in order. Features are the
-distinct words of a text, hashed. The weights are fitted with an L1 penalty, so words that say nothing weigh nothing however
+distinct words of a text and the pieces of those words, hashed. The weights are fitted with an L1 penalty, so words that say nothing weigh nothing however
 long a text is. Fitting runs on the driver on a bounded sample of graded rows; scoring reads every whole text.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -17,18 +15,34 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.scratch import free_name, id_and_text
 
-BITS = 18
+BITS = 20
+#: Lengths in bytes of the pieces of words that are features beside the words themselves.
+GRAMS = (4, 6)
+
+
+def slots_of_word(word: bytes) -> tuple[int, ...]:
+    """Hashed features of a word: itself and its pieces, so that inflected and unseen words are recognised by their stems."""
+    pieces = {word, *(word[k : k + n] for n in GRAMS for k in range(len(word) - n + 1))}
+    return tuple(xxhash.xxh32_intdigest(p) & ((1 << BITS) - 1) for p in pieces)
 
 
-def features(text: bytes) -> set[bytes]:
-    """Distinct words, A-Z lower-cased, without punctuation around them."""
-    words = {w.strip(b".,;:!?\"'()[]{}*") for w in set(text.lower().split())}
-    words.discard(b"")
-    return words
+class Features:
+    """Sorted distinct slots of a text's words: A-Z lower-cased, without punctuation around them. Words' slots are kept, up to a bound; with ``only``, just slots where it holds."""
 
+    def __init__(self, only: np.ndarray | None = None, most: int = 100_000) -> None:
+        class Words(dict):
+            def __missing__(self, word):
+                if len(self) >= most:
+                    self.clear()
+                found = slots_of_word(word.strip(b".,;:!?\"'()[]{}*#$%&+-_"))
+                self[word] = found = found if only is None else tuple(s for s in found if only[s])
+                return found
 
-def slot(word: bytes) -> int:
-    return xxhash.xxh32_intdigest(word) & ((1 << BITS) - 1)
+        self.words = Words()
+
+    def __call__(self, text: bytes) -> np.ndarray:
+        found = set().union(*map(self.words.__getitem__, set(text.lower().split())))
+        return np.sort(np.fromiter(found, np.int32, len(found)))
 
 
 def logistic(z):
@@ -46,15 +60,21 @@ class OrdinalModel:
         return logistic(np.asarray(score, float)[:, None] - self.thresholds)
 
 
-def fit(rows: list[np.ndarray], grades: list[int], grades_n: int, penalty: float = 2e-3, steps: int = 150, least_rows: int = 3) -> OrdinalModel:
-    """Proximal gradient (accelerated) on the mean negative log-likelihood; slots in fewer than ``least_rows`` rows get no weight."""
+def fit(rows: list[np.ndarray], grades: list[int], grades_n: int, penalty: float = 1e-4, steps: int = 400, least_rows: int = 3, most_slots: int = 20_000) -> OrdinalModel:
+    """Proximal gradient (accelerated) on the mean negative log-likelihood; only the ``most_slots`` slots
+    that tell rows of grade 0 from others best (chi-squared), and of those in ``least_rows`` rows or more, get a weight."""
     weights, y = np.zeros(1 << BITS), np.array(grades)
     counts = np.bincount(y, minlength=grades_n)
     tail = (len(y) - np.cumsum(counts)[:-1] + 0.5) / (np.cumsum(counts)[:-1] + 0.5)
     t = np.maximum.accumulate(-np.log(tail)) + 1e-3 * np.arange(grades_n - 1)
     at = np.concatenate(rows).astype(np.int64)
     of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    used = np.flatnonzero(np.bincount(at, minlength=1 << BITS) >= least_rows)
+    rows_n, high_n = np.bincount(at, minlength=1 << BITS), np.bincount(at[(y > 0)[of]], minlength=1 << BITS)
+    share = (y > 0).mean()
+    telling = (high_n - rows_n * share) ** 2 / np.maximum(rows_n * (1 - rows_n / len(y)), 1e-9)
+    telling[rows_n < least_rows] = 0
+    used = np.sort(np.argsort(-telling, kind="stable")[:most_slots])
+    used = used[telling[used] > 0]
     place = np.full(1 << BITS, -1)
     place[used] = np.arange(len(used))
     hit = place[at] >= 0
@@ -91,15 +111,16 @@ def graded_sample(df: DataFrame, labels: DataFrame, id_col: str, text_col: str,
     rows = id_and_text(df, id_col, text_col).join(F.broadcast(picked), "_id")  # at most 3 * per_class rows
 
     def slots(batches):
+        slots_of = Features()
         for batch in batches:
-            x = [np.array(sorted({slot(w) for w in features(t)}), np.int32).tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            x = [slots_of(t).tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(x, pa.binary())], names=["_id", "_y", "_slots"])
 
     found = rows.select("_id", "_text", "_y").mapInArrow(slots, "_id long, _y int, _slots binary").collect()
     return [(np.frombuffer(r._slots, np.int32), r._y) for r in sorted(found, key=lambda r: (r._id, r._slots))]
 
 
-def severity_grades(sample: list[tuple[np.ndarray, int]], least_odds: float = 3.0, steps: tuple[int, ...] = (3, 6)) -> list[int]:
+def severity_grades(sample: list[tuple[np.ndarray, int]], least_odds: float = 3.0, steps: tuple[int, ...] = (8, 20)) -> list[int]:
     """Grades from binary labels: 0 for clean rows; toxic rows by how many distinct marked features they hold.
 
     A feature is marked if its log odds between toxic and clean rows (counts plus a half) exceed ``least_odds``. Grade 1, plus
@@ -127,19 +148,13 @@ def score_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         model = fit([slots for slots, _ in sample], grades, max(grades) + 1)
     sent = df.sparkSession.sparkContext.broadcast(model)
 
-    class Weights(dict):
-        def __missing__(self, word):
-            if len(self) > 300_000:
-                self.clear()
-            w = self[word] = float(sent.value.weights[slot(word)])
-            return w
-
     def predict(batches):
-        weight, model = Weights(), sent.value
+        model = sent.value
+        slots_of = Features(model.weights != 0) if model else None
         for batch in batches:
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             if model:
-                above = model.above([math.fsum(map(weight.__getitem__, features(t))) for t in texts])
+                above = model.above([model.weights[slots_of(t)].sum() for t in texts])
             else:
                 above = np.zeros((len(texts), 1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((above >= 0.5).sum(1), pa.int32()), pa.array(above.sum(1)), pa.array(above[:, 0] >= 0.5)], names=["_id", "grade", "severity", "toxic"])
