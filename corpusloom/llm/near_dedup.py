@@ -3,10 +3,13 @@
 1. Every text becomes a set of 5-word shingles, k MinHash samples of it, b band keys over r samples each, and an odd sketch: a
    bitmap in which each sample flips one bit, so that the population count of the XOR of two sketches estimates how many samples
    differ. Equal texts (as word sequences) are one node from here on.
-2. Nodes that share a band key are candidates. Instead of all pairs of a bucket, its members are paired with one hub, the pairs are
-   screened by sketch and confirmed on the full sets, and the components of the confirmed links are found. A second round takes
-   other hubs, for members that are not in their hub's component.
-3. What is left in a bucket, pairs of members in different components, is compared without exception.
+2. Nodes that share a band key are candidates. Instead of all pairs of a bucket, its members are paired with its smallest one, the
+   pairs are screened by sketch and confirmed on the full sets, and the components of the confirmed links are found.
+3. Buckets whose members are in several components are left. A node there keeps only shingles that some node of another component
+   has, too: if these are too few for any link, it is out. This settles what merely shares passages or consists of edits.
+4. What is still left is compared without exception: nodes connected by buckets form families, families are cut into blocks of
+   bounded size, and for each two blocks of a family a task counts all intersections by matrix products and returns only as many
+   links as connect its nodes.
 
 So no candidate pair is lost: it was confirmed or refuted, or both its ends are in one component anyway. A pair with a similarity
 of 0.75 shares no band with probability (1 - 0.75**r)**b, 1.2e-6 here, and fails the screen with a probability below that.
@@ -168,6 +171,129 @@ def confirmed_links(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFra
     return pairs.join(two, "b").join(one, "a").select("a", "b", "_ta", "_tb").mapInArrow(overlap, "a long, b long")
 
 
+def _sizes_fit(a: str, b: str, percent: int):
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
+
+def _links_left(members: DataFrame, labels: DataFrame, texts: DataFrame, percent: int, block: int = 1024) -> DataFrame | None:
+    """Links between nodes of one bucket and different components, enough of them to connect what is linked. ``members``: key, node."""
+    placed = members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("_c"))
+    open_ = _open(placed)
+    if open_.isEmpty():
+        return None
+    nodes_ = open_.select("node", "_c").distinct()
+    sets = texts.join(nodes_.select(F.col("node").alias("_id")), "_id").mapInArrow(_hashed, "node long, _n long, _h array<long>")
+    sets = written(sets.dropDuplicates(["node", "_h"]), "near-sets")
+    for _ in range(2):
+        flat = sets.select("node", "_n", F.explode("_h").alias("_s")).join(open_.select("node", "_c").distinct(), "node")
+        crossing = written(flat.groupBy("_s").agg(F.min("_c").alias("_a"), F.max("_c").alias("_b")).where("_a < _b").select("_s"), "near-crossing")
+        useful = written(flat.join(crossing, "_s").groupBy("node", "_n").agg(F.collect_list("_s").alias("_h")), "near-useful")
+        own = open_.join(useful.select("node", "_n", F.size("_h").alias("_e")), "node")
+        least = own.groupBy("key").agg(F.min("_n").alias("_least"))
+        other = F.greatest(F.col("_least"), F.ceil(F.col("_n") * percent / 100))  # no partner is smaller
+        open_ = _open(own.join(least, "key").where(100 * F.col("_e") >= percent * (F.col("_n") + other - F.col("_e"))).select("key", "node", "_c"))
+        if open_.isEmpty():
+            return None
+    heads = written(open_.groupBy("key").agg(F.min("node").alias("_low")), "near-heads")
+    family = components(open_.join(heads, "key").where("node <> _low").select(F.col("_low").alias("a"), F.col("node").alias("b")))
+    family = written(family.withColumnRenamed("component", "_f"), "near-families")
+    sizes = family.groupBy("_f").agg(F.ceil(F.count(F.lit(1)) / block).alias("_blocks"))
+    dealt = family.join(sizes, "_f").withColumn("_b", F.pmod(F.xxhash64("node"), F.col("_blocks"))).join(open_.select("node", "_c").distinct(), "node").join(useful, "node")
+    # small families share a task; a block of a large one is a row group of its own
+    packed = dealt.repartition("_f", "_b").sortWithinPartitions("_f", "_b", "node").select("_f", "_b", "_blocks", "node", "_c", "_n", "_h").mapInArrow(_pack_blocks, "_f long, _b long, _blocks long, _data binary")
+    packed = written(packed, "near-blocks")
+    one, two = packed.select("_f", "_b", F.col("_data").alias("_one")), packed.where("_blocks > 1").select("_f", F.col("_b").alias("_b2"), F.col("_data").alias("_two"))
+    alone = one.select("_one", F.lit(None).cast("binary").alias("_two"))
+    across = one.join(two, "_f").where("_b < _b2").select("_one", "_two")
+    return alone.unionByName(across).repartition(F.xxhash64("_one", "_two")).mapInArrow(lambda it: _compare_blocks(it, percent), "a long, b long")
+
+
+def _open(placed: DataFrame) -> DataFrame:
+    """The rows of buckets with several components."""
+    several = written(placed.groupBy("key").agg(F.min("_c").alias("_x"), F.max("_c").alias("_y")).where("_x < _y").select("key"), "near-several")
+    return written(placed.join(several, "key"), "near-open")
+
+
+def _hashed(batches):
+    """node, number and hashes of its shingles."""
+    shingles = Shingles()
+    for batch in batches:
+        sets = [shingles(words_of(t)) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+        flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
+        ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["node", "_n", "_h"])
+
+
+def _pack_blocks(batches):
+    held, rows = None, []
+
+    def done():
+        nodes, comps, sizes, sets = zip(*rows, strict=True)
+        data = np.concatenate([[len(rows)], nodes, comps, sizes, [len(s) for s in sets], *sets]).astype(np.int64).tobytes()
+        return pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in held] + [pa.array([data], pa.binary())], names=["_f", "_b", "_blocks", "_data"])
+
+    for batch in batches:
+        sets = batch.column(6)
+        for k, row in enumerate(zip(*[batch.column(c).to_pylist() for c in range(6)], strict=True)):
+            if row[:3] != held:
+                if rows:
+                    yield done()
+                held, rows = row[:3], []
+            rows.append((*row[3:], np.sort(sets[k].values.to_numpy())))
+    if rows:
+        yield done()
+
+
+def _unpacked(data: bytes):
+    """nodes, components, sizes, hashes and the row of each hash."""
+    a = np.frombuffer(data, np.int64)
+    n = int(a[0])
+    nodes, comps, sizes, useful = (a[1 + k * n : 1 + (k + 1) * n] for k in range(4))
+    return nodes, comps, sizes, a[1 + 4 * n :], np.repeat(np.arange(n), useful)
+
+
+def _compare_blocks(batches, percent):
+    """Links between any two nodes of different components of one or two blocks; a spanning forest of them."""
+    for batch in batches:
+        out: list[tuple[int, int]] = []
+        for one, two in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            na, ca, sa, ha, ra = _unpacked(one)
+            nb, cb, sb, hb, rb = _unpacked(two) if two is not None else (na, ca, sa, ha, ra)
+            both = np.zeros((len(na), len(nb)), np.float32)
+            # only shingles that two rows have count; some thousand of them at a time
+            if two is None:
+                values, times = np.unique(ha, return_counts=True)
+                shared = values[times > 1]
+            else:
+                shared = np.intersect1d(ha, hb)
+            for at in range(0, len(shared), 4096):
+                some = shared[at : at + 4096]
+                x = _incidence(some, ha, ra, len(na))
+                both += x @ (x if two is None else _incidence(some, hb, rb, len(nb))).T
+            ok = (100 * both >= percent * (sa[:, None] + sb[None] - both)) & (ca[:, None] != cb[None])
+            root: dict[int, int] = {}
+
+            def find(v):
+                while root.get(v, v) != v:  # noqa: B023
+                    v = root[v]  # noqa: B023
+                return v
+
+            for i, j in zip(*np.nonzero(ok), strict=True):
+                x, y = find(int(ca[i])), find(int(cb[j]))
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    out.append((int(na[i]), int(nb[j])))
+        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+def _incidence(some: np.ndarray, hashes: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    at = np.minimum(np.searchsorted(some, hashes), len(some) - 1)
+    hit = some[at] == hashes
+    x = np.zeros((n, len(some)), np.float32)
+    x[rows[hit], at[hit]] = 1
+    return x
+
+
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """One row per input row: id, n_shingles, component_id, kept.
 
@@ -190,37 +316,18 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pe
     shared = written(shared, "near-buckets")  # so that a hot bucket's side of the join can be split
     members = written(slots.join(shared, "key"), "near-members")
 
-    texts = None
-    links = None
-    labels = None
-    for round_ in range(3):
-        if round_ == 0:
-            pairs = members.where("node <> _low").select(F.col("_low").alias("a"), F.col("node").alias("b"))
-        else:
-            placed = members.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("_c"))
-            mixed_ = placed.groupBy("key").agg(F.min("_c").alias("_first"), F.max("_c").alias("_last"), F.max_by("node", F.struct("_c", "node")).alias("_hub")).where("_first < _last")
-            left = written(placed.join(mixed_, "key"), "near-left")
-            if left.isEmpty():
-                break
-            if round_ == 1:
-                pairs = left.where("_c <> _last").select(F.col("_hub").alias("a"), F.col("node").alias("b"))
-            else:
-                sizes = left.join(own.select("node", "_n"), "node").select("key", "node", "_c", "_n")
-                other = sizes.select("key", F.col("node").alias("b"), F.col("_c").alias("_d"), F.col("_n").alias("_m"))
-                pairs = sizes.join(other, "key").where((F.col("_c") < F.col("_d")) & (100 * F.least("_n", "_m") >= percent * F.greatest("_n", "_m"))).select(F.col("node").alias("a"), "b")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        sketch = own.select("node", "_n", "_sketch")
-        pairs = pairs.join(sketch.toDF("a", "_na", "_sa"), "a").join(sketch.toDF("b", "_nb", "_sb"), "b")
-        pairs = pairs.where(100 * F.least("_na", "_nb") >= percent * F.greatest("_na", "_nb")).mapInArrow(_screen, "a long, b long").distinct()
-        pairs = written(pairs, "near-pairs")
-        if texts is None:
-            # only texts that are compared at all travel further
-            compared = members.select("node").distinct()
-            texts = written(rows.join(compared.withColumnRenamed("node", "_id"), "_id"), "near-texts")
-        found = confirmed_links(pairs, texts, percent).distinct()
-        links = found if links is None else links.unionByName(found)
+    pairs = members.where("node <> _low").select(F.col("_low").alias("a"), F.col("node").alias("b")).distinct()
+    sketch = own.select("node", "_n", "_sketch")
+    pairs = pairs.join(sketch.toDF("a", "_na", "_sa"), "a").join(sketch.toDF("b", "_nb", "_sb"), "b")
+    pairs = written(pairs.where(_sizes_fit("_na", "_nb", percent)).mapInArrow(_screen, "a long, b long"), "near-pairs")
+    # only texts that are compared at all travel further
+    compared = members.select(F.col("node").alias("_id")).distinct()
+    texts = written(rows.join(compared, "_id"), "near-texts")
+    labels = written(components(confirmed_links(pairs, texts, percent)), "near-labels")
+    more = _links_left(members.select("key", "node"), labels, texts, percent)
+    if more is not None:
+        links = labels.select(F.col("component").alias("a"), F.col("node").alias("b")).where("a <> b").unionByName(more)
         labels = written(components(links), "near-labels")
-        links = labels.select(F.col("component").alias("a"), F.col("node").alias("b")).where("a <> b")
     by_text = written(nodes.join(labels, "node", "left").select("_digest", F.coalesce("component", "node").alias("_component")), "near-components")
     out = signed.select("_id", "_n", F.when(F.col("_id").isNotNull(), F.col("_digest")).alias("_digest")).join(by_text, "_digest", "left")
     component = F.coalesce("_component", "_id")
