@@ -3,7 +3,7 @@
 Vectors are dealt to shards by a hash of their id. Each shard is a KD-tree: median splits along the widest side, down to small
 leaves with tight bounding boxes. A query visits leaves best first, by the largest inner product that a leaf's box allows, and
 stops at the first leaf whose bound is below its k-th best score. That k-th score is propagated: every query first meets one
-shard, and takes the k-th score found there to all others, of which it visits only those whose box may beat it. Queries travel
+shard, then some, then all others, and takes the k-th score so far along as the bound that a leaf has to reach. Queries travel
 in blocks of bounded size to shards of bounded size by an equi-join on the shard; the partial lists are merged per query.
 """
 
@@ -173,12 +173,21 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
         order = Window.partitionBy("_query").orderBy(F.desc("_score"), "_vec")
         return found.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k)
 
-    # at home: the k-th score there is a bound for everywhere else
-    first = asked.withColumn("_floor", F.lit(None).cast("long")).repartition("_shard").sortWithinPartitions("_shard", "_d", "_id").mapInArrow(blocks, block)
-    home = written(best(first.join(sets, ["_shard", "_d"]).mapInArrow(visit, result)).drop("_rank"), "knn-home")
-    kth = best(home).where(F.col("_rank") == k).select(F.col("_query").alias("_id"), F.col("_score").alias("_floor"))
-    rest = asked.join(kth, "_id", "left").repartition("_shard").sortWithinPartitions("_shard", "_d", "_id").mapInArrow(blocks, block)
-    rest = rest.withColumnRenamed("_shard", "_home").withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("_shard <> _home")
-    away = rest.join(sets, ["_shard", "_d"]).mapInArrow(visit, result)
+    # first the home shard, then about the square root of their number, then the others, each time with the k-th score so far as
+    # the bound: a query's partial lists stay near k * sqrt(shards) rows altogether
+    found, near = None, min(shards, 1 + int(np.ceil(np.sqrt(shards - 1))))
+    for first, end in ((0, 1), (1, near), (near, shards)):
+        if first >= end:
+            continue
+        if found is None:
+            floors = asked.withColumn("_floor", F.lit(None).cast("long"))
+        else:
+            kth = found.where(F.col("_rank") == k).select(F.col("_query").alias("_id"), F.col("_score").alias("_floor"))
+            floors = asked.join(kth, "_id", "left")
+        packed_ = floors.repartition("_shard").sortWithinPartitions("_shard", "_d", "_id").mapInArrow(blocks, block)
+        step = F.explode(F.sequence(F.lit(first), F.lit(end - 1))).alias("_step")
+        visits = packed_.select("*", step).withColumn("_shard", F.pmod(F.col("_shard") + F.col("_step"), F.lit(shards)))
+        more = visits.join(sets, ["_shard", "_d"]).mapInArrow(visit, result)
+        found = written(best(more if found is None else found.drop("_rank").unionByName(more)), "knn-best")
     names = [free_name(n, [id_col]) for n in ("query_id", "rank", "score")]
-    return best(home.unionByName(away)).select(F.col("_query").alias(names[0]), F.col("_rank").cast("int").alias(names[1]), F.col("_vec").alias(id_col), F.col("_score").alias(names[2]))
+    return found.select(F.col("_query").alias(names[0]), F.col("_rank").cast("int").alias(names[1]), F.col("_vec").alias(id_col), F.col("_score").alias(names[2]))
