@@ -38,7 +38,8 @@ def window_counts(docs: DataFrame, width: int, keys: Iterable[str] = ("document_
 
     An occurrence at p is in windows p - width .. p + width; it adds those that the token's previous occurrence has not covered.
     """
-    flat = docs.select(*keys, F.monotonically_increasing_id().alias("_doc"), F.size(tokens).alias("_n"), F.posexplode(tokens).alias("_p", "token")).where(F.col("token") != pad)
+    numbered = docs.withColumn("_doc", F.monotonically_increasing_id())  # before the explosion, so that a document has one number
+    flat = numbered.select(*keys, "_doc", F.size(tokens).alias("_n"), F.posexplode(tokens).alias("_p", "token")).where(F.col("token") != pad)
     before = F.lag("_p").over(Window.partitionBy("_doc", "token").orderBy("_p"))
     first = F.greatest(F.lit(0), F.col("_p") - width, F.coalesce(before + width + 1, F.lit(0)))
     last = F.least(F.col("_n") - 1, F.col("_p") + width)

@@ -30,8 +30,9 @@ def sub_network(edges: DataFrame, threshold: float) -> DataFrame:
 def _adjacency(pdf: pd.DataFrame) -> dict:
     near: dict = {}
     for s, t, w in zip(pdf["source"], pdf["target"], pdf["weight"], strict=True):
-        near.setdefault(s, {})[t] = near.setdefault(s, {}).get(t, 0) + w
-        near.setdefault(t, {})[s] = near[t].get(s, 0) + w if s != t else near[t].get(s, 0)
+        for x, y in {(s, t), (t, s)}:
+            own = near.setdefault(x, {})
+            own[y] = own.get(y, 0) + w
     return near
 
 
@@ -125,4 +126,4 @@ def louvain(edges: DataFrame, seed: int = 1) -> DataFrame:
         return pd.DataFrame({"id": sorted(names), "community": [codes[names[v]] for v in sorted(names)]})
 
     rows = edges.select(F.col("source").cast("string").alias("source"), F.col("target").cast("string").alias("target"), F.col("weight").cast("double").alias("weight"))
-    return rows.groupBy(F.lit(1)).applyInPandas(run, "id string, community long")
+    return rows.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(run, "id string, community long")

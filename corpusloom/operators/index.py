@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.sources.scratch import written
+
 #: Years per period of the named temporal keys.
 PERIODS = {"year": 1, "lustrum": 5, "decade": 10}
 
@@ -26,16 +28,17 @@ def dense_ids(df: DataFrame, by: list[str], name: str = "document_id") -> DataFr
     """Adds strictly increasing ids 0, 1, 2, ... in the order of ``by``.
 
     Rows are range-partitioned and counted per partition, so no task sees them all: an id is the rank in its partition plus
-    the counts of the partitions before, a table with one row per partition.
+    the counts of the partitions before, a table with one row per partition. The ranges come from a sample, so the partitioned
+    rows are written: read twice, they must be the same.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *by).withColumn("_part", F.spark_partition_id())
+    ranged = written(df.repartitionByRange(n, *by).withColumn("_part", F.spark_partition_id()), "ranged")
     local = ranged.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(*by)))
     before = ranged.groupBy("_part").count().withColumn("_before", F.sum("count").over(Window.orderBy("_part")) - F.col("count")).select("_part", "_before")
     return local.join(F.broadcast(before), "_part").withColumn(name, (F.col("_before") + F.col("_rank") - 1).cast("long")).drop("_part", "_rank", "_before")
 
 
-def is_strictly_increasing(df: DataFrame, id_col: str = "document_id") -> Column:
+def is_strictly_increasing(id_col: str = "document_id") -> Column:
     """An aggregate expression: ids are 0 .. n-1, each once."""
     return (F.count(F.lit(1)) == F.count_distinct(id_col)) & (F.coalesce(F.min(id_col), F.lit(0)) == 0) & (F.coalesce(F.max(id_col), F.lit(-1)) == F.count(F.lit(1)) - 1)
 

@@ -91,7 +91,7 @@ def hierarchical_clusters(df: DataFrame, name: str, column: str, n_top: int, by:
         points = np.stack(pdf["v"].map(np.asarray))
         return pd.DataFrame({"name": pdf["name"], "cluster": cut(linkage(points, method, metric), len(points), threshold)})
 
-    return top.groupBy(F.lit(1)).applyInPandas(run, "name string, cluster long")
+    return top.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(run, "name string, cluster long")
 
 
 def document_vectors(dtm: Dtm) -> tuple[DataFrame, DataFrame]:

@@ -1,10 +1,11 @@
-"""Registry of the named queries and of their DuckDB equivalents."""
+"""All named queries of the library and their DuckDB equivalents."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from corpusloom.plans import matrices, networks, pairs, texts
+from corpusloom.plans.tables import SQL, Q
 
-from pyspark.sql import DataFrame, SparkSession
+__all__ = ["ORACLE_SQL", "QUERIES", "matrices", "networks", "pairs", "texts"]
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = Q
+ORACLE_SQL = SQL
