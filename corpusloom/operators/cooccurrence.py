@@ -43,7 +43,7 @@ def window_counts(docs: DataFrame, width: int, keys: Iterable[str] = ("document_
     before = F.lag("_p").over(Window.partitionBy("_doc", "token").orderBy("_p"))
     first = F.greatest(F.lit(0), F.col("_p") - width, F.coalesce(before + width + 1, F.lit(0)))
     last = F.least(F.col("_n") - 1, F.col("_p") + width)
-    return flat.withColumn("_new", (last - first + 1).cast("long")).groupBy(*keys, "token").agg(F.sum("_new").alias("n_windows"))
+    return flat.withColumn("_new", F.greatest(last - first + 1, F.lit(0)).cast("long")).groupBy(*keys, "token").agg(F.sum("_new").alias("n_windows"))
 
 
 def concept_pairs(docs: DataFrame, width: int, concepts: tuple[str, ...], keys: Iterable[str] = ("document_id",), tokens: str = "tokens", ignore_concept: bool = False) -> DataFrame:
