@@ -1,0 +1,119 @@
+import base64
+import gzip
+import re
+import zlib
+from urllib.parse import quote
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from corpusloom.llm.knn import Tree, top_k
+from corpusloom.llm.secrets import all_spans, base_spans, scan_secrets
+from tests.llm.helpers import AWKWARD, awkward, empty
+
+KEY = "AKIA" + "ABCDEFGHIJKLMNOP"
+
+
+def plain(text):
+    """The contract, read literally: greedy matches, then failing ones dropped."""
+    out = []
+    for m in re.finditer(r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD])|(?:[pP][aA][sS][sS][wW][dD])|(?:[sS][eE][cC][rR][eE][tT])|(?:[tT][oO][kK][eE][nN])|(?:[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
+        if len(m[2]) >= 6:
+            out.append((m.start(), m.end(), 0))
+    out += [(m.start(), m.end(), 1) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    out += [(m.start(), m.end(), 2) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(out)
+
+
+def test_base_spans_as_brute_force():
+    rng = np.random.default_rng(0)
+    parts = ["password", "Token", "api_key", "apikey", "=", ":", " ", '"', "'", "abc", "123456", "AKIA", "ABCDEFGHIJKLMNOP", "0123456789abcdef", "é", "secret", "ſecret", "\n", "passwd"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts, rng.integers(1, 14)))
+        assert sorted(base_spans(text)) == plain(text), text
+
+
+def found_text(text):
+    return {(k, text[a:b]) for a, k, b in all_spans(text)}
+
+
+def test_layers_map_to_the_original_text():
+    inner = f"x password=hunter22 {KEY} y"
+    for wrap in (quote(inner), "".join(f"\\u{ord(c):04x}" for c in inner), "".join(f"&#{ord(c)};" for c in inner)):
+        text = f"Ünicode before {wrap} after"
+        kinds = {k for _, k, _ in all_spans(text)}
+        assert kinds == {0, 1}
+        for a, k, b in all_spans(text):
+            assert "before" not in text[a:b] and "after" not in text[a:b]
+    packed = base64.b64encode(gzip.compress(inner.encode())).decode()
+    text = f"data {packed} end"
+    assert found_text(text) == {(0, packed), (1, packed)}
+    twice = base64.b64encode(quote(base64.b64encode(zlib.compress(inner.encode())).decode(), safe="").encode()).decode()
+    assert found_text(f"é {twice}") == {(0, twice), (1, twice)}
+
+
+def test_partial_decoding_extends_a_match():
+    text = "token=abc%64ef123 rest"
+    assert all_spans(text) == [(0, 0, len("token=abc%64ef123"))]
+    assert list(base_spans(text)) == []
+
+
+def test_worklist_ends():
+    text = "%25" * 50 + "%2525252541" + "\\u005cu0041"
+    assert all_spans(text) == []
+    assert all_spans(base64.b64encode(b"A" * 3000).decode()) == []
+
+
+def test_scan(spark):
+    text = f"é token = 'abcdef12' {KEY}"
+    rows = [(1, text), (2, None), (3, "")]
+    found = {r.doc_id: r for r in scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(s.kind, s.start, s.end) for s in found[1].spans] == [("assign", 2, 19), ("access", 21, 41)]
+    assert found[1].base_spans == found[1].spans and found[2].spans == [] and found[3].spans == []
+    assert scan_secrets(awkward(spark)).count() == len(AWKWARD)
+    assert scan_secrets(empty(spark)).count() == 0
+
+
+def brute(vectors, queries, k):
+    out = set()
+    for q, qv in vectors:
+        if q in queries:
+            scores = sorted((-int(np.dot(qv, v)), i) for i, v in vectors if i != q)[:k]
+            out |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(scores)}
+    return out
+
+
+def test_top_k_as_brute_force(spark):
+    rng = np.random.default_rng(2)
+    points = [(int(i), rng.normal(0, 0.3, 12).astype(np.float32).tolist()) for i in range(700)]
+    points += [(1000 + i, [0.5] * 12) for i in range(60)]  # ties
+    bad = [(5000, None), (5001, [0.1] * 11 + [None]), (5002, [float("nan")] * 12), (5003, [float("inf")] * 12), (None, [0.1] * 12)]
+    df = spark.createDataFrame(points + bad, "vec_id long, embedding array<float>")
+    found = {tuple(r) for r in top_k(df, queries=F.col("vec_id") % 20 == 0, shard_rows=90, block_rows=7).select("query_id", "rank", "vec_id", "score").collect()}
+    whole = [(i, np.floor(64 * np.array(v, np.float32).astype(float)).astype(int)) for i, v in points]
+    assert found == brute(whole, {i for i, _ in points if i % 20 == 0}, 20)
+
+
+def test_top_k_few_and_none(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [0.5, -1.0]), (3, [1.0])], "vec_id long, embedding array<double>")
+    rows = {tuple(r) for r in top_k(df.selectExpr("*", "1 AS rank", "1 AS score")).select("query_id", "rank", "vec_id", "score").collect()}
+    assert rows == {(1, 1, 2, 64 * 32 - 128 * 64), (2, 1, 1, 64 * 32 - 128 * 64)}
+    assert top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_tree_bounds_hold_and_large_numbers_stay_exact():
+    rng = np.random.default_rng(3)
+    points = rng.integers(-50, 50, (500, 6))
+    tree = Tree(np.arange(500), points)
+    queries = rng.integers(-50, 50, (20, 6))
+    limits = tree.bounds(queries)
+    for leaf, (a, b) in enumerate(zip(tree.starts, tree.ends, strict=True)):
+        assert ((queries @ tree.points[a:b].T).max(1) <= limits[:, leaf]).all()
+    assert sorted(tree.ids.tolist()) == list(range(500))
+
+
+def test_huge_components(spark):
+    df = spark.createDataFrame([(1, [3e7, 1.0]), (2, [2e7, 1e7]), (3, [-1e7, 5.0])], "vec_id long, embedding array<double>")
+    v = {1: [64 * 30_000_000, 64], 2: [64 * 20_000_000, 640_000_000], 3: [-640_000_000, 320]}
+    for r in top_k(df).collect():
+        assert r.score == sum(a * b for a, b in zip(v[r.query_id], v[r.vec_id], strict=True))
