@@ -66,8 +66,12 @@ def unpack_pieces(data: bytes) -> tuple[list[bytes], np.ndarray]:
 
 
 def parts_for(df: DataFrame, bytes_each: int = 32 << 20, most: int = 20_000) -> int:
-    """Number of parts: follows the size of the input as the optimizer knows it, at least the session's shuffle partitions."""
+    """Number of parts: follows the size of the input where the optimizer knows it, at least the session's shuffle partitions.
+
+    Sizes that it makes up (of local rows, or products of both sides of a join) are beyond any input and do not count.
+    """
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    size = size if size < 1 << 50 else 0
     return int(min(most, max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // bytes_each)))
 
 
