@@ -178,7 +178,7 @@ def _sizes_fit(a: str, b: str, percent: int):
 def _links_left(members: DataFrame, labels: DataFrame, texts: DataFrame, percent: int, block: int = 1024) -> DataFrame | None:
     """Links between nodes of one bucket and different components, enough of them to connect what is linked. ``members``: key, node."""
     placed = members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("_c"))
-    open_ = _open(placed)
+    open_ = _open(written(placed, "near-placed"))
     if open_.isEmpty():
         return None
     nodes_ = open_.select("node", "_c").distinct()
@@ -189,9 +189,12 @@ def _links_left(members: DataFrame, labels: DataFrame, texts: DataFrame, percent
         crossing = written(flat.groupBy("_s").agg(F.min("_c").alias("_a"), F.max("_c").alias("_b")).where("_a < _b").select("_s"), "near-crossing")
         useful = written(flat.join(crossing, "_s").groupBy("node", "_n").agg(F.collect_list("_s").alias("_h")), "near-useful")
         own = open_.join(useful.select("node", "_n", F.size("_h").alias("_e")), "node")
-        least = own.groupBy("key").agg(F.min("_n").alias("_least"))
+        own = written(own, "near-sized")
+        least = written(own.groupBy("key").agg(F.min("_n").alias("_least")), "near-least")
         other = F.greatest(F.col("_least"), F.ceil(F.col("_n") * percent / 100))  # no partner is smaller
-        open_ = _open(own.join(least, "key").where(100 * F.col("_e") >= percent * (F.col("_n") + other - F.col("_e"))).select("key", "node", "_c"))
+        # written between the join and the next aggregation by key, so that a hot bucket can be split in both
+        hopeful = own.join(least, "key").where(100 * F.col("_e") >= percent * (F.col("_n") + other - F.col("_e"))).select("key", "node", "_c")
+        open_ = _open(written(hopeful, "near-hopeful"))
         if open_.isEmpty():
             return None
     heads = written(open_.groupBy("key").agg(F.min("node").alias("_low")), "near-heads")
