@@ -15,8 +15,9 @@ from corpusloom.llm.near_dedup import near_dedup
 from corpusloom.llm.packing import pack_best_fit
 from corpusloom.llm.scratch import written
 
-#: Documents whose best language is less probable than this go; with four languages a guess has 0.25.
-LEAST_SCORE = 0.4
+#: Documents whose best language is less probable than this go. With four languages a guess has 0.25, so only texts of which the
+#: network can tell nothing are lost; texts in two languages stay.
+LEAST_SCORE = 0.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
