@@ -28,9 +28,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_out(df: DataFrame, bytes_each: int = 16 << 20) -> DataFrame:
+    """A small table dealt to all cores: it may be one file with one row group, which one task would read and work on alone.
+
+    From ``bytes_each`` for each core on, files have splits enough, and nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * bytes_each else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """document_id, text, lang, source, year."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text", "lang", "source", (F.lit(1950) + F.col("doc_id") % 70).alias("year"))
+    return spread_out(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).select(F.col("doc_id").alias("document_id"), "text", "lang", "source", (F.lit(1950) + F.col("doc_id") % 70).alias("year"))
 
 
 def token_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +61,7 @@ TOK = r"""tok AS (
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of conversations as documents: document_id, role, tokens; a turn may occur twice, as two documents with one id."""
-    rows = table(spark, sf_dir, "conversations")
+    rows = spread_out(table(spark, sf_dir, "conversations"))
     return rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("document_id"), "role", tokenize(F.lower("text")).alias("tokens"))
 
 
