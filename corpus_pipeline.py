@@ -13,7 +13,7 @@ from corpusloom.llm.language_id import identify_language
 from corpusloom.llm.mixing import mix_sources
 from corpusloom.llm.near_dedup import near_dedup
 from corpusloom.llm.packing import pack_best_fit
-from corpusloom.llm.scratch import written
+from corpusloom.llm.scratch import free_name, written
 
 #: Documents whose best language is less probable than this go. With four languages a guess has 0.25, so only texts of which the
 #: network can tell nothing are lost; texts in two languages stay.
@@ -23,13 +23,15 @@ LEAST_SCORE = 0.3
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a recognised language stay."""
     found = identify_language(docs, keep=tuple(docs.columns))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    label, score = found.columns[-2:]  # with underscores, if documents have columns of these names
+    return found.where((found[label] != "und") & (found[score] >= LEAST_SCORE)).select(*[found[f"`{c}`"] for c in docs.columns])
 
 
 def matching(docs: DataFrame, picked: DataFrame, how: str) -> DataFrame:
     """``docs`` joined to ``picked`` (one row per doc_id) on doc_id; a null id matches a null id."""
-    picked = picked.dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "_picked_id")
-    return docs.join(picked, F.col("doc_id").eqNullSafe(F.col("_picked_id")), how)
+    name = free_name("_picked_id", docs.columns)
+    picked = picked.dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", name)
+    return docs.join(picked, F.col("doc_id").eqNullSafe(F.col(name)), how)
 
 
 def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,9 +46,12 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; documents without words, which the mix neither takes nor drops, stay once."""
-    copies = F.when(F.col("size") > 0, F.floor(F.try_divide("taken", "size"))).otherwise(1).cast("int").alias("_copies")
-    taken = mix_sources(docs).select("doc_id", copies).where("_copies > 0")
-    return matching(docs, taken, "inner").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    name = free_name("_copies", docs.columns)
+    copies = F.when(F.col("size") > 0, F.floor(F.try_divide("taken", "size"))).otherwise(1).cast("int").alias(name)
+    taken = mix_sources(docs).select("doc_id", copies).where(F.col(name) > 0)
+    repeats = F.explode(F.sequence(F.lit(1), F.col(name))).alias(free_name("_copy", docs.columns))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return matching(docs, taken, "inner").select(*columns, repeats).select(*columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,49 +1,19 @@
-"""Written intermediate tables and small helpers that the operators of this subpackage share.
-
-Intermediate results are cut from their lineage by writing them as Parquet below ``spark.checkpoint.dir`` (shared by the
-driver and all executors), so a lost executor costs a re-read and never a re-computation of what was written.
-"""
+"""Small helpers that the operators of this subpackage share, and the written tables that cut their lineage."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.sources.scratch import purge, shared_folder, written
+
+__all__ = ["WHITESPACE", "WORD", "broadcast_checked", "free_name", "id_and_text", "purge", "shared_folder", "spread", "word_count", "written"]
+
 #: White space of all contracts here: space and U+0009 to U+000D. ``bytes.split()`` splits on exactly these.
 WHITESPACE = " \t\n\x0b\x0c\r"
 #: Java pattern of one word under that white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_TABLES: list[str] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset (single-machine tests), a temporary one is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: evaluated once, durable, with no lineage."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _TABLES.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def purge(spark: SparkSession) -> None:
-    """Delete the tables that ``written`` made in this session; call it once the results that read them are stored."""
-    while _TABLES:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_TABLES.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
 
 def broadcast_checked(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
     """A written table with a broadcast hint if its counted rows are few; beyond that, left to a join that adaptive execution may split."""

@@ -46,3 +46,14 @@ def test_empty_corpus(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_clashing_columns_and_nulls(spark):
+    rows = [(None, "house und garten", "xx", "s"), (1, "house und garten", None, None), (2, "wald und wiese", "xx", "s"), (None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for name in ("lang_pred", "score", "kept", "size", "taken", "_copies", "_copy", "_picked_id", "keep_id", "_id", "_text"):
+        docs = docs.selectExpr("*", f"'x' AS `{name}`")
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and {r.score for r in out.collect()} == {"x"}
+    assert {r.doc_id for r in corpus_pipeline.STAGES[4][1](spark, docs, "").collect()} == {None, 1, 2}
