@@ -94,9 +94,8 @@ def hierarchical_clusters(df: DataFrame, name: str, column: str, n_top: int, by:
     return top.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(run, "name string, cluster long")
 
 
-def document_vectors(dtm: Dtm) -> tuple[DataFrame, DataFrame]:
-    """(document_id, features), (token_id, token): sparse count vectors for Spark's estimators."""
-    vocab = dense_ids(dtm.cells.select("token").distinct(), ["token"], "token_id")
+def vectors_in(dtm: Dtm, vocab: DataFrame) -> DataFrame:
+    """document_id, features: sparse count vectors over a vocabulary (token_id from 0, token) for Spark's estimators."""
     size = vocab.count()
 
     @F.udf(VectorUDT())
@@ -104,7 +103,13 @@ def document_vectors(dtm: Dtm) -> tuple[DataFrame, DataFrame]:
         return SparseVector(size, sorted((int(p[0]), float(p[1])) for p in pairs))
 
     cells = dtm.cells.join(vocab, "token")
-    return cells.groupBy("document_id").agg(vector(F.collect_list(F.struct("token_id", F.col("value").cast("double")))).alias("features")), vocab
+    return cells.groupBy("document_id").agg(vector(F.collect_list(F.struct("token_id", F.col("value").cast("double")))).alias("features"))
+
+
+def document_vectors(dtm: Dtm) -> tuple[DataFrame, DataFrame]:
+    """(document_id, features), (token_id, token)."""
+    vocab = dense_ids(dtm.cells.select("token").distinct(), ["token"], "token_id")
+    return vectors_in(dtm, vocab), vocab
 
 
 def train_topics(dtm: Dtm, k: int = 100, max_iter: int = 20, optimizer: str = "online", seed: int = 1, alpha: float | None = None):

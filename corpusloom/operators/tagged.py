@@ -6,8 +6,10 @@ then OR passthrough words, AND NOT blocked words, and at last the term frequency
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -150,3 +152,15 @@ def base_form(lemma: Column, token: Column) -> Column:
     first = F.split(F.trim(lemma, F.lit("|")), r"\|")[0]
     first = F.replace(F.replace(first, F.lit(" "), F.lit("_")), F.lit(":"), F.lit("|"))
     return F.lower(F.when(first == "", token).otherwise(first))
+
+
+def tag(docs: DataFrame, tagger: Callable[[str], list[tuple[str, str, str]]]) -> DataFrame:
+    """document_id, pos, token, lemma, pos_tag by any function text -> [(token, lemma, tag)]; built once a task if it has ``setup``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fn = tagger.setup() if hasattr(tagger, "setup") else tagger
+        for batch in batches:
+            rows = [(d, k, *t) for d, x in zip(batch["document_id"], batch["text"], strict=True) for k, t in enumerate(fn(x or ""))]
+            yield pd.DataFrame(rows, columns=["document_id", "pos", "token", "lemma", "pos_tag"])
+
+    return docs.select("document_id", "text").mapInPandas(run, "document_id long, pos int, token string, lemma string, pos_tag string")

@@ -16,6 +16,7 @@ from corpusloom.operators import graph, index, ml, stats, topics
 from corpusloom.operators import tagged as tg
 from corpusloom.operators.dtm import Dtm, vectorize
 from corpusloom.operators.windows import context_windows
+from corpusloom.plans import workflows as wf
 from corpusloom.plans.pipeline import ContextOpts, Pipeline, Recipe
 from corpusloom.sources import store
 from corpusloom.sources import text as src
@@ -243,6 +244,26 @@ def test_pipeline(spark, tmp_path):
         p.check(F.lit(False), "never").docs.collect()
 
 
+def test_workflows(spark, tmp_path):
+    texts = [(f"d{k}.txt", t) for k, t in enumerate(["apple pear apple fig", "pear fig plum", "dog cat dog", "cat dog cow cow"] * 5)]
+    kept = wf.vectorize(spark, texts, f"{tmp_path}/dtm", min_df=2).load_dtm(n_top=2)
+    assert {r.token for r in kept.cells.collect()} == {"dog", "apple"}
+    bundle = wf.co_occurrence(spark, texts, f"{tmp_path}/coo", ContextOpts(width=1, concepts=("fig",)))
+    assert bundle.load("pairs").count() > bundle.load("concept_pairs").count() > 0 and bundle.options()["width"] == 1
+    model = wf.train_topics(spark, texts, f"{tmp_path}/tm", k=3, max_iter=3, n_tokens=5)
+    assert model.load("document_topic_weights").select("document_id").distinct().count() == 20 and model.load("topic_token_overview").count() == 3
+    more = wf.predict_topics(spark, f"{tmp_path}/tm", [("x.txt", "dog unknown")], f"{tmp_path}/p")
+    assert more.load("document_topic_weights").agg(F.sum("weight")).first()[0] == pytest.approx(1, abs=0.02)
+    merged = wf.merge_topics(spark, f"{tmp_path}/tm", {"a": [0, 2]}, f"{tmp_path}/m")
+    assert {r.topic_id for r in merged.load("topic_token_overview").collect()} == {0, 1}
+
+
+def test_tagger(spark):
+    docs = spark.createDataFrame([(1, "a bc"), (2, None)], "document_id long, text string")
+    rows = tg.tag(docs, lambda t: [(w, w.upper(), "NN") for w in t.split()]).collect()
+    assert [(r.document_id, r.pos, r.token, r.lemma) for r in rows] == [(1, 0, "a", "A"), (1, 1, "bc", "BC")]
+
+
 def test_stream(spark, tmp_path):
     docs = spark.createDataFrame([(1, "A house a HOUSE"), (2, "b")], "doc_id long, text string").withColumn("ts", F.timestamp_seconds(F.col("doc_id") * 3600))
     docs.write.parquet(f"{tmp_path}/in")
