@@ -94,6 +94,19 @@ class Dtm:
         """Terms above the threshold and the kept ones."""
         return self.with_terms(self.term_frequency().where((F.col("tf") >= threshold) | F.col("token").isin(*keep)))
 
+    def slice_by_terms(self, terms: Iterable) -> Dtm:
+        """the named terms only."""
+        return replace(self, cells=self.cells.where(F.col("token").isin(*terms)))
+
+    def zero_out(self, terms: Iterable = (), below: float | None = None, others: Dtm | None = None) -> Dtm:
+        """cells become zero, that is, go: of named terms, of terms below a total, or where ``others`` has none. The index stays."""
+        cells = self.cells.where(~F.col("token").isin(*terms)) if terms else self.cells
+        if below is not None:
+            cells = cells.join(self.term_frequency().where(F.col("tf") >= below).select("token"), "token", "left_semi")
+        if others is not None:
+            cells = cells.join(others.cells.where("value <> 0").select("document_id", "token"), ["document_id", "token"], "left_semi")
+        return replace(self, cells=cells)
+
     def matching(self, wanted: Iterable[str]) -> DataFrame:
         """Token and tf of words, globs and |regexps|."""
         return self.term_frequency().where(word_predicate(F.col("token"), wanted))

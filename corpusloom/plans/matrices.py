@@ -217,6 +217,17 @@ def topk_compress(spark, d):
     return orders_dtm(spark, d).compress(1000, (1, 2, 3)).cells
 
 
+@query("topk_slice_terms", f"WITH {DTM} SELECT document_id, token, value FROM cells WHERE token IN (5, 50, 500)")
+def topk_slice_terms(spark, d):
+    return orders_dtm(spark, d).slice_by_terms([5, 50, 500]).cells
+
+
+@query("topk_zero_out", f"WITH {DTM} SELECT document_id, token, value FROM cells WHERE token NOT IN (5, 50) AND token IN (SELECT token FROM cells GROUP BY token HAVING sum(value) >= 900) AND document_id IN (SELECT document_id FROM idx WHERE status = 'F')")
+def topk_zero_out(spark, d):
+    dtm = orders_dtm(spark, d)
+    return dtm.zero_out([5, 50], 900, dtm.filter({"status": "F"})).cells
+
+
 @query("topk_word_vector", f"WITH {DTM} SELECT document_id, coalesce(value, 0.0) AS value FROM idx LEFT JOIN (SELECT * FROM cells WHERE token = 7) USING (document_id)")
 def topk_word_vector(spark, d):
     return orders_dtm(spark, d).word_vector(7)
