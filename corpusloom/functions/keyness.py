@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.sources.scratch import written
+
 
 def _ln(x: Column) -> Column:
     """Natural logarithm clipped at 1e-10."""
@@ -70,7 +72,8 @@ def significance(coo: DataFrame, metric: str | Callable, keys: list[str] = (), w
     keys = list(keys)
     fn = METRICS[metric] if isinstance(metric, str) else metric
     c = F.col("value").cast("double")
-    coo = coo.where("value <> 0")
+    # pairs are read for three totals; counting them again each time would cost far more than writing them
+    coo = written(coo.where("value <> 0"), "pairs")
     total = coo.groupBy(*keys).agg(F.sum(c).alias("_z"))
     sides = coo.select(*keys, F.col("w1").alias("w"), c.alias("v"))
     if symmetric:
