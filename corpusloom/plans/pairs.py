@@ -176,3 +176,49 @@ def cooc_decode_split(spark, d):
     return split_token(paired, ("first", "second")).drop("token")
 
 
+
+# all pairs of whole documents: the queries above with 25 common windows or more are kept as their SQL defines them
+_ALL_BY_LANG = _BY_LANG[: _BY_LANG.rindex("), lc AS (")] + ")"
+
+
+def _all_by_lang(spark, d):
+    """Pairs of each language, however rare."""
+    return co.window_pairs(token_arrays(spark, d), W, keys=("lang",))
+
+
+@query("cooc_corpus_by_lang_all", f"WITH {_ALL_BY_LANG} SELECT lang, w1, w2, value FROM pp")
+def cooc_corpus_by_lang_all(spark, d):
+    return _all_by_lang(spark, d)
+
+
+@query("join_match_pairs_all", f"WITH {_ALL_BY_LANG} SELECT lang, w1, w2, value FROM pp WHERE w1 IN ('the', 'und') OR w2 IN ('the', 'und')")
+def join_match_pairs_all(spark, d):
+    return co.match(_all_by_lang(spark, d), ["the", "und"])
+
+
+@query("join_exclude_pairs_all", f"WITH {_ALL_BY_LANG} SELECT lang, w1, w2, value FROM pp WHERE w1 NOT IN ('the', 'und') AND w2 NOT IN ('the', 'und')")
+def join_exclude_pairs_all(spark, d):
+    return co.exclude(_all_by_lang(spark, d), ["the", "und"])
+
+
+@query("cooc_decode_split_all", f"WITH {_ALL_BY_LANG} SELECT lang, w1 AS first, w2 AS second, value FROM pp")
+def cooc_decode_split_all(spark, d):
+    from corpusloom.operators.trends import split_token
+
+    paired = _all_by_lang(spark, d).select("lang", F.concat_ws("/", "w1", "w2").alias("token"), "value")
+    return split_token(paired, ("first", "second")).drop("token")
+
+
+@query("key_per_words_all", f"WITH {_ALL_BY_LANG} SELECT lang, w1, w2, round(value::DOUBLE / n_words, 12) AS value FROM pp JOIN {_N} nw USING (lang)")
+def key_per_words_all(spark, d):
+    words = token_arrays(spark, d).groupBy("lang").agg(F.sum(F.size("tokens")).alias("n_words"))
+    return ky.per_words(_all_by_lang(spark, d), words, ["lang"]).withColumn("value", F.round("value", 12))
+
+
+# without SQL: over all pairs, sums as large as those of the log-likelihoods differ in the fifth place between engines
+for _metric in _METRICS:
+
+    @query(f"key_{_metric.lower()}_all")
+    def key_metric_all(spark, d, metric=_metric):
+        words = token_arrays(spark, d).groupBy("lang").agg(F.sum(F.size("tokens")).alias("n_words"))
+        return ky.significance(_all_by_lang(spark, d), metric, ["lang"], words).withColumn("weight", F.round("weight", 5))
