@@ -12,7 +12,8 @@ Bins are filled within blocks. A block is a salted share of one group (all rows,
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,15 +24,17 @@ from corpusloom.llm.scratch import word_count, written
 CAPACITIES = (512, 1024, 2048, 4096)
 
 
-def fill_ahead(pieces: list[int], at: int, room: int) -> int:
-    """Words that the sorted (descending) ``pieces`` from ``at`` on put greedily into ``room``, found by bisection of at most 8 pieces."""
+def fill_ahead(rising: list[int], sums: list[int], at: int, room: int) -> int:
+    """Words that the pieces from ``at`` on put greedily, largest first, into ``room``.
+
+    ``rising``: the negated sizes of all pieces, largest first; ``sums``: the words before each piece, and of all. A run of
+    pieces that fit one after the other is one step; after it less room is left than its last piece took, so steps are few.
+    """
     put, k = 0, at
-    for _ in range(8):
-        k = bisect_left(pieces, -(room - put), k, key=lambda x: -x)
-        if k >= len(pieces) or room == put:
-            break
-        put += pieces[k]
-        k += 1
+    while room > put and (k := bisect_left(rising, put - room, k)) < len(rising):
+        end = bisect_right(sums, sums[k] + room - put, k) - 1
+        put += sums[end] - sums[k]
+        k = end
     return put
 
 
@@ -39,7 +42,8 @@ def pack_block(sizes: list[int], capacities: tuple[int, ...] = CAPACITIES, charg
     """Bin of each size, position of each size in its bin, final length of each bin. ``sizes`` are at most max(capacities)."""
     caps = sorted(capacities)
     order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
-    falling = [sizes[i] for i in order]
+    rising = [-sizes[i] for i in order]
+    sums = [0, *accumulate(sizes[i] for i in order)]
     room: list[tuple[int, int]] = []  # (room left, bin), sorted
     used: list[int] = []
     bin_of, start = [0] * len(sizes), [0] * len(sizes)
@@ -50,7 +54,7 @@ def pack_block(sizes: list[int], capacities: tuple[int, ...] = CAPACITIES, charg
             left, b = room.pop(k)
         else:
             fits = caps[bisect_left(caps, size):]
-            left = min(fits, key=lambda c: ((c + charge) / max(1, min(c, fill_ahead(falling, at, c))), c))
+            left = min(fits, key=lambda c: ((c + charge) / max(1, min(c, fill_ahead(rising, sums, at, c))), c))
             b = len(used)
             used.append(0)
         bin_of[i], start[i] = b, used[b]

@@ -1,10 +1,11 @@
 import random
 from collections import defaultdict
+from itertools import accumulate
 
 import pytest
 
 from corpusloom.llm.mixing import mix_sources
-from corpusloom.llm.packing import pack_best_fit, pack_block
+from corpusloom.llm.packing import fill_ahead, pack_best_fit, pack_block
 from tests.llm.helpers import AWKWARD, awkward, empty, made_up, words
 
 
@@ -88,3 +89,24 @@ def test_packing_keeps_every_word(spark):
         spans.sort()
         assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
     assert pack_best_fit(empty(spark)).count() == 0
+
+
+def test_pack_block_looks_ahead_as_far_as_a_bin_reaches():
+    def greedy(falling, at, room):
+        put = 0
+        for n in falling[at:]:
+            put += n if n <= room - put else 0
+        return put
+
+    rng = random.Random(3)
+    for top in (1, 3, 40, 900):
+        falling = sorted((rng.randint(0, top) for _ in range(rng.randint(1, 120))), reverse=True)
+        rising, sums = [-n for n in falling], [0, *accumulate(falling)]
+        for at in range(len(falling)):
+            for room in (0, 1, 7, 64, 512, 4096):
+                assert fill_ahead(rising, sums, at, room) == greedy(falling, at, room)
+    # short documents reach the largest length, too
+    _, _, lengths = pack_block([200] * 2048)
+    assert max(lengths) == 4096 and len(lengths) < 110
+    sizes = [rng.randint(300, 330) for _ in range(2048)]
+    assert sum(pack_block(sizes)[2]) - sum(sizes) < 0.05 * sum(sizes)
