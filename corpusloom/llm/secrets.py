@@ -1,7 +1,7 @@
 """Secret scans with a recursive decoding worklist.
 
 Every text is scanned for three kinds of secrets. Then a worklist unwraps what a text hides: percent-encoded runs, Unicode and
-HTML character escapes, base64 runs and, inside those, zlib or gzip streams. Each layer is scanned in turn and unwrapped again
+HTML character escapes, base64 runs (in one line or several, alone or beside other text) and, inside those, zlib or gzip streams. Each layer is scanned in turn and unwrapped again
 until nothing new appears; a layer whose content has been seen is not visited again, which also ends cycles. Every character
 of a layer knows the span of the original text it came from, so what is found at any depth is reported in code points of the
 original text.
@@ -11,9 +11,11 @@ from __future__ import annotations
 
 import base64
 import binascii
+import codecs
 import re
 import zlib
 from array import array
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from urllib.parse import unquote_to_bytes
 
@@ -32,7 +34,17 @@ LEAST_VALUE, LEAST_ACCESS = 6, 20
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]{1,6})\}|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#(\d{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Base64 over several lines, of any width, indented or not.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:\r?\n[ \t]*[A-Za-z0-9+/_-]++)+={0,2}")
 PRINTABLE = re.compile(r"[^\x00-\x08\x0e-\x1f\x7f]+")
+#: Printable UTF-8 within other bytes, from the length of the shortest secret (an assignment) on; any encoding of one is longer.
+CLEAN = re.compile(
+    rb"(?:[\x09-\x0d\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]"
+    rb"|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}){12,}"
+)
+STREAM = re.compile(rb"\x1f\x8b|\x78[\x01\x5e\x9c\xda]")
+#: A separator may stand before a blob: what follows one may be where the blob starts.
+BLOB_START = re.compile(r"(?<=[/_-])[A-Za-z0-9+]")
 
 Span = tuple[int, int]
 
@@ -83,11 +95,17 @@ def _substituted(text: str, pattern: re.Pattern, decode) -> tuple[str, array, ar
     return "".join(out), starts, ends
 
 
+def _kept_bytes(e: UnicodeDecodeError) -> tuple[str, int]:
+    return "".join(f"%{b:02X}" for b in e.object[e.start : e.end]), e.end
+
+
+codecs.register_error("percent_kept", _kept_bytes)
+
+
 def _percent(m: re.Match) -> str | None:
-    try:
-        return unquote_to_bytes(m[0]).decode()
-    except UnicodeDecodeError:
-        return None
+    """Bytes that are no UTF-8 stay percent-encoded; None if that is all of them."""
+    new = unquote_to_bytes(m[0]).decode(errors="percent_kept")
+    return None if new == m[0].upper() else new
 
 
 def _escape(m: re.Match) -> str | None:
@@ -121,6 +139,74 @@ def unwrapped_base64(run: str) -> str | None:
     return text if PRINTABLE.fullmatch(text) else None
 
 
+def _line_parts(m: re.Match) -> list[range]:
+    """Where in the source the lines of a run are, without its padding."""
+    return [range(m.start() + p.start(), m.start() + p.end()) for p in re.finditer(r"[A-Za-z0-9+/_-]+", m[0])]
+
+
+def retried_base64(source: str, m: re.Match) -> Iterator[Layer]:
+    """What a run holds that is not text as a whole: printable stretches and compressed streams, at all four alignments.
+
+    A character maps to its blob (from a separator or line break on, where there is one), within the lines it is on.
+    """
+    parts = _line_parts(m)
+    body = "".join(source[p.start : p.stop] for p in parts)
+    plain = body.replace("-", "+").replace("_", "/")
+    decoded = []
+    for shift in range(4):
+        coded = plain[shift : len(plain) - ((len(plain) - shift) % 4 == 1)]
+        decoded.append(base64.b64decode(coded + "=" * (-len(coded) % 4)))
+    if not any(CLEAN.search(data) or STREAM.search(data) for data in decoded):
+        return
+    at = [i for p in parts for i in p]
+    first_of = [p.start for p in parts for _ in p]
+    last_of = [p.stop for p in parts for _ in p]
+    last_of[-len(parts[-1]) :] = [m.end()] * len(parts[-1])
+    begins = {0} | {k.start() for k in BLOB_START.finditer(body)} | {k for k in range(1, len(at)) if at[k] != at[k - 1] + 1}
+
+    for shift, data in enumerate(decoded):
+        aligned = sorted(k for k in begins if k % 4 == shift)
+        char = lambda byte: shift + byte // 3 * 4  # noqa: B023, E731
+
+        def last_char(byte_end):  # of the group of four that holds the byte before
+            return len(body) - 1 if byte_end >= len(data) else min(len(body), shift + (byte_end + 2) // 3 * 4) - 1  # noqa: B023
+
+        for c in CLEAN.finditer(data):
+            # the first bytes may be of what stands before the blob, and printable by chance
+            k = bisect_left(aligned, shift + -(-c.start() // 3) * 4)
+            start = aligned[k] if k < len(aligned) and (aligned[k] - shift) // 4 * 3 <= c.start() + 8 else char(c.start())
+            end, text, starts, ends, byte = last_char(c.end()), c[0].decode(), [], [], c.start()
+            for letter in text:
+                size = len(letter.encode())
+                k, j = char(byte), last_char(byte + size)
+                starts.append(max(at[start], first_of[k]) if k >= start else at[k])
+                # a byte before the blob's start is not of the blob
+                ends.append(min(at[end] + 1 if end < len(body) - 1 else m.end(), last_of[j]) if k >= start else at[j] + 1)
+                byte += size
+            yield Layer(text, starts, ends)
+        done = 0
+        for c in STREAM.finditer(data):
+            if c.start() < done:
+                continue
+            stream = zlib.decompressobj(47)
+            try:
+                inner = stream.decompress(memoryview(data)[c.start() :])
+            except zlib.error:
+                continue
+            if not stream.eof:
+                continue
+            done = len(data) - len(stream.unused_data)
+            while (more := inflate(inner)) is not None:
+                inner = more
+            end = last_char(done)
+            a, b = at[char(c.start())], m.end() if end == len(body) - 1 else at[end] + 1
+            for t in CLEAN.finditer(inner):
+                text = t[0].decode()
+                yield Layer(text, [a] * len(text), [b] * len(text))
+        if shift == 0 and CLEAN.fullmatch(data):
+            return  # text as a whole
+
+
 def layers(text: str) -> Iterator[Layer]:
     """All decoded layers of a text, each once."""
     seen = {text}
@@ -135,6 +221,12 @@ def layers(text: str) -> Iterator[Layer]:
         for m in BASE64.finditer(source):
             if (inner := unwrapped_base64(m[0])) is not None:
                 found.append(Layer(inner, [m.start()] * len(inner), [m.end()] * len(inner)))
+            else:
+                found += retried_base64(source, m)
+        if "\n" in source:
+            for m in WRAPPED.finditer(source):
+                if len(m[0]) >= 16:
+                    found += retried_base64(source, m)
         for layer in found:
             if outer is not None:
                 spans = [outer.span(a, b) for a, b in zip(layer.starts, layer.ends, strict=True)]
