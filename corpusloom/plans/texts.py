@@ -239,6 +239,14 @@ def join_decode(spark, d):
     return vc.decode(vc.encode(tok, vocab).select("token_id"), vocab).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
+# all languages: join_decode is kept as its SQL defines it, on Spanish documents alone
+@query("join_decode_all", f"""WITH {TOK}, v AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS token_id FROM (SELECT DISTINCT token FROM tok)) SELECT token, count(*) AS n FROM tok JOIN v USING (token) GROUP BY token""")
+def join_decode_all(spark, d):
+    tok = tokens(spark, d)
+    vocab = vc.vocabulary(tok, first_seen=False)
+    return vc.decode(vc.encode(tok, vocab).select("token_id"), vocab).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("agg_dtm", f"WITH {TURNS} SELECT document_id, token, count(*) AS value FROM ttok GROUP BY ALL")
 def agg_dtm(spark, d):
     return vectorize(turns(spark, d).select("document_id", F.explode("tokens").alias("token")))

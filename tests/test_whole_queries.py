@@ -98,3 +98,8 @@ def test_keyness_takes_its_sums_from_all_pairs(spark, folder, metric):
     found = rows(spark, folder, f"key_{metric}_all", "lang", "w1", "w2", "weight")
     assert {k: found.get(k, 0.0) for k in expected} == pytest.approx(expected, abs=2e-5) and found.keys() <= expected.keys()
     assert any(pairs[k] < 25 for k in found)
+
+
+def test_tokens_of_all_languages_are_decoded(spark, folder):
+    expected = Counter(t for _, text, *_ in TEXTS for t in tokens_of(text))
+    assert rows(spark, folder, "join_decode_all", "token", "n") == {(t,): n for t, n in expected.items()}
