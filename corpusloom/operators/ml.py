@@ -113,9 +113,13 @@ def document_vectors(dtm: Dtm) -> tuple[DataFrame, DataFrame]:
 
 
 def train_topics(dtm: Dtm, k: int = 100, max_iter: int = 20, optimizer: str = "online", seed: int = 1, alpha: float | None = None):
-    """(model, vocabulary, vectors)."""
+    """(model, vocabulary, vectors).
+
+    "em" goes through all documents in each iteration. "online" draws as many as there are in each, with replacement, so that
+    a document is left out of all iterations with a probability of about exp(-max_iter).
+    """
     vectors, vocab = document_vectors(dtm)
-    lda = LDA(k=k, maxIter=max_iter, optimizer=optimizer, seed=seed, featuresCol="features")
+    lda = LDA(k=k, maxIter=max_iter, optimizer=optimizer, seed=seed, featuresCol="features", subsamplingRate=1.0)
     if alpha:
         lda = lda.setDocConcentration([alpha])
     return lda.fit(vectors), vocab, vectors

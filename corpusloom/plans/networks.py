@@ -183,15 +183,15 @@ def ml_hca(spark, d):
 
 @query("ml_lda")
 def ml_lda(spark, d):
-    dtm = Dtm(vectorize(tokens(spark, d), min_df=10, max_tokens=2000), documents(spark, d).drop("text"))
-    model, vocab, vectors = ml.train_topics(dtm, k=4, max_iter=5)
+    dtm = Dtm(vectorize(tokens(spark, d), min_df=10), documents(spark, d).drop("text"))
+    model, vocab, vectors = ml.train_topics(dtm, k=4, max_iter=5, optimizer="em")
     return ml.predict_topics(model, vectors)
 
 
 @query("ml_topic_tokens")
 def ml_topic_tokens(spark, d):
-    dtm = Dtm(vectorize(tokens(spark, d), min_df=10, max_tokens=2000), documents(spark, d).drop("text"))
-    model, vocab, _ = ml.train_topics(dtm, k=4, max_iter=5)
+    dtm = Dtm(vectorize(tokens(spark, d), min_df=10), documents(spark, d).drop("text"))
+    model, vocab, _ = ml.train_topics(dtm, k=4, max_iter=5, optimizer="em")
     ttw = ml.topic_token_weights(model, vocab, 50)
     return ttw.join(ml.coherence(ttw, dtm.cells), "topic_id")
 

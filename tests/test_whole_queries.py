@@ -6,7 +6,9 @@ from collections import Counter
 
 import pytest
 
-from corpusloom.plans import catalogue
+from corpusloom.operators import ml
+from corpusloom.operators.dtm import vectorize
+from corpusloom.plans import catalogue, networks
 
 TEXTS = [
     (0, "The cat saw the dog and the cat ran und so", "en", "a"),
@@ -103,3 +105,26 @@ def test_keyness_takes_its_sums_from_all_pairs(spark, folder, metric):
 def test_tokens_of_all_languages_are_decoded(spark, folder):
     expected = Counter(t for _, text, *_ in TEXTS for t in tokens_of(text))
     assert rows(spark, folder, "join_decode_all", "token", "n") == {(t,): n for t, n in expected.items()}
+
+
+@pytest.mark.parametrize("name", ["ml_lda", "ml_topic_tokens"])
+def test_topics_are_trained_on_all_documents_and_tokens(spark, folder, monkeypatch, name):
+    asked = {}
+
+    class Asked(Exception):
+        pass
+
+    def lda(**options):
+        asked.update(options)
+        raise Asked
+
+    def all_tokens(tok, **options):
+        asked["vectorize"] = options
+        return vectorize(tok, **options)
+
+    monkeypatch.setattr(ml, "LDA", lda)
+    monkeypatch.setattr(networks, "vectorize", all_tokens)
+    with pytest.raises(Asked):
+        catalogue.QUERIES[name](spark, folder)
+    assert "max_tokens" not in asked["vectorize"]
+    assert asked["optimizer"] == "em" and asked["maxIter"] * asked["subsamplingRate"] >= 1
