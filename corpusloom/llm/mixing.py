@@ -4,7 +4,8 @@ Every source gets a target number of words by water-filling: the sources share `
 more than ``most`` times its own words, the excess shared again among the rest. A source whose target is r times its words
 takes each of its documents floor(r) times for certain; what is left is a sample with inclusion probability f = r - floor(r).
 Documents are ranked by random odds u/(1-u) divided by inclusion odds f/(1-f), u being a hash of the id, and the first ones
-are taken until the sample has its fixed size, which is measured in words.
+are taken until the sample has its fixed size, which is measured in words. As f is the same for all documents of a source,
+that is the order by u alone, and this is what the code computes.
 
 The cut in the ranking is found without ranking a source in one task: a histogram of the ranks (equal-width bins of u, as
 many as the input needs) gives the bin in which the cut lies, and only that bin's documents are ordered.
