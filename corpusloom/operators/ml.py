@@ -37,6 +37,8 @@ def pca(df: DataFrame, column: str, components: int) -> DataFrame:
 
 def linkage(points: np.ndarray, method: str = "ward", metric: str = "euclidean") -> np.ndarray:
     """Rows (cluster a, cluster b, distance, size) of agglomerative clustering by the Lance-Williams recurrence."""
+    if metric not in ("euclidean", "cityblock", "cosine"):
+        raise ValueError(f"unknown metric: {metric}")
     n = len(points)
     if metric == "cosine":
         unit = points / np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-12)

@@ -278,3 +278,8 @@ def test_the_rest_does_not_need_llm():
 
     root = pathlib.Path(__file__).parent.parent / "corpusloom"
     assert not [p for p in root.rglob("*.py") if "llm" not in p.parts and "corpusloom.llm" in p.read_text()]
+
+
+def test_unknown_metrics_are_refused():
+    with pytest.raises(ValueError, match="unknown metric: jaccard"):
+        ml.linkage(np.zeros((3, 2)), "average", "jaccard")
