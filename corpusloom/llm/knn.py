@@ -14,9 +14,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.scratch import free_name, written
+from corpusloom.llm.scratch import free_name, partitions_for, written
 
 LEAF = 64
+#: No score is below this.
+NO_BOUND = -(2**63)
 
 
 class Tree:
@@ -45,7 +47,7 @@ class Tree:
         self.high = np.maximum.reduceat(self.points, starts)
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
-        """For each query and leaf the largest inner product with any point of the leaf's box."""
+        """For each query and leaf the largest inner product with any point of the leaf's box, or a little more."""
         return bounds(queries, self.low, self.high)
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, least: np.ndarray, k: int) -> list[list[tuple[int, int]]]:
@@ -54,7 +56,7 @@ class Tree:
         best_first = np.argsort(-limits, axis=1, kind="stable")
         found = []
         for q in range(len(queries)):
-            floor, scores, ids = least[q], np.zeros(0, self.points.dtype), np.zeros(0, np.int64)
+            floor, scores, ids = int(least[q]), np.zeros(0, self.points.dtype), np.zeros(0, np.int64)
             order, at, step = best_first[q], 0, 2
             while at < len(order) and limits[q, order[at]] >= floor:
                 # a few leaves at a time, as many again each time
@@ -66,7 +68,7 @@ class Tree:
                 keep = np.lexsort((ids, -scores))[:k]
                 scores, ids = scores[keep], ids[keep]
                 if len(scores) == k:
-                    floor = max(floor, scores[-1])
+                    floor = max(floor, int(scores[-1]))
                 at += step
                 step *= 2
             found.append([(int(s), int(i)) for s, i in zip(scores, ids, strict=True) if s >= least[q]])
@@ -74,7 +76,12 @@ class Tree:
 
 
 def bounds(queries: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    return np.maximum(queries, 0) @ high.T + np.minimum(queries, 0) @ low.T
+    """In float64. Of integers too large for it to be exact, the bound is raised by what rounding can lose; it cannot overflow."""
+    q, low_, high_ = (a.astype(np.float64) for a in (queries, low, high))
+    out = np.maximum(q, 0) @ high_.T + np.minimum(q, 0) @ low_.T
+    if queries.dtype != np.float64:
+        out += np.abs(q) @ np.maximum(np.abs(low_), np.abs(high_)).T * (q.shape[1] + 4) * 2.0**-52
+    return out
 
 
 def _numbers(points: np.ndarray, most: int) -> np.ndarray:
@@ -87,23 +94,29 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
 
     Components become floor(scale * x); the score is the integer inner product. ``queries`` tells which rows are queries (all,
     if None); a query is never its own candidate, nor is any row with its id. Rows with a null id, a null vector or a null or
-    non-finite component take no part; only vectors of the same length are compared. Repeated rows are candidates each. Scores
-    must fit in a long. An empty table gives an empty result.
+    non-finite component take no part; only vectors of the same length are compared. Repeated rows are candidates each, however
+    many share an id; a run of them longer than a shard is cut into several trees. Scores must fit in a long. An empty table
+    gives an empty result.
     """
     x = F.transform(F.col(f"`{vector_col}`"), lambda c: c.cast("double"))
     good = F.col("_id").isNotNull() & F.col("_x").isNotNull() & F.forall("_x", lambda c: F.coalesce((c == c) & (F.abs(c) < float("inf")) & ~F.isnan(c), F.lit(False)))
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("_id"), x.alias("_x"), (F.lit(True) if queries is None else F.coalesce(queries, F.lit(False))).alias("_query"))
     rows = written(rows.where(good).select("_id", "_query", F.size("_x").alias("_d"), F.transform("_x", lambda c: F.floor(c * scale).cast("long")).alias("_v")), "knn-vectors")
-    shards = max(1, -(-rows.count() // shard_rows))
+    count = rows.count()
+    shards = max(1, -(-count // shard_rows))
     dealt = rows.withColumn("_shard", F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(shards)).cast("int"))
 
     def pack(batches):
-        """One row per run of a shard (and vector length) of at most 2 * shard_rows rows: ids and components as bytes."""
-        held, ids, vectors = None, [], []
+        """One row per run of a shard (and vector length) of at most 2 * shard_rows rows: its number, ids and components as bytes."""
+        held, ids, vectors, runs = None, [], [], 0
 
         def done():
+            nonlocal runs
+            runs += 1
             v = np.array(vectors, np.int64).reshape(len(ids), held[1])
-            return pa.RecordBatch.from_pydict({"_shard": pa.array([held[0]], pa.int32()), "_d": pa.array([held[1]], pa.int32()), "_ids": [np.array(ids, np.int64).tobytes()], "_points": [v.tobytes()]})
+            return pa.RecordBatch.from_pydict(
+                {"_shard": pa.array([held[0]], pa.int32()), "_d": pa.array([held[1]], pa.int32()), "_run": pa.array([runs], pa.int64()), "_ids": [np.array(ids, np.int64).tobytes()], "_points": [v.tobytes()]}
+            )
 
         for batch in batches:
             for shard, d, i, v in zip(*[batch.column(c).to_pylist() for c in ("_shard", "_d", "_id", "_v")], strict=True):
@@ -116,8 +129,8 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
         if ids:
             yield done()
 
-    packed = "_shard int, _d int, _ids binary, _points binary"
-    sets = dealt.repartition(shards, "_shard").sortWithinPartitions("_shard", "_d", "_id").mapInArrow(pack, packed)
+    packed = "_shard int, _d int, _run long, _ids binary, _points binary"
+    sets = dealt.repartition(min(shards, partitions_for(rows, count, 1 << 17)), "_shard").sortWithinPartitions("_shard", "_d", "_id").mapInArrow(pack, packed)
     sets = written(sets, "knn-shards")
     asked = dealt.where("_query")
     homes = min(shards, max(1, -(-asked.count() // block_rows)))
@@ -138,7 +151,7 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
                     held, ids, vectors, least = (shard, d), [], [], []
                 ids.append(i)
                 vectors.append(v)
-                least.append(-(2**62) if x is None else x)
+                least.append(NO_BOUND if x is None else x)
         if ids:
             yield done()
 
@@ -149,10 +162,11 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
         for batch in batches:
             out: list[tuple] = []
             for r in range(batch.num_rows):
-                d, ids, points, qids, q, least = (batch.column(c)[r].as_py() for c in ("_d", "_ids", "_points", "_qids", "_q", "_least"))
+                shard, d, run, ids, points, qids, q, least = (batch.column(c)[r].as_py() for c in ("_shard", "_d", "_run", "_ids", "_points", "_qids", "_q", "_least"))
                 asks = np.frombuffer(q, np.int64).reshape(-1, d)
-                if held != ids[:64] + points[:512] + len(ids).to_bytes(8):
-                    held = ids[:64] + points[:512] + len(ids).to_bytes(8)
+                # a shard lies in one task of pack(), so these three name a run
+                if held != (shard, d, run):
+                    held = (shard, d, run)
                     v = np.frombuffer(points, np.int64).reshape(-1, d)
                     own, top = np.frombuffer(ids, np.int64), int(np.abs(v).max(initial=0))
                     tree = Tree(own, v) if d else None

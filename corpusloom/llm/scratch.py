@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.sources.scratch import purge, shared_folder, written
 
-__all__ = ["WHITESPACE", "WORD", "broadcast_checked", "free_name", "id_and_text", "purge", "shared_folder", "spread", "word_count", "written"]
+__all__ = ["WHITESPACE", "WORD", "broadcast_checked", "free_name", "id_and_text", "partitions_for", "purge", "shared_folder", "spread", "word_count", "written"]
 
 #: White space of all contracts here: space and U+0009 to U+000D. ``bytes.split()`` splits on exactly these.
 WHITESPACE = " \t\n\x0b\x0c\r"
@@ -33,6 +33,11 @@ def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text"))
 
 
+def partitions_for(df: DataFrame, rows: int, rows_each: int) -> int:
+    """Partitions for a shuffle of ``rows`` rows, ``rows_each`` in one; never fewer than the session's setting."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_each))
+
+
 def spread(df: DataFrame, rows_each: int, *keys: str) -> DataFrame:
     """``df`` dealt by ``keys`` to as many partitions as its shuffle needs; never fewer than the session's setting."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -162,3 +162,23 @@ def test_some_bad_bytes_do_not_hide_the_rest():
         for packed in (data, zlib.compress(data)):
             blob = base64.b64encode(packed).decode()
             assert kinds_in(f"x {blob} y", blob) == {0}
+
+
+def test_an_id_repeated_over_several_runs_of_a_shard(spark):
+    """Runs of one shard that start alike (same ids, same first components) are trees of their own."""
+    rng = np.random.default_rng(5)
+    vectors = rng.integers(-3, 4, (90, 16))
+    vectors[:60, :8] = 1
+    ids = [7] * 60 + list(range(100, 130))
+    df = spark.createDataFrame([(i, [float(x) / 64 for x in v]) for i, v in zip(ids, vectors.tolist(), strict=True)], "vec_id long, embedding array<double>")
+    found = {(r.query_id, r.rank): (r.score, r.vec_id) for r in top_k(df, queries=F.col("vec_id") >= 120, k=10, shard_rows=10, block_rows=4).collect()}
+    for q in range(120, 130):
+        own = vectors[ids.index(q)]
+        best = sorted(((int(v @ own), i) for v, i in zip(vectors, ids, strict=True) if i != q), key=lambda x: (-x[0], x[1]))[:10]
+        assert [found[q, k + 1] for k in range(10)] == best
+
+
+def test_scores_near_the_ends_of_a_long(spark):
+    df = spark.createDataFrame([(1, [-3e9]), (2, [3e9 - 1]), (3, [0.0])], "vec_id long, embedding array<double>")
+    found = {(r.query_id, r.vec_id): r.score for r in top_k(df, scale=1.0).collect()}
+    assert found == {(1, 2): -3 * 10**9 * (3 * 10**9 - 1), (2, 1): -3 * 10**9 * (3 * 10**9 - 1), (1, 3): 0, (3, 1): 0, (2, 3): 0, (3, 2): 0}
