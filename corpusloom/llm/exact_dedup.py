@@ -1,10 +1,11 @@
 """Exact de-duplication with DataFrame functions only.
 
-Texts are equal when they are identical after every white space character is deleted. Rows are grouped by the 128-bit MD5
-of that form *and* by its bytes, so that a hash collision never merges two texts: the byte comparison is the grouping key
-itself, and map-side partial aggregation folds the copies a task has seen before anything is shuffled, which keeps a group
-holding a third of all rows from landing in one task. The decisions then go back to the narrow digest rows by an equi-join
-that adaptive execution may split.
+Texts are equal when they are identical after every white space character is deleted. First only the 128-bit MD5 hashes of that
+form meet. Texts whose hash occurs twice or more are then grouped by hash *and* bytes, so that a hash collision never merges
+two texts: the byte comparison is the grouping key itself, and map-side partial aggregation folds the copies a task has seen
+before anything is shuffled, which keeps a group holding a third of all rows from landing in one task. The decisions go back to
+the narrow digest rows by an equi-join that adaptive execution may split. So shuffled texts follow the number of copies, not the
+size of the corpus, as long as Spark broadcasts the repeated hashes; beyond that size the texts meet them in a shuffled join.
 """
 
 from __future__ import annotations
@@ -37,15 +38,15 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     Other columns of ``df`` are ignored, whatever their names; an empty table gives an empty result. Two different texts
     that agreed in both digests would end the query with an error rather than be merged.
     """
-    rows = id_and_text(df, id_col, text_col).withColumn("_norm", without_whitespace(F.col("_text")))
-    digests = written(
-        rows.select("_id", hash_of(F.col("_norm")).alias("_h"), F.unhex(F.sha2(F.col("_norm").cast("binary"), 256)).alias("_sha")),
-        "exact-digests",
-    )
-    # most code points first, then smallest id, as one fixed-width number so that the aggregation stays hash-based
-    rank = F.length("_text").cast("decimal(10,0)") * F.lit(Decimal(10**19)) - F.col("_id").cast("decimal(19,0)")
+    rows = id_and_text(df, id_col, text_col).withColumn("_norm", without_whitespace(F.col("_text"))).withColumn("_h", hash_of(F.col("_norm")))
+    digests = written(rows.select("_id", "_h", F.unhex(F.sha2(F.col("_norm").cast("binary"), 256)).alias("_sha")), "exact-digests")
+    # only texts whose hash occurs twice or more have anything to be compared with; Spark broadcasts these hashes while they are few
+    several = written(digests.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_h"), "exact-several")
+    # most code points first, then smallest id, as one fixed-width number so that the aggregation stays hash-based; ids span 2**64 < 10**20
+    rank = F.length("_text").cast("decimal(10,0)") * F.lit(Decimal(10**20)) - F.col("_id").cast("decimal(20,0)")
     groups = (
-        rows.select("_id", hash_of(F.col("_norm")).alias("_h"), "_norm", rank.alias("_rank"))
+        rows.withColumn("_rank", rank)
+        .join(several, "_h", "left_semi")
         .groupBy("_h", "_norm")
         .agg(F.max_by("_id", "_rank").alias("_keep"), F.count(F.lit(1)).alias("_n"))
         .select("_h", F.unhex(F.sha2(F.col("_norm").cast("binary"), 256)).alias("_sha"), "_keep", "_n")
@@ -53,11 +54,12 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
         .agg(F.first("_keep").alias("_keep"), F.first("_n").alias("_n"), F.count(F.lit(1)).alias("_texts"))
         .withColumn("_n", F.when(F.col("_texts") == 1, F.col("_n")).otherwise(F.raise_error(F.lit("two different texts agree in both digests"))))
     )
-    # written, so that both sides of the join are exchanges of their own and a hot group's side can be split
-    return digests.join(written(groups, "exact-groups"), ["_h", "_sha"]).select(
+    # written, so that both sides of the join are exchanges of their own and a hot group's side can be split; a hash seen once is its own group
+    keep = F.when(F.col("_n").isNull(), F.col("_id")).otherwise(F.col("_keep"))
+    return digests.join(written(groups.select("_h", "_sha", "_keep", "_n"), "exact-groups"), ["_h", "_sha"], "left").select(
         F.col("_id").alias(id_col),
-        F.col("_keep").alias("keep_id"),
-        F.col("_n").alias("group_size"),
-        F.col("_id").eqNullSafe(F.col("_keep")).alias("kept"),
+        keep.alias("keep_id"),
+        F.coalesce("_n", F.lit(1)).cast("long").alias("group_size"),
+        F.col("_id").eqNullSafe(keep).alias("kept"),
         F.lower(F.hex("_sha")).alias("text_sha256"),
     )

@@ -95,16 +95,18 @@ OP4_SQL = r"""
 WITH t AS (
   SELECT doc_id, coalesce(text, '') AS x, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS n FROM documents
 ), g AS (
-  SELECT n, arg_max(doc_id, length(x)::HUGEINT * 10000000000000000000::HUGEINT - doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY n
+  SELECT n, first(doc_id ORDER BY length(x) DESC, doc_id) FILTER (WHERE doc_id IS NOT NULL) AS keep_id, count(*) AS group_size FROM t GROUP BY n
 )
-SELECT t.doc_id, g.keep_id, g.group_size::BIGINT AS group_size, t.doc_id = g.keep_id AS kept, sha256(t.n) AS text_sha256
+SELECT t.doc_id, g.keep_id, g.group_size::BIGINT AS group_size, t.doc_id IS NOT DISTINCT FROM g.keep_id AS kept, sha256(t.n) AS text_sha256
 FROM t JOIN g USING (n)
 """
 
 OP10_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(length(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5('mix' || doc_id::VARCHAR), 1, 8))::BIGINT AS u FROM documents
+         ('0x' || substr(md5('mix' || coalesce(doc_id::VARCHAR, 'null') || ':' || coalesce(text, '')), 1, 13))::BIGINT AS draw FROM documents
+), d2 AS (
+  SELECT *, ceil(sqrt(size::DOUBLE))::BIGINT AS m FROM d
 ), s AS (
   SELECT source, sum(size)::BIGINT AS words FROM d GROUP BY source
 ), w AS (

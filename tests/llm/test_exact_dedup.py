@@ -1,9 +1,11 @@
 import hashlib
 import re
 
+import duckdb
 from pyspark.sql import functions as F
 
 from corpusloom.llm.exact_dedup import exact_dedup
+from corpusloom.llm.queries import OP4_SQL, op4_exact_dedup
 from tests.llm.helpers import AWKWARD, awkward, empty
 
 
@@ -44,6 +46,20 @@ def test_longest_original_wins_then_smallest_id(spark):
     assert keep == {1: 2, 2: 2, 3: 2, 4: 2, 2**62: -(2**62), -(2**62): -(2**62)}
 
 
+def test_ids_at_the_ends_of_a_long(spark):
+    rows = [(9 * 10**18, "a b"), (-9 * 10**18, "ab"), (2**63 - 1, "c  d"), (-(2**63), "c  d"), (0, "cd"), (5, "e"), (2**63 - 1, "e"), (-(2**63), "e f"), (2**63 - 1, "e f g"), (1, "efg")]
+    assert rows_of(exact_dedup(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+
+
+def test_query_and_sql_agree_on_awkward_rows(spark, tmp_path):
+    rows = [*AWKWARD, (9 * 10**18, "a b", None, None), (-9 * 10**18, "ab", None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    sql = con.execute(f"SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM ({OP4_SQL})").fetchall()
+    assert rows_of(op4_exact_dedup(spark, str(tmp_path))) == sorted(sql, key=repr) == brute(rows)
+
+
 def test_no_python_in_the_plan(spark):
     plan = exact_dedup(spark.createDataFrame([(1, "a")], "doc_id long, text string"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
