@@ -115,18 +115,31 @@ WITH d AS (
   SELECT *, (1.5::DOUBLE * sum(words) OVER () - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
          / (sum(weight) OVER () - coalesce(sum(weight) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level
   FROM w WINDOW o AS (ORDER BY cap / weight, source IS NULL, encode(source))
-), m AS (
+), t AS (
   SELECT *, max(CASE WHEN level * weight < cap THEN level END) OVER () AS top FROM l
 ), g AS (
-  SELECT source, words, CASE WHEN top IS NULL THEN cap ELSE least(cap, top * weight) END AS target FROM m
+  SELECT source, words, CASE WHEN top IS NULL THEN cap ELSE least(cap, top * weight) END AS target FROM t
 ), h AS (
   SELECT *, CASE WHEN words = 0 THEN 0 ELSE floor(target / words) END AS certain FROM g
+), h2 AS (
+  SELECT *, greatest(target - certain * words, 0) AS rest FROM h
+), by_m AS (
+  SELECT d2.source, m, any_value(rest) AS rest, sum(size)::DOUBLE AS w FROM d2 JOIN h2 ON d2.source IS NOT DISTINCT FROM h2.source WHERE m > 0 GROUP BY d2.source, m
+), tried AS (
+  SELECT *, coalesce(sum(w) OVER (f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sure,
+         (rest - coalesce(sum(w) OVER (f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(m * w) OVER (f ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS c
+  FROM by_m WINDOW f AS (PARTITION BY source ORDER BY m DESC)
+), chance AS (
+  SELECT source, arg_max(c, m) AS c, arg_max(sure, m) AS sure FROM tried WHERE c * m < 1 GROUP BY source
+), q AS (
+  SELECT d2.*, h2.words, h2.target, h2.certain, greatest(h2.rest - coalesce(chance.sure, 0), 0) AS rest, coalesce(chance.c * m, 0) AS f, (draw + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
+  FROM d2 JOIN h2 ON d2.source IS NOT DISTINCT FROM h2.source LEFT JOIN chance ON d2.source IS NOT DISTINCT FROM chance.source
 ), r AS (
-  SELECT d.*, h.words, h.target, h.certain, greatest(h.target - h.certain * h.words, 0) AS rest,
-         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.u, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run
-  FROM d JOIN h ON d.source IS NOT DISTINCT FROM h.source
+  SELECT *, sum(CASE WHEN f > 0 AND f < 1 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY CASE WHEN f > 0 AND f < 1 THEN (u / (1 - u)) / (f / (1 - f)) ELSE -1 END, doc_id NULLS FIRST, size
+             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM q
 )
-SELECT doc_id, size, words AS source_size, target, ((certain + CASE WHEN rest > 0 AND run - size / 2.0 <= rest THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM r
+SELECT doc_id, size, words AS source_size, target, draw,
+       ((certain + CASE WHEN f >= 1 OR (f > 0 AND rest > 0 AND run - size / 2.0::DOUBLE <= rest) THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM r
 """
 
 OP6_SQL = r"""
