@@ -6,8 +6,10 @@ cost of a bin of size c is c plus a fixed charge, spread over the words that the
 and, greedily, the largest that fit beside it) can put into it. At last each bin shrinks to the smallest permitted length
 that holds its contents.
 
-Bins are filled within blocks. A block is a salted share of one group (all rows, or one value of ``group_col``) of about
-``block_docs`` documents, so no group meets in one task, and the loss is at most the few open bins of each block.
+Bins are filled within blocks of about ``block_docs`` documents, so the loss is at most the few open bins of each block. Rows that
+agree in id and size are interchangeable: they are counted first, and of such a count each ``CHUNK`` copies are dealt to a block
+on their own. So an id that many rows share (null, say) does not meet in one task, and the result does not depend on how the
+input is partitioned. Blocks are dealt to a number of tasks that follows the rows, several blocks to a task.
 """
 
 from __future__ import annotations
@@ -19,9 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.scratch import word_count, written
+from corpusloom.llm.scratch import partitions_for, word_count, written
 
 CAPACITIES = (512, 1024, 2048, 4096)
+#: Copies of one id and size that stay together.
+CHUNK = 64
 
 
 def fill_ahead(rising: list[int], sums: list[int], at: int, room: int) -> int:
@@ -69,22 +73,22 @@ def _pack(batches, capacities, charge):
     top, held, rows = max(capacities), None, []
 
     def done():
-        pieces = [(i, n, at, min(top, size - at)) for i, n, size in rows for at in (range(0, size, top) if size else (0,))]
-        bins, starts, lengths = pack_block([p[3] for p in pieces], capacities, charge)
+        pieces = [(i, at, min(top, size - at)) for i, size in rows for at in (range(0, size, top) if size else (0,))]
+        bins, starts, lengths = pack_block([p[2] for p in pieces], capacities, charge)
         return pa.RecordBatch.from_pydict(
             {
-                "_id": pa.array([p[0] for p in pieces], pa.int64()), "_piece_start": pa.array([p[2] for p in pieces], pa.int64()), "_length": pa.array([p[3] for p in pieces], pa.int64()),
+                "_id": pa.array([p[0] for p in pieces], pa.int64()), "_piece_start": pa.array([p[1] for p in pieces], pa.int64()), "_length": pa.array([p[2] for p in pieces], pa.int64()),
                 "_bin": pa.array([(held << 24) + b for b in bins], pa.int64()), "_offset": pa.array(starts, pa.int64()), "_capacity": pa.array([lengths[b] for b in bins], pa.int64()),
             }
         )
 
     for batch in batches:
-        for block, i, size in zip(*[batch.column(c).to_pylist() for c in ("_block", "_id", "_size")], strict=True):
+        for block, i, size, copies in zip(*[batch.column(c).to_pylist() for c in ("_block", "_id", "_size", "_copies")], strict=True):
             if block != held:
                 if rows:
                     yield done()
                 held, rows = block, []
-            rows.append((i, len(rows), size))
+            rows += [(i, size)] * copies
     if rows:
         yield done()
 
@@ -94,14 +98,18 @@ def pack_best_fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Pieces of a document follow each other by piece_start; a document of at most max(capacities) words is one piece. Empty
     and null texts are one piece of length 0, null or negative sizes count as 0. Within a bin, pieces lie side by side from
-    0. Null ids are packed like others. Blocks are dealt by a hash of id and size, so the result does not depend on how the
-    input is partitioned; repeated rows are packed each. An empty table gives an empty result.
+    0. Null ids are packed like others, repeated rows each. Blocks are dealt by a hash of id, size and number of the copy, so the
+    result does not depend on how the input is partitioned. An empty table gives an empty result.
     """
     size = F.greatest(F.coalesce(F.col(f"`{size_col}`").cast("long"), F.lit(0)), F.lit(0)) if size_col else word_count(F.col(f"`{text_col}`").cast("string"))
-    rows = written(df.select(F.col(f"`{id_col}`").cast("long").alias("_id"), size.cast("long").alias("_size")), "pack-sizes")
-    blocks = max(1, -(-rows.count() // block_docs))
-    dealt = rows.withColumn("_block", F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(blocks)))
-    dealt = dealt.repartition(blocks, "_block").sortWithinPartitions("_block", "_size", "_id")
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("_id"), size.cast("long").alias("_size"))
+    rows = written(rows.groupBy("_id", "_size").agg(F.count(F.lit(1)).alias("_n")), "pack-sizes")
+    total = rows.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    blocks = max(1, -(-total // block_docs))
+    chunk = F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / CHUNK))).alias("_chunk")
+    dealt = rows.select("_id", "_size", "_n", chunk).withColumn("_copies", F.least(F.col("_n") - F.col("_chunk") * CHUNK, F.lit(CHUNK)))
+    dealt = dealt.select(F.pmod(F.xxhash64("_id", "_size", "_chunk", F.lit(7)), F.lit(blocks)).alias("_block"), "_id", "_size", "_copies")
+    dealt = dealt.repartition(min(blocks, partitions_for(rows, total, 1 << 18)), "_block").sortWithinPartitions("_block", "_size", "_id", "_copies")
     packed = dealt.mapInArrow(lambda batches: _pack(batches, capacities, charge), "_id long, _piece_start long, _length long, _bin long, _offset long, _capacity long")
     return packed.select(
         F.col("_id").alias(id_col), F.col("_piece_start").alias("piece_start"), F.col("_length").alias("length"), F.col("_bin").alias("bin_id"), F.col("_offset").alias("bin_offset"), F.col("_capacity").alias("bin_capacity")
