@@ -8,6 +8,7 @@ a document.
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.blocks import answered, as_longs, asked, ids_of, make_blocks, parts_for, squeeze, unpack_pieces, with_answers
+from corpusloom.llm.blocks import ENTRIES, Dictionary, answered, as_longs, ids_of, make_blocks, squeeze, unpack_pieces, with_answers
 from corpusloom.llm.scratch import free_name, id_and_text
 
 #: Fixed value: the pre-token pattern of byte-level BPE.
@@ -56,28 +57,19 @@ class PreTokens:
         return [len(e.ids) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
 
-def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, limit: int = 1024) -> DataFrame:
+def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, limit: int = 1024, entries: int = ENTRIES) -> DataFrame:
     """One row per input row: id, n_bytes, n_tokens, over_limit (n_tokens > limit).
 
     ``path``: a byte-level BPE vocabulary that the executors can read, by default the installed public one. Null and empty
     texts have no tokens. Null ids and repeated rows are returned as they come; other columns are ignored; a result column
-    that would clash with the id column gets an underscore. An empty table gives an empty result.
+    that would clash with the id column gets an underscore. An empty table gives an empty result. ``entries``: see ``blocks``.
     """
     rows = id_and_text(df, id_col, text_col).withColumn("_learn", F.lit(False))
-    parts = parts_for(rows)
     split = _Lazy(path)
-    blocks = make_blocks(rows, lambda text: [p.encode() for p in split()(text)], parts, sequences=False)
-
-    def answer(block_ids, part_ids, packed):
-        known: dict[bytes, int] = {}
-        for block, part, data in zip(block_ids, part_ids, packed, strict=True):
-            pieces, _ = unpack_pieces(data)
-            new = [p for p in pieces if p not in known]
-            known.update(zip(new, split().count([p.decode() for p in new]), strict=True))
-            yield block, part, squeeze(np.fromiter(map(known.__getitem__, pieces), np.int32, len(pieces)))
+    blocks = make_blocks(rows, lambda text: [p.encode() for p in split()(text)], sequences=False)
 
     def rows_of(docs, values):
-        ids, sizes, _, ends, steps, times = docs
+        ids, sizes, flags, ends, steps, times = docs
         starts = np.concatenate([[0], ends[:-1]])
         # differences start anew with each document
         run = np.cumsum(steps, dtype=np.int64)
@@ -85,12 +77,29 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         numbers = run - np.repeat(before, np.diff(ends, prepend=0))
         tokens = np.concatenate([[0], np.cumsum(values[0][numbers].astype(np.int64) * times if values else [], dtype=np.int64)])
         counts = tokens[ends] - tokens[starts]
-        yield pa.RecordBatch.from_arrays([pa.array(ids_of(ids), pa.int64()), pa.array(as_longs(sizes)), pa.array(counts), pa.array(counts > limit)], names=["_id", "n_bytes", "n_tokens", "over_limit"])
+        yield pa.RecordBatch.from_arrays([ids_of(ids, flags), pa.array(as_longs(sizes)), pa.array(counts), pa.array(counts > limit)], names=["_id", "n_bytes", "n_tokens", "over_limit"])
 
-    counted = with_answers(blocks, answered(asked(blocks, parts), answer), rows_of, "_id long, n_bytes long, n_tokens long, over_limit boolean")
+    own = Dictionary(blocks, entries)
+    counted = with_answers(blocks, own.back(answered(own.dealt(own.rows()), PartCounts(split))), rows_of, "_id long, n_bytes long, n_tokens long, over_limit boolean")
     return counted.select(counted._id.alias(id_col), *[counted[c].alias(free_name(c, [id_col])) for c in ("n_bytes", "n_tokens", "over_limit")])
 
 
+class PartCounts:
+    """Answers rows of (block, part, pieces) with the pieces' token counts. A part's rows come side by side, in any number of batches; each distinct pre-token of it is counted once."""
+
+    def __init__(self, split: Callable[[], PreTokens]) -> None:
+        self.split, self.part, self.known = split, None, {}
+
+    def __call__(self, block_ids, part_ids, packed):
+        for block, part, data in zip(block_ids, part_ids, packed, strict=True):
+            if part != self.part:
+                self.part, self.known = part, {}
+            pieces, _ = unpack_pieces(data)
+            new = [p for p in pieces if p not in self.known]
+            self.known.update(zip(new, self.split().count([p.decode() for p in new]), strict=True))
+            yield block, part, squeeze(np.fromiter(map(self.known.__getitem__, pieces), np.int32, len(pieces)))
+
+
 class _Lazy:
     """Builds the tokenizer once in each process that uses it."""
 

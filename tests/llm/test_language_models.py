@@ -1,5 +1,6 @@
 import math
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -9,9 +10,11 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from corpusloom.llm import hmm
+from corpusloom.llm.blocks import Dictionary, make_blocks, pack_pieces, unpack_pieces, unsqueeze
 from corpusloom.llm.hmm import Model, forward, hmm_score
 from corpusloom.llm.language_id import ByteNetwork, identify_language
-from corpusloom.llm.token_counts import count_tokens
+from corpusloom.llm.queries import op5_hmm_scores, op8_language_id, op9_token_counts
+from corpusloom.llm.token_counts import PartCounts, count_tokens
 from corpusloom.llm.toxicity import Features, fit, score_toxicity
 from tests.llm.helpers import AWKWARD, awkward, empty, made_up, words
 
@@ -31,6 +34,78 @@ def test_token_counts_awkward_and_empty(spark):
     assert count_tokens(empty(spark)).count() == 0
 
 
+def test_merged_blocks_answer_the_same(spark):
+    """With few pieces a part, blocks are merged in groups and dealt to finer parts; ids at the end of long and null ids stay apart."""
+    rows = [(k, t) for k, t in enumerate(made_up(300, seed=7, vocabulary=900))] + [(-(2**63), "some words here"), (None, "others there"), (2**63 - 1, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
+    as_set = lambda found: {tuple(r) for r in found.collect()}
+    whole = as_set(count_tokens(df))
+    assert as_set(count_tokens(df, entries=20)) == whole and {r[0] for r in whole} == {i for i, _ in rows}
+    exact = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens"]
+    one, two = (hmm_score(df, train_on=F.col("doc_id") % 7 != 2, states=2, iterations=1, entries=n) for n in (10**9, 20))
+    assert as_set(one.select(exact)) == as_set(two.select(exact)) and {r.doc_id for r in one.collect()} == {i for i, _ in rows}
+    near = lambda found: {r.doc_id: r.base_score for r in found.collect()}
+    assert near(two) == pytest.approx(near(one))
+
+
+def test_rows_of_the_merged_dictionary_grow_with_the_blocks(spark):
+    df = spark.createDataFrame([(k, t, True) for k, t in enumerate(made_up(400, seed=8, vocabulary=2000))], "_id long, _text string, _learn boolean").repartition(16)
+    made = make_blocks(df, lambda text: text.encode().split(), sequences=False, parts=4)
+    own = Dictionary(made, entries=200, least_row=16, made_with=4)
+    assert own.parts > 16
+    sizes = [r.n for r in own.merged.where("part >= 0").collect()]
+    assert sum(sizes) / len(sizes) > 8 and own.merged.where("part >= 0").count() < made.where("part < 0").count() * own.parts
+    pieces = [p for r in own.merged.where("part >= 0").collect() for p in unpack_pieces(r.data)[0]]
+    assert set(pieces) == {w for t in made_up(400, seed=8, vocabulary=2000) for w in t.encode().split()}
+
+
+def test_a_pre_token_of_a_part_is_counted_once():
+    """However the part's rows are cut into batches."""
+    calls = []
+
+    class Library:
+        def count(self, pieces):
+            calls.extend(pieces)
+            return [len(p) for p in pieces]
+
+    rows = [(block, part, pack_pieces([f"w{part}{k}".encode() for k in range(block % 3, 9)], [0] * (9 - block % 3))) for part in range(3) for block in range(10)]
+    counts = PartCounts(lambda: Library())
+    for at in range(0, len(rows), 4):
+        for (block, part, data), (b, p, got) in zip(rows[at : at + 4], counts(*zip(*rows[at : at + 4], strict=True)), strict=True):
+            assert (block, part) == (b, p) and unsqueeze(got)[0][0].tolist() == [len(x) for x in unpack_pieces(data)[0]]
+    assert len(calls) == len(set(calls)) == 27
+
+
+def remainder(i, n):
+    return None if i is None else zlib.crc32(str(i).encode()) % n
+
+
+def test_queries_as_the_contract(spark, tmp_path):
+    """Columns that only the queries make: held_out by crc32, and what is counted from the rest."""
+    rows = [(i, t, lang) for i, t, lang, _ in spoken(90, 3)] + [(1000 + k, t, lang) for k, (_, t, lang, *_) in enumerate(AWKWARD)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    texts = {i: [*words(t), b"\n"] for i, t, _ in rows}
+    counts = Counter(w for i, t in texts.items() if remainder(i, 7) != 2 for w in t)
+    n, v = sum(counts.values()), len(counts)
+    found = op5_hmm_scores(spark, str(tmp_path)).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        t = texts[r.doc_id]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (remainder(r.doc_id, 7) == 2, len(t), sum(counts[w] > 0 for w in t), n)
+        assert r.base_score == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in t))
+    learned = {lang for i, t, lang in rows if lang is not None and remainder(i, 5) != 0 and t is not None}
+    text_of = {i: t for i, t, _ in rows}
+    found = op8_language_id(spark, str(tmp_path)).collect()
+    assert len(found) == len(rows) and found[0].__fields__ == ["doc_id", "held_out", "lang_pred", "score"]
+    for r in found:
+        spoken_ = any(map(str.isalpha, text_of[r.doc_id] or ""))
+        assert r.held_out == (remainder(r.doc_id, 5) == 0) and 0 <= r.score <= 1 and (r.lang_pred in learned if spoken_ else r.lang_pred == "und")
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for r in op9_token_counts(spark, str(tmp_path)).collect():
+        size = len(library.encode(text_of[r.doc_id] or "", add_special_tokens=False).ids)
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len((text_of[r.doc_id] or "").encode()), size, size > 1024)
+
+
 def all_paths(model, classes):
     """Likelihood by summing over every state path."""
     alpha = model.start * model.emit[classes[0]]
