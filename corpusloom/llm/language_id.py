@@ -113,19 +113,26 @@ class ByteNetwork:
         return g
 
 
-def training_sample(df: DataFrame, id_col: str, text_col: str, label_col: str, train: Column, per_class: int, windows_each: int = 4, most_classes: int = 256) -> list:
-    """(``windows_each`` windows from all over the text, label) of about ``per_class`` rows of each label, the ones with the smallest hashes of id; bounded for any input.
+#: More values of the label than this are refused: they are no languages.
+MOST_LABELS = 10_000
 
-    The rate of each label comes from its count, so one filtered scan finds the rows; labels beyond the ``most_classes`` most
-    frequent ones are not learned.
+
+def training_sample(df: DataFrame, id_col: str, text_col: str, label_col: str, train: Column, per_class: int, windows_each: int = 4) -> list:
+    """(``windows_each`` windows from all over the text, label) of about ``per_class`` rows of each label, the ones with the smallest hashes of id and text; bounded for any input.
+
+    The rate of each label comes from its count, so one filtered scan finds the rows. Every label is learned; rows that agree in
+    id and text are learned from once.
     """
     rows = df.where(train & F.col(f"`{label_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull())
     label, ids = F.col(f"`{label_col}`").cast("string"), F.col(f"`{id_col}`").cast("long")
-    counts = rows.groupBy(label.alias("_label")).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "_label").limit(most_classes).collect()
+    counts = rows.groupBy(label.alias("_label")).agg(F.count(F.lit(1)).alias("_n")).limit(MOST_LABELS + 1).collect()
+    if len(counts) > MOST_LABELS:
+        raise ValueError(f"{label_col} has more than {MOST_LABELS} values")
+    counts = sorted(counts, key=lambda r: r._label)
     if not counts:
         return []
     rate = F.create_map(*[F.lit(v) for r in counts for v in (r._label, min(1.0, per_class / r._n))])
-    draw = F.pmod(F.xxhash64(ids, F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
+    draw = F.pmod(F.xxhash64(ids, F.col(f"`{text_col}`").cast("string"), F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
     rows = rows.select(ids.alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"), label.alias("_label"), draw.alias("_draw"))
     picked = rows.where(F.col("_draw") < F.try_element_at(rate, F.col("_label"))).select("_id", "_draw", "_label", "_text")
 
@@ -134,7 +141,7 @@ def training_sample(df: DataFrame, id_col: str, text_col: str, label_col: str, t
             x = [w[np.unique(np.linspace(0, len(w) - 1, windows_each).astype(int))].tobytes() for w in map(full_windows, batch.column(3).cast(pa.binary()).to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(x, pa.binary())], names=["_id", "_draw", "_label", "_windows"])
 
-    picked = picked.mapInArrow(some, "_id long, _draw double, _label string, _windows binary").orderBy("_draw", "_id", "_windows").limit(2 * per_class * len(counts)).collect()
+    picked = picked.mapInArrow(some, "_id long, _draw double, _label string, _windows binary").dropDuplicates(["_draw", "_label", "_windows"]).orderBy("_draw", "_label", "_windows").limit(2 * per_class * len(counts)).collect()
     return [(np.frombuffer(r._windows, np.uint8).reshape(-1, WINDOW), r._label) for r in picked]
 
 

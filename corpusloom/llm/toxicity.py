@@ -60,9 +60,9 @@ class OrdinalModel:
         return logistic(np.asarray(score, float)[:, None] - self.thresholds)
 
 
-def fit(rows: list[np.ndarray], grades: list[int], grades_n: int, penalty: float = 1e-4, steps: int = 400, least_rows: int = 3, most_slots: int = 20_000) -> OrdinalModel:
-    """Proximal gradient (accelerated) on the mean negative log-likelihood; only the ``most_slots`` slots
-    that tell rows of grade 0 from others best (chi-squared), and of those in ``least_rows`` rows or more, get a weight."""
+def fit(rows: list[np.ndarray], grades: list[int], grades_n: int, penalty: float = 1e-4, steps: int = 400, least_rows: int = 3, least_chi2: float = 2.0) -> OrdinalModel:
+    """Proximal gradient (accelerated) on the mean negative log-likelihood; slots in ``least_rows`` rows or more that tell rows of
+    grade 0 from others with a chi-squared statistic of ``least_chi2`` or more get a weight, however many they are."""
     weights, y = np.zeros(1 << BITS), np.array(grades)
     counts = np.bincount(y, minlength=grades_n)
     tail = (len(y) - np.cumsum(counts)[:-1] + 0.5) / (np.cumsum(counts)[:-1] + 0.5)
@@ -71,10 +71,8 @@ def fit(rows: list[np.ndarray], grades: list[int], grades_n: int, penalty: float
     of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     rows_n, high_n = np.bincount(at, minlength=1 << BITS), np.bincount(at[(y > 0)[of]], minlength=1 << BITS)
     share = (y > 0).mean()
-    telling = (high_n - rows_n * share) ** 2 / np.maximum(rows_n * (1 - rows_n / len(y)), 1e-9)
-    telling[rows_n < least_rows] = 0
-    used = np.sort(np.argsort(-telling, kind="stable")[:most_slots])
-    used = used[telling[used] > 0]
+    telling = (high_n - rows_n * share) ** 2 / np.maximum(rows_n * (1 - rows_n / len(y)), 1e-9) / max(share * (1 - share), 1e-9)
+    used = np.flatnonzero((rows_n >= least_rows) & (telling >= least_chi2))
     place = np.full(1 << BITS, -1)
     place[used] = np.arange(len(used))
     hit = place[at] >= 0
