@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,9 +15,11 @@ _TABLES: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset (single-machine tests), a temporary one is set."""
+    """The folder in ``spark.checkpoint.dir``. Only where all of Spark runs in this process may it be unset: a temporary one is set then."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         local = tempfile.mkdtemp(prefix="corpusloom-")
         atexit.register(shutil.rmtree, local, ignore_errors=True)
         folder = "file://" + local
@@ -29,11 +33,32 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _TABLES.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes at its end the tables written within, but for those handed to the function that it gives, which hands them back."""
+    before, kept = set(_TABLES), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df.written_to)
+        return df
+
+    yield keep
+    for path in [p for p in _TABLES if p not in before and p not in kept]:
+        _TABLES.remove(path)
+        _delete(spark, path)
 
 
 def purge(spark: SparkSession) -> None:
-    """Delete the tables that ``written`` made in this session; call it once the results that read them are stored."""
+    """Delete all tables that ``written`` made in this process; call it once the results that read them are stored."""
     while _TABLES:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_TABLES.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _TABLES.pop())
