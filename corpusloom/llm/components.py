@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.scratch import written
+from corpusloom.llm.scratch import temporary, written
 
 
 def _toward_smallest(links: DataFrame, large: bool) -> DataFrame:
@@ -28,10 +28,11 @@ def _toward_smallest(links: DataFrame, large: bool) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """``links``: two long columns a, b. Returns node, component (the smallest node reachable) for every node that has a link to another."""
+    spark, before = links.sparkSession, None
     links = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc-links")
-    before = None
     while True:
-        links = written(_toward_smallest(_toward_smallest(links, True), False), "cc-links")
+        with temporary(spark) as keep:
+            links = keep(written(_toward_smallest(_toward_smallest(links, True), False), "cc-links"))
         now = links.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.lit(0))).first()
         if now == before or now[0] == 0:
             break

@@ -7,9 +7,12 @@
    pairs are screened by sketch and confirmed on the full sets, and the components of the confirmed links are found.
 3. Buckets whose members are in several components are left. A node there keeps only shingles that some node of another component
    has, too: if these are too few for any link, it is out. This settles what merely shares passages or consists of edits.
-4. What is still left is compared without exception: nodes connected by buckets form families, families are cut into blocks of
-   bounded size, and for each two blocks of a family a task counts all intersections by matrix products and returns only as many
-   links as connect its nodes.
+4. What is still left is compared without exception. Nodes connected by buckets form families; a family is cut by the sizes of the
+   sets, of which only equal or neighbouring classes can be linked, and then into blocks of bounded size. First blocks meet as
+   sketches alone: a matrix product counts the XOR bits of all pairs, which says for which nodes of which blocks a pair of different
+   components may be similar. Only these blocks meet again with their sets, and the task returns as many links as connect their nodes.
+5. The links of step 4 are counted on 64-bit hashes; they are confirmed on the full sets, and should any be refuted, the step runs
+   again with other hashes.
 
 So no candidate pair is lost: it was confirmed or refuted, or both its ends are in one component anyway. A pair with a similarity
 of 0.75 shares no band with probability (1 - 0.75**r)**b, 1.2e-6 here, and fails the screen with a probability below that.
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.components import components
-from corpusloom.llm.scratch import free_name, id_and_text, written
+from corpusloom.llm.scratch import free_name, id_and_text, temporary, written
 
 SHINGLE = 5
 ROWS, BANDS = 4, 36
@@ -57,21 +60,21 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Shingles:
     """64-bit hashes of a word list's distinct shingles, sorted. Hashes of words are kept, up to a bound."""
 
-    def __init__(self, most: int = 300_000) -> None:
+    def __init__(self, most: int = 300_000, seed: int = 0) -> None:
         class Words(dict):
             def __missing__(self, word):
                 if len(self) >= most:
                     self.clear()
-                h = self[word] = xxhash.xxh64_intdigest(word)
+                h = self[word] = xxhash.xxh64_intdigest(word, seed)
                 return h
 
-        self.words = Words()
+        self.words, self.seed = Words(), seed
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
         if not words:
             return np.zeros(0, np.uint64)
         if len(words) < SHINGLE:
-            return np.array([xxhash.xxh64_intdigest(b" ".join(words), 1)], np.uint64)
+            return np.array([xxhash.xxh64_intdigest(b" ".join(words), self.seed + 1)], np.uint64)
         w = np.fromiter(map(self.words.__getitem__, words), np.uint64, len(words))
         n = len(w) - SHINGLE + 1
         h = w[:n].copy()
@@ -110,10 +113,13 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return keys.view(np.int64), np.packbits(bits, axis=1)
 
 
+def similarity(ones):
+    """Estimated from the population count of the XOR of two odd sketches."""
+    return 1 + SKETCH_BITS / (4 * SAMPLES) * np.log(np.maximum(1e-9, 1 - 2 * ones / SKETCH_BITS))
+
+
 def estimated(a: bytes, b: bytes) -> float:
-    """Similarity by the odd sketches' XOR population count."""
-    ones = int.bit_count(int.from_bytes(a) ^ int.from_bytes(b))
-    return 1 + SKETCH_BITS / (4 * SAMPLES) * float(np.log(max(1e-9, 1 - 2 * ones / SKETCH_BITS)))
+    return float(similarity(int.bit_count(int.from_bytes(a) ^ int.from_bytes(b))))
 
 
 def _sign(batches):
@@ -175,14 +181,14 @@ def _sizes_fit(a: str, b: str, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _links_left(members: DataFrame, labels: DataFrame, texts: DataFrame, percent: int, block: int = 1024) -> DataFrame | None:
-    """Links between nodes of one bucket and different components, enough of them to connect what is linked. ``members``: key, node."""
+def _links_left(members: DataFrame, labels: DataFrame, sketches: DataFrame, texts: DataFrame, percent: int, block: int, seed: int) -> DataFrame | None:
+    """Links between nodes of one bucket and different components, enough of them to connect what is linked. ``members``: key, node; ``sketches``: node, _sketch."""
     placed = members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("_c"))
     open_ = _open(written(placed, "near-placed"))
     if open_.isEmpty():
         return None
     nodes_ = open_.select("node", "_c").distinct()
-    sets = texts.join(nodes_.select(F.col("node").alias("_id")), "_id").mapInArrow(_hashed, "node long, _n long, _h array<long>")
+    sets = texts.join(nodes_.select(F.col("node").alias("_id")), "_id").mapInArrow(lambda it: _hashed(it, seed), "node long, _n long, _h array<long>")
     sets = written(sets.dropDuplicates(["node", "_h"]), "near-sets")
     for _ in range(2):
         flat = sets.select("node", "_n", F.explode("_h").alias("_s")).join(open_.select("node", "_c").distinct(), "node")
@@ -199,16 +205,28 @@ def _links_left(members: DataFrame, labels: DataFrame, texts: DataFrame, percent
             return None
     heads = written(open_.groupBy("key").agg(F.min("node").alias("_low")), "near-heads")
     family = components(open_.join(heads, "key").where("node <> _low").select(F.col("_low").alias("a"), F.col("node").alias("b")))
-    family = written(family.withColumnRenamed("component", "_f"), "near-families")
-    sizes = family.groupBy("_f").agg(F.ceil(F.count(F.lit(1)) / block).alias("_blocks"))
-    dealt = family.join(sizes, "_f").withColumn("_b", F.pmod(F.xxhash64("node"), F.col("_blocks"))).join(open_.select("node", "_c").distinct(), "node").join(useful, "node")
+    # neighbouring classes hold all sizes within a third of each other, with a margin for rounding
+    size_class = F.floor(F.log(F.col("_n").cast("double")) / float(np.log(1.005 * 100 / percent))).cast("int")
+    family = family.withColumnRenamed("component", "_f").join(open_.select("node", "_c").distinct(), "node").join(useful, "node").withColumn("_s", size_class)
+    family = written(family, "near-families")
+    sizes = family.groupBy("_f", "_s").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum(F.size("_h")) / (2048 * block))).alias("_blocks"))
+    dealt = family.join(sizes, ["_f", "_s"]).withColumn("_b", F.pmod(F.xxhash64("node"), F.col("_blocks"))).join(sketches, "node")
     # small families share a task; a block of a large one is a row group of its own
-    packed = dealt.repartition("_f", "_b").sortWithinPartitions("_f", "_b", "node").select("_f", "_b", "_blocks", "node", "_c", "_n", "_h").mapInArrow(_pack_blocks, "_f long, _b long, _blocks long, _data binary")
-    packed = written(packed, "near-blocks")
-    one, two = packed.select("_f", "_b", F.col("_data").alias("_one")), packed.where("_blocks > 1").select("_f", F.col("_b").alias("_b2"), F.col("_data").alias("_two"))
-    alone = one.select("_one", F.lit(None).cast("binary").alias("_two"))
-    across = one.join(two, "_f").where("_b < _b2").select("_one", "_two")
-    return alone.unionByName(across).repartition(F.xxhash64("_one", "_two")).mapInArrow(lambda it: _compare_blocks(it, percent), "a long, b long")
+    dealt = dealt.select("_f", "_s", "_b", "node", "_c", "_n", "_sketch", "_h").repartition("_f", "_s", "_b").sortWithinPartitions("_f", "_s", "_b", "node")
+    packed = written(dealt.mapInArrow(_pack_blocks, "_f long, _s int, _b long, _heads binary, _sets binary"), "near-blocks")
+    place = ["_f", "_s", "_b"]
+    one = packed.select(*place, F.col("_heads").alias("_one"))
+    two = packed.select("_f", F.col("_s").alias("_s2"), F.col("_b").alias("_b2"), F.col("_heads").alias("_two"))
+    within = one.join(two.withColumn("_s", F.col("_s2")), ["_f", "_s"]).where("_b <= _b2")
+    across = one.join(two.withColumn("_s", F.col("_s2") - 1), ["_f", "_s"])
+    met = within.unionByName(across).select(*place, "_s2", "_b2", "_one", "_two").repartition(F.xxhash64(*place, "_s2", "_b2"))
+    likely = written(met.mapInArrow(lambda it: _screen_blocks(it, percent), "_f long, _s int, _b long, _s2 int, _b2 long, _rows binary, _cols binary"), "near-likely")
+    if likely.isEmpty():
+        return None
+    both = likely.join(packed.select(*place, F.col("_heads").alias("_one"), F.col("_sets").alias("_ones")), place)
+    both = both.join(packed.select("_f", F.col("_s").alias("_s2"), F.col("_b").alias("_b2"), F.col("_heads").alias("_two"), F.col("_sets").alias("_twos")), ["_f", "_s2", "_b2"])
+    both = both.select("_rows", "_cols", "_one", "_ones", "_two", "_twos").repartition(F.xxhash64("_rows", "_cols", "_one", "_two"))
+    return both.mapInArrow(lambda it: _compare_blocks(it, percent), "a long, b long")
 
 
 def _open(placed: DataFrame) -> DataFrame:
@@ -217,9 +235,9 @@ def _open(placed: DataFrame) -> DataFrame:
     return written(placed.join(several, "key"), "near-open")
 
 
-def _hashed(batches):
+def _hashed(batches, seed):
     """node, number and hashes of its shingles."""
-    shingles = Shingles()
+    shingles = Shingles(seed=seed)
     for batch in batches:
         sets = [shingles(words_of(t)) for t in batch.column(1).cast(pa.binary()).to_pylist()]
         flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
@@ -228,16 +246,17 @@ def _hashed(batches):
 
 
 def _pack_blocks(batches):
+    """One row per block: nodes, components, sizes, numbers of useful hashes and sketches; and the hashes."""
     held, rows = None, []
 
     def done():
-        nodes, comps, sizes, sets = zip(*rows, strict=True)
-        data = np.concatenate([[len(rows)], nodes, comps, sizes, [len(s) for s in sets], *sets]).astype(np.int64).tobytes()
-        return pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in held] + [pa.array([data], pa.binary())], names=["_f", "_b", "_blocks", "_data"])
+        nodes, comps, sizes, sketches, sets = zip(*rows, strict=True)
+        heads = np.concatenate([[len(rows)], nodes, comps, sizes, [len(s) for s in sets]]).astype(np.int64).tobytes() + b"".join(sketches)
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((*held, heads, np.concatenate(sets).tobytes()), (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["_f", "_s", "_b", "_heads", "_sets"])
 
     for batch in batches:
-        sets = batch.column(6)
-        for k, row in enumerate(zip(*[batch.column(c).to_pylist() for c in range(6)], strict=True)):
+        sets = batch.column(7)
+        for k, row in enumerate(zip(*[batch.column(c).to_pylist() for c in range(7)], strict=True)):
             if row[:3] != held:
                 if rows:
                     yield done()
@@ -247,33 +266,64 @@ def _pack_blocks(batches):
         yield done()
 
 
-def _unpacked(data: bytes):
-    """nodes, components, sizes, hashes and the row of each hash."""
-    a = np.frombuffer(data, np.int64)
-    n = int(a[0])
-    nodes, comps, sizes, useful = (a[1 + k * n : 1 + (k + 1) * n] for k in range(4))
-    return nodes, comps, sizes, a[1 + 4 * n :], np.repeat(np.arange(n), useful)
+class Block:
+    """nodes, components, sizes, numbers of useful hashes, and the sketches as rows of bits."""
+
+    def __init__(self, heads: bytes) -> None:
+        n = int(np.frombuffer(heads, np.int64, 1)[0])
+        self.nodes, self.comps, self.sizes, self.useful = np.frombuffer(heads, np.int64, 4 * n, 8).reshape(4, n)
+        self.sketches = np.frombuffer(heads, np.uint8, -1, 8 + 32 * n).reshape(n, -1)
+
+    def bits(self) -> np.ndarray:
+        return np.unpackbits(self.sketches, axis=1).astype(np.float32)
+
+
+def likely_pairs(one: Block, two: Block, percent: int) -> np.ndarray:
+    """For each two nodes whether they may be linked: components, sizes, useful hashes, and the sketches' XOR population count."""
+    sa, sb, x, y = one.sizes[:, None], two.sizes[None], one.bits(), two.bits()
+    both = np.minimum(one.useful[:, None], two.useful[None])
+    ok = (one.comps[:, None] != two.comps[None]) & (100 * np.minimum(sa, sb) >= percent * np.maximum(sa, sb)) & (100 * both >= percent * (sa + sb - both))
+    if ok.any():
+        ones = x.sum(1)[:, None] + y.sum(1)[None] - 2 * (x @ y.T)
+        ok &= similarity(ones) >= SCREEN
+    return ok
+
+
+def _screen_blocks(batches, percent):
+    """Which blocks have to meet with their sets, and which of their nodes."""
+    for batch in batches:
+        keep, rows, cols = [], [], []
+        for k, (one, two) in enumerate(zip(batch.column(5).to_pylist(), batch.column(6).to_pylist(), strict=True)):
+            ok = likely_pairs(Block(one), Block(two), percent)
+            if ok.any():
+                keep.append(k), rows.append(np.packbits(ok.any(1)).tobytes()), cols.append(np.packbits(ok.any(0)).tobytes())
+        yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(keep, pa.int64())) for c in range(5)], pa.array(rows, pa.binary()), pa.array(cols, pa.binary())], names=["_f", "_s", "_b", "_s2", "_b2", "_rows", "_cols"])
+
+
+def _picked(heads: bytes, sets: bytes, mask: bytes) -> tuple[Block, np.ndarray, np.ndarray]:
+    """A block's nodes within the mask, their hashes, and the row of each hash."""
+    block = Block(heads)
+    keep = np.unpackbits(np.frombuffer(mask, np.uint8), count=len(block.nodes)).astype(bool)
+    hashes = np.frombuffer(sets, np.int64)[np.repeat(keep, block.useful)]
+    block.nodes, block.comps, block.sizes, block.useful, block.sketches = (a[keep] for a in (block.nodes, block.comps, block.sizes, block.useful, block.sketches))
+    return block, hashes, np.repeat(np.arange(len(block.nodes)), block.useful)
 
 
 def _compare_blocks(batches, percent):
-    """Links between any two nodes of different components of one or two blocks; a spanning forest of them."""
+    """Links between any two nodes of different components of two blocks (or one, with itself); a spanning forest of them."""
     for batch in batches:
         out: list[tuple[int, int]] = []
-        for one, two in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            na, ca, sa, ha, ra = _unpacked(one)
-            nb, cb, sb, hb, rb = _unpacked(two) if two is not None else (na, ca, sa, ha, ra)
-            both = np.zeros((len(na), len(nb)), np.float32)
-            # only shingles that two rows have count; some thousand of them at a time
-            if two is None:
-                values, times = np.unique(ha, return_counts=True)
-                shared = values[times > 1]
-            else:
-                shared = np.intersect1d(ha, hb)
+        for row in range(batch.num_rows):
+            rows, cols, one, ones, two, twos = (batch.column(c)[row].as_py() for c in range(6))
+            a, ha, ra = _picked(one, ones, rows)
+            b, hb, rb = _picked(two, twos, cols)
+            both = np.zeros((len(a.nodes), len(b.nodes)), np.float32)
+            # only shingles that both have count; some thousand of them at a time
+            shared = np.intersect1d(ha, hb)
             for at in range(0, len(shared), 4096):
                 some = shared[at : at + 4096]
-                x = _incidence(some, ha, ra, len(na))
-                both += x @ (x if two is None else _incidence(some, hb, rb, len(nb))).T
-            ok = (100 * both >= percent * (sa[:, None] + sb[None] - both)) & (ca[:, None] != cb[None])
+                both += _incidence(some, ha, ra, len(a.nodes)) @ _incidence(some, hb, rb, len(b.nodes)).T
+            ok = likely_pairs(a, b, percent) & (100 * both >= percent * (a.sizes[:, None] + b.sizes[None] - both))
             root: dict[int, int] = {}
 
             def find(v):
@@ -282,10 +332,10 @@ def _compare_blocks(batches, percent):
                 return v
 
             for i, j in zip(*np.nonzero(ok), strict=True):
-                x, y = find(int(ca[i])), find(int(cb[j]))
+                x, y = find(int(a.comps[i])), find(int(b.comps[j]))
                 if x != y:
                     root[max(x, y)] = min(x, y)
-                    out.append((int(na[i]), int(nb[j])))
+                    out.append((int(a.nodes[i]), int(b.nodes[j])))
         yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
@@ -297,45 +347,64 @@ def _incidence(some: np.ndarray, hashes: np.ndarray, rows: np.ndarray, n: int) -
     return x
 
 
-def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
+def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, block: int = 1024) -> DataFrame:
     """One row per input row: id, n_shingles, component_id, kept.
 
     Two documents are linked when 100 * intersection >= ``percent`` * union of their shingle sets (``percent`` >= 75: the bands and
     the screen are made for that). component_id is the smallest id reachable over links, kept tells that it is the row's own.
     A text of fewer than five words is one shingle; null, empty and white-space-only texts have none and are linked with nothing.
     Rows that share an id are one document. A row with a null id is linked with nothing and kept. Other columns are ignored; an
-    empty table gives an empty result.
+    empty table gives an empty result. ``block``: nodes that meet in one task in step 4. Intermediate tables are deleted at the end.
     """
     if percent < 75:
         raise ValueError("percent must be 75 or more")
     rows = id_and_text(df, id_col, text_col)
-    signed = written(rows.mapInArrow(_sign, "_id long, _n long, _digest binary, _sketch binary, _keys array<long>"), "near-signatures")
-    nodes = written(signed.where("_digest is not null and _id is not null").groupBy("_digest").agg(F.min("_id").alias("node")), "near-nodes")
-    own = signed.join(nodes, [signed._id == nodes.node, signed._digest == nodes._digest]).select("node", "_n", "_sketch", "_keys")
-    own = written(own.dropDuplicates(["node", "_keys"]), "near-own")
-    # the members of every bucket that has more than one
-    slots = own.select("node", F.explode("_keys").alias("key"))
-    shared = slots.groupBy("key").agg(F.min("node").alias("_low"), F.max("node").alias("_high")).where("_low < _high")
-    shared = written(shared, "near-buckets")  # so that a hot bucket's side of the join can be split
-    members = written(slots.join(shared, "key"), "near-members")
-
-    pairs = members.where("node <> _low").select(F.col("_low").alias("a"), F.col("node").alias("b")).distinct()
-    sketch = own.select("node", "_n", "_sketch")
-    pairs = pairs.join(sketch.toDF("a", "_na", "_sa"), "a").join(sketch.toDF("b", "_nb", "_sb"), "b")
-    pairs = written(pairs.where(_sizes_fit("_na", "_nb", percent)).mapInArrow(_screen, "a long, b long"), "near-pairs")
-    # only texts that are compared at all travel further
-    compared = members.select(F.col("node").alias("_id")).distinct()
-    texts = written(rows.join(compared, "_id"), "near-texts")
-    labels = written(components(confirmed_links(pairs, texts, percent)), "near-labels")
-    more = _links_left(members.select("key", "node"), labels, texts, percent)
-    if more is not None:
-        links = labels.select(F.col("component").alias("a"), F.col("node").alias("b")).where("a <> b").unionByName(more)
+    with temporary(df.sparkSession) as keep:
+        signed = keep(written(rows.mapInArrow(_sign, "_id long, _n long, _digest binary, _sketch binary, _keys array<long>"), "near-signatures"))
+        nodes = written(signed.where("_digest is not null and _id is not null").groupBy("_digest").agg(F.min("_id").alias("node")), "near-nodes")
+        own = signed.join(nodes, [signed._id == nodes.node, signed._digest == nodes._digest]).select("node", "_n", "_sketch", "_keys")
+        own = written(own.dropDuplicates(["node", "_keys"]), "near-own")
+        # the members of every bucket that has more than one
+        slots = own.select("node", F.explode("_keys").alias("key"))
+        shared = slots.groupBy("key").agg(F.min("node").alias("_low"), F.max("node").alias("_high")).where("_low < _high")
+        shared = written(shared, "near-buckets")  # so that a hot bucket's side of the join can be split
+        members = written(slots.join(shared, "key"), "near-members")
+
+        pairs = members.where("node <> _low").select(F.col("_low").alias("a"), F.col("node").alias("b")).distinct()
+        sketch = own.select("node", "_n", "_sketch")
+        pairs = pairs.join(sketch.toDF("a", "_na", "_sa"), "a").join(sketch.toDF("b", "_nb", "_sb"), "b")
+        pairs = written(pairs.where(_sizes_fit("_na", "_nb", percent)).mapInArrow(_screen, "a long, b long"), "near-pairs")
+        # only texts that are compared at all travel further
+        compared = members.select(F.col("node").alias("_id")).distinct()
+        texts = written(rows.join(compared, "_id"), "near-texts")
+        links = written(confirmed_links(pairs, texts, percent), "near-links")
+        # an id with several texts is one document
+        texts_of = signed.where("_digest is not null and _id is not null").groupBy("_id").agg(F.min("_digest").alias("_x"), F.max("_digest").alias("_y"))
+        several = written(texts_of.where("_x < _y").select("_id"), "near-several-texts")
+        if not several.isEmpty():
+            placed = written(signed.join(several, "_id").join(nodes, "_digest").select("_id", "node").distinct(), "near-placed-texts")
+            low = written(placed.groupBy("_id").agg(F.min("node").alias("_low")), "near-low-texts")
+            links = links.unionByName(placed.join(low, "_id").where("node <> _low").select(F.col("_low").alias("a"), F.col("node").alias("b")))
         labels = written(components(links), "near-labels")
-    by_text = written(nodes.join(labels, "node", "left").select("_digest", F.coalesce("component", "node").alias("_component")), "near-components")
-    out = signed.select("_id", "_n", F.when(F.col("_id").isNotNull(), F.col("_digest")).alias("_digest")).join(by_text, "_digest", "left")
-    component = F.coalesce("_component", "_id")
+        sketch, seed = sketch.groupBy("node").agg(F.first("_sketch").alias("_sketch")), 0
+        while (more := _links_left(members.select("key", "node"), labels, sketch, texts, percent, block, seed)) is not None:
+            with temporary(df.sparkSession) as keep_link:
+                more = written(more, "near-more")
+                sure = keep_link(written(confirmed_links(more, texts, percent), "near-sure"))
+                refuted = more.count() - sure.count()
+            links = labels.select(F.col("component").alias("a"), F.col("node").alias("b")).where("a <> b").unionByName(sure)
+            labels = written(components(links), "near-labels")
+            if refuted <= 0:
+                break
+            seed += 1
+        by_text = nodes.join(labels, "node", "left").select("_digest", F.coalesce("component", "node").alias("_component"))
+        by_text = keep(written(by_text, "near-components"))
+    texts_ = signed.where("_digest is not null and _id is not null").select("_id", "_n", "_digest").join(by_text, "_digest").select("_id", "_n", "_component")
+    # what is linked with nothing takes no part in the join, where it would be one key
+    alone = signed.where("_digest is null or _id is null").select("_id", "_n", F.col("_id").alias("_component"))
+    out = texts_.unionByName(alone)
     names = [free_name(c, [id_col]) for c in ("n_shingles", "component_id", "kept")]
-    return out.select(F.col("_id").alias(id_col), F.col("_n").alias(names[0]), component.alias(names[1]), F.col("_id").eqNullSafe(component).alias(names[2]))
+    return out.select(F.col("_id").alias(id_col), F.col("_n").alias(names[0]), F.col("_component").alias(names[1]), F.col("_id").eqNullSafe(F.col("_component")).alias(names[2]))
 
 
 def _screen(batches):

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.sources.scratch import purge, shared_folder, written
+from corpusloom.sources.scratch import purge, shared_folder, temporary, written
 
-__all__ = ["WHITESPACE", "WORD", "broadcast_checked", "free_name", "id_and_text", "partitions_for", "purge", "shared_folder", "spread", "word_count", "written"]
+__all__ = ["WHITESPACE", "WORD", "broadcast_checked", "free_name", "id_and_text", "partitions_for", "purge", "shared_folder", "spread", "temporary", "word_count", "written"]
 
 #: White space of all contracts here: space and U+0009 to U+000D. ``bytes.split()`` splits on exactly these.
 WHITESPACE = " \t\n\x0b\x0c\r"

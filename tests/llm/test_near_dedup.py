@@ -74,6 +74,48 @@ def test_edits_and_shared_passages_as_brute_force(spark):
     assert rows_of(near_dedup(df)) == brute(rows)
 
 
+def test_families_of_many_blocks_as_brute_force(spark):
+    """Chains of edits: neighbours are linked, ends are not, and buckets join all of them to families far larger than a block."""
+    rng = random.Random(11)
+    rows = []
+    for k in range(3):
+        text = made_up(1, seed=20 + k, least=120, most=120)[0]
+        for j in range(45):
+            text = edited(text, 0.012, rng) if j % 9 else edited(edited(text, 0.04, rng), 0.03, rng)
+            rows.append((k * 100 + j, text))
+    base = made_up(1, seed=30, least=200, most=200)[0].split()
+    # sets of many sizes that hold each other: equal sketches bits, different classes of size
+    rows += [(1000 + n, " ".join(base[:n])) for n in range(40, 200, 4)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    expected = brute(rows)
+    assert rows_of(near_dedup(df, block=8)) == expected and rows_of(near_dedup(df)) == expected
+
+
+def test_an_id_with_several_texts_is_one_document(spark):
+    a, b, c, d = made_up(4, seed=31, least=30, most=40)
+    rows = [(3, a), (5, a), (5, b), (7, b), (9, c), (9, d), (11, d), (12, None), (12, c)]
+    assert rows_of(near_dedup(spark.createDataFrame(rows, "doc_id long, text string"))) == sorted([(i, len(shingles(t)), m) for (i, t), m in zip(rows, (3, 3, 3, 3, 9, 9, 9, 12, 9), strict=True)], key=repr)
+
+
+def test_likely_pairs_lose_none():
+    """The sketches of two blocks never refuse a pair that is linked."""
+    rng = np.random.default_rng(4)
+    sets = []
+    for _ in range(40):
+        base = rng.integers(0, 2**63, 300, dtype=np.uint64)
+        sets += [np.sort(base), np.sort(np.concatenate([base[:280], rng.integers(0, 2**63, 20, dtype=np.uint64)])), np.sort(base[: rng.integers(180, 300)])]
+    sketches = nd.signatures(sets)[1]
+    heads = np.concatenate([[len(sets)], np.arange(len(sets)), np.arange(len(sets)), [len(s) for s in sets], [len(s) for s in sets]]).astype(np.int64).tobytes() + sketches.tobytes()
+    block = nd.Block(heads)
+    ok = nd.likely_pairs(block, block, 75)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            both = len(np.intersect1d(a, b))
+            assert ok[i, j] or i == j or 100 * both < 75 * (len(a) + len(b) - both)
+    assert ok.sum() < 400
+
+
 def test_sketches_estimate_high_similarities():
     rng = np.random.default_rng(1)
     for similarity in (0.95, 0.85, 0.75):
