@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import corpus_pipeline
+from corpusloom.llm.language_id import identify_language
 from corpusloom.llm.mixing import mix_sources
 from tests.llm.helpers import words
 from tests.llm.test_exact_dedup import brute as brute_exact
@@ -42,6 +43,29 @@ def test_stages_as_brute_force(spark, tmp_path):
     assert +found == +expected
 
 
+def test_repeated_rows(spark):
+    """Of rows that share id and text one stays; rows that share only the id are decided each."""
+    text, other = "house und garten und wald", "something else with seven other words here"
+    rows = [(1, text, "xx", "s")] * 3 + [(1, other, "xx", "s"), (2, text, "xx", "s"), (None, other, "xx", "t"), (None, "a b c", None, None), (None, "a b c", None, None), (None, "ab c", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = sorted(((r.doc_id, r.text) for r in corpus_pipeline.dedup_exact(spark, docs, "").collect()), key=repr)
+    assert kept == sorted([(1, text), (1, other), (None, "a b c")], key=repr)
+    again = corpus_pipeline.dedup_near(spark, docs, "").collect()
+    assert Counter(r.doc_id for r in again) == {1: 4, None: 4}
+    mixed = Counter((r.doc_id, r.text) for r in corpus_pipeline.mix(spark, docs, "").collect())
+    assert all(n % 3 == 0 for (i, t), n in mixed.items() if (i, t) == (1, text))
+
+
+def test_low_scores_go_and_clean_documents_stay(spark):
+    """The language stage as the scores of op8's network say."""
+    rows = spoken(150, 5) + [(900, "12 34 56", "xx", None), (901, None, "yy", None), (902, "?!", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    scores = {r.doc_id: (r.lang_pred, r.score) for r in identify_language(docs).collect()}
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs, "").collect()}
+    assert kept == {i for i, (p, s) in scores.items() if p != "und" and s >= corpus_pipeline.LEAST_SCORE}
+    assert not kept & {900, 901, 902} and len(kept) >= 148
+
+
 def test_empty_corpus(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
