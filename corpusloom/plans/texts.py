@@ -232,16 +232,8 @@ def agg_encode_ids(spark, d):
     return encoded.groupBy("document_id").agg(F.count(F.lit(1)).alias("n_tokens"), F.sum("token_id").alias("sum_ids"))
 
 
-@query("join_decode", f"""WITH {TOK}, v AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS token_id FROM (SELECT DISTINCT token FROM tok WHERE lang = 'es')) SELECT token, count(*) AS n FROM tok JOIN v USING (token) WHERE lang = 'es' GROUP BY token""")
+@query("join_decode", f"""WITH {TOK}, v AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS token_id FROM (SELECT DISTINCT token FROM tok)) SELECT token, count(*) AS n FROM tok JOIN v USING (token) GROUP BY token""")
 def join_decode(spark, d):
-    tok = tokens(spark, d).where("lang = 'es'")
-    vocab = vc.vocabulary(tok, first_seen=False)
-    return vc.decode(vc.encode(tok, vocab).select("token_id"), vocab).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-
-
-# all languages: join_decode is kept as its SQL defines it, on Spanish documents alone
-@query("join_decode_all", f"""WITH {TOK}, v AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS token_id FROM (SELECT DISTINCT token FROM tok)) SELECT token, count(*) AS n FROM tok JOIN v USING (token) GROUP BY token""")
-def join_decode_all(spark, d):
     tok = tokens(spark, d)
     vocab = vc.vocabulary(tok, first_seen=False)
     return vc.decode(vc.encode(tok, vocab).select("token_id"), vocab).groupBy("token").agg(F.count(F.lit(1)).alias("n"))

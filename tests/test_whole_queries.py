@@ -52,15 +52,15 @@ def rows(spark, folder, name, *columns):
 def test_all_pairs_are_counted(spark, folder):
     expected = pairs_by_lang()
     assert min(expected.values()) < 25 <= max(expected.values())
-    assert rows(spark, folder, "cooc_corpus_by_lang_all", "lang", "w1", "w2", "value") == expected
-    assert rows(spark, folder, "cooc_decode_split_all", "lang", "first", "second", "value") == expected
+    assert rows(spark, folder, "cooc_corpus_by_lang", "lang", "w1", "w2", "value") == expected
+    assert rows(spark, folder, "cooc_decode_split", "lang", "first", "second", "value") == expected
     either = {k: v for k, v in expected.items() if {"the", "und"} & set(k[1:])}
-    assert rows(spark, folder, "join_match_pairs_all", "lang", "w1", "w2", "value") == either
-    assert rows(spark, folder, "join_exclude_pairs_all", "lang", "w1", "w2", "value") == {k: v for k, v in expected.items() if k not in either}
+    assert rows(spark, folder, "join_match_pairs", "lang", "w1", "w2", "value") == either
+    assert rows(spark, folder, "join_exclude_pairs", "lang", "w1", "w2", "value") == {k: v for k, v in expected.items() if k not in either}
     n = Counter()
     for _, text, lang, _ in TEXTS:
         n[lang] += len(tokens_of(text))
-    assert rows(spark, folder, "key_per_words_all", "lang", "w1", "w2", "value") == pytest.approx({k: v / n[k[0]] for k, v in expected.items()}, abs=1e-11)
+    assert rows(spark, folder, "key_per_words", "lang", "w1", "w2", "value") == pytest.approx({k: v / n[k[0]] for k, v in expected.items()}, abs=1e-11)
 
 
 def ln(x):
@@ -97,14 +97,14 @@ def test_keyness_takes_its_sums_from_all_pairs(spark, folder, metric):
     for _, text, lang, _ in TEXTS:
         n[lang] += len(tokens_of(text))
     expected = {k: METRICS[metric](v, z[k[0]], firsts[k[0], k[1]], firsts[k[0], k[2]], n[k[0]]) for k, v in pairs.items()}
-    found = rows(spark, folder, f"key_{metric}_all", "lang", "w1", "w2", "weight")
+    found = rows(spark, folder, f"key_{metric}", "lang", "w1", "w2", "weight")
     assert {k: found.get(k, 0.0) for k in expected} == pytest.approx(expected, abs=2e-5) and found.keys() <= expected.keys()
     assert any(pairs[k] < 25 for k in found)
 
 
 def test_tokens_of_all_languages_are_decoded(spark, folder):
     expected = Counter(t for _, text, *_ in TEXTS for t in tokens_of(text))
-    assert rows(spark, folder, "join_decode_all", "token", "n") == {(t,): n for t, n in expected.items()}
+    assert rows(spark, folder, "join_decode", "token", "n") == {(t,): n for t, n in expected.items()}
 
 
 @pytest.mark.parametrize("name", ["ml_lda", "ml_topic_tokens"])
