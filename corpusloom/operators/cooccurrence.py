@@ -99,3 +99,36 @@ def hal_frame(docs: DataFrame, size: int, metric: int = 2, keys: Iterable[str] =
     counts = members.groupBy(*keys, "token").agg(F.sum("_m").alias("_c"))
     out = pairs.join(counts.withColumnsRenamed({"token": "w1", "_c": "nw_x"}), [*keys, "w1"]).join(counts.withColumnsRenamed({"token": "w2", "_c": "nw_y"}), [*keys, "w2"])
     return out.withColumn("cwr", F.coalesce(F.try_divide(F.col("nw_xy"), F.col("nw_x") + F.col("nw_y") - F.col("nw_xy")), F.lit(0.0)))
+
+
+def glove_frame(docs: DataFrame, size: int, normalize: str | None = "size", keys: Iterable[str] = (), tokens: str = "tokens") -> DataFrame:
+    """Unordered pairs of different tokens with nw_xy, the sum of 1 / distance up to ``size``, and cwr: nw_xy over the number of tokens ("size"), the largest nw_xy ("max"), or 1 (None)."""
+    keys = list(keys)
+    pairs = hal_weights(docs, size, 1, keys, tokens).where("w1 <> w2").groupBy(*keys, F.least("w1", "w2").alias("w1"), F.greatest("w1", "w2").alias("w2")).agg(F.sum("weight").alias("nw_xy"))
+    pairs = pairs.withColumns({"nw_x": F.lit(0), "nw_y": F.lit(0)})
+    if normalize is None:
+        return pairs.withColumn("cwr", F.col("nw_xy"))
+    if normalize not in ("size", "max"):
+        raise ValueError(f"unknown normalization: {normalize}")
+    norm = docs.groupBy(*keys).agg(F.sum(F.size(tokens)).alias("_norm")) if normalize == "size" else pairs.groupBy(*keys).agg(F.max("nw_xy").alias("_norm"))
+    joined = pairs.join(norm, keys) if keys else pairs.join(F.broadcast(norm))  # one row
+    return joined.withColumn("cwr", F.col("nw_xy") / F.col("_norm")).where("cwr > 0").drop("_norm")
+
+
+def window_statistics(docs: DataFrame, width: int, keys: Iterable[str] = ("document_id",), tokens: str = "tokens") -> DataFrame:
+    """Keys, n_windows (one a token) and n_tokens, the windows' tokens altogether, from the number of tokens alone."""
+    n = F.size(tokens).cast("long")
+    side = F.when(n > width, n * width - width * (width + 1) // 2).otherwise((n * (n - 1) / 2).cast("long"))
+    return docs.groupBy(*keys).agg(F.sum(n).alias("n_windows"), F.sum(n + 2 * side).alias("n_tokens"))
+
+
+def token_window_totals(docs: DataFrame, width: int, keys: Iterable[str] = (), tokens: str = "tokens") -> DataFrame:
+    """Keys, token, n: how often windows hold the token, each occurrence counted."""
+    rows = docs.select(*keys, F.size(tokens).alias("_n"), F.posexplode(tokens).alias("_p", "token"))
+    held = (F.least(F.col("_n") - 1, F.col("_p") + width) - F.greatest(F.lit(0), F.col("_p") - width) + 1).cast("long")
+    return rows.groupBy(*keys, "token").agg(F.sum(held).alias("n"))
+
+
+def add_documents(coo: DataFrame, more: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """Pairs of further documents added to pairs already counted."""
+    return group_pairs(coo.unionByName(more), list(keys))

@@ -102,9 +102,18 @@ def extend(index: DataFrame, other: DataFrame, on: str = "document_name") -> Dat
 
 def codify(df: DataFrame, column: str, id_column: str) -> DataFrame:
     """Adds dense codes of a category in sorted order from 0; null becomes -1."""
-    codes = df.where(F.col(column).isNotNull()).select(column).distinct()
-    codes = codes.withColumn(id_column, F.row_number().over(Window.orderBy(column)) - 1)  # one row a category
-    return df.join(codes, column, "left").withColumn(id_column, F.coalesce(id_column, F.lit(-1)))
+    codes = dense_ids(df.where(F.col(column).isNotNull()).select(column).distinct(), [column], id_column)
+    return df.join(codes, column, "left").withColumn(id_column, F.coalesce(F.col(id_column), F.lit(-1)).cast("int"))
+
+
+def group_documents(index: DataFrame, by: str, name: str = "document_name") -> DataFrame:
+    """The names of each group's documents, in order."""
+    return index.groupBy(by).agg(F.array_sort(F.collect_list(name)).alias("document_names"))
+
+
+def count_by(index: DataFrame, by: str) -> DataFrame:
+    """Documents of each group; no order is needed beforehand."""
+    return index.groupBy(by).agg(F.count(F.lit(1)).alias("n_documents"))
 
 
 def group_index(index: DataFrame, by: list[str], sums: list[str] = (), members: bool = False) -> DataFrame:

@@ -35,18 +35,47 @@ def pca(df: DataFrame, column: str, components: int) -> DataFrame:
     return PCA(k=components, inputCol="_v", outputCol="_p").fit(centred).transform(centred).withColumn("projection", vector_to_array("_p")).drop("_v", "_p", "_means")
 
 
+def distances(points: np.ndarray, metric: str) -> np.ndarray:
+    """All distances of ``points``; one component at a time where a metric is a sum or maximum over components."""
+    n = len(points)
+    if metric in ("cosine", "correlation"):
+        x = points - points.mean(1, keepdims=True) if metric == "correlation" else points
+        unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        return np.maximum(1 - unit @ unit.T, 0)
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric: {metric}")
+    top, low = np.zeros((n, n)), np.zeros((n, n))
+    spread = points.var(0, ddof=1) if n > 1 else np.ones(points.shape[1])
+    for k in range(points.shape[1]):
+        a, b = points[:, k][:, None], points[:, k][None]
+        gap = np.abs(a - b)
+        if metric == "chebyshev":
+            top = np.maximum(top, gap)
+        elif metric in ("cityblock", "braycurtis"):
+            top += gap
+            low += np.abs(a + b)
+        elif metric == "canberra":
+            top += np.divide(gap, np.abs(a) + np.abs(b), out=np.zeros((n, n)), where=(a != 0) | (b != 0))
+        elif metric in ("hamming", "jaccard"):
+            either = (a != 0) | (b != 0)
+            top += (gap != 0) & either if metric == "jaccard" else gap != 0
+            low += either
+        elif metric == "seuclidean":
+            top += gap**2 / spread[k] if spread[k] > 0 else 0
+        else:
+            top += gap**2
+    if metric in ("braycurtis", "jaccard"):
+        return np.divide(top, low, out=np.zeros((n, n)), where=low > 0)
+    return top / points.shape[1] if metric == "hamming" else np.sqrt(top) if metric in ("euclidean", "minkowski", "seuclidean") else top
+
+
+#: Distances between vectors that ``distances`` knows besides cosine and correlation; "minkowski" is of order 2.
+METRICS = ("braycurtis", "canberra", "chebyshev", "cityblock", "euclidean", "hamming", "jaccard", "minkowski", "seuclidean", "sqeuclidean")
+
+
 def linkage(points: np.ndarray, method: str = "ward", metric: str = "euclidean") -> np.ndarray:
     """Rows (cluster a, cluster b, distance, size) of agglomerative clustering by the Lance-Williams recurrence."""
-    if metric not in ("euclidean", "cityblock", "cosine"):
-        raise ValueError(f"unknown metric: {metric}")
-    n = len(points)
-    if metric == "cosine":
-        unit = points / np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-12)
-        d = 1 - unit @ unit.T
-    elif metric == "cityblock":
-        d = np.abs(points[:, None] - points[None]).sum(2)
-    else:
-        d = np.sqrt(np.maximum(((points[:, None] - points[None]) ** 2).sum(2), 0))
+    n, d = len(points), distances(np.asarray(points, float), metric)
     d = d**2 if method in ("ward", "centroid", "median") else d.astype(float)
     np.fill_diagonal(d, np.inf)
     ids, sizes, live, out = list(range(n)), [1] * n, np.ones(n, bool), []
@@ -145,11 +174,48 @@ def coherence(ttw: DataFrame, cells: DataFrame, n_top: int = 10) -> DataFrame:
     from corpusloom.operators.topics import top_tokens
 
     top = top_tokens(ttw, n_top).select("topic_id", "token", "position")
-    # topics' top tokens are few: they choose the cells that are joined
-    used = cells.join(top.select("token").distinct(), "token", "left_semi").select("document_id", "token").distinct()
-    df = used.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    # a document's top tokens of one topic come as one list, so that only pairs within a topic are made
+    used = cells.select("document_id", "token").distinct().join(top, "token")
+    df = used.groupBy("topic_id", "token").agg(F.count(F.lit(1)).alias("df"))
     a, b = top.toDF("topic_id", "w1", "p1"), top.toDF("topic_id", "w2", "p2")
     pairs = a.join(b, "topic_id").where("p1 < p2")
-    both = used.withColumnRenamed("token", "w1").join(used.withColumnRenamed("token", "w2"), "document_id").where("w1 <> w2").groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("both"))
-    joined = pairs.join(both, ["w1", "w2"], "left").join(df.withColumnRenamed("token", "w1"), "w1")
+    lists = used.groupBy("topic_id", "document_id").agg(F.array_sort(F.collect_list("position")).alias("_p"))
+    met = F.flatten(F.transform("_p", lambda p, i: F.transform(F.slice("_p", i + 2, F.size("_p")), lambda q: F.struct(p.alias("p1"), q.alias("p2")))))
+    both = lists.select("topic_id", F.explode(met).alias("_m")).groupBy("topic_id", F.col("_m.p1").alias("p1"), F.col("_m.p2").alias("p2")).agg(F.count(F.lit(1)).alias("both"))
+    joined = pairs.join(both, ["topic_id", "p1", "p2"], "left").join(df.withColumnRenamed("token", "w1"), ["topic_id", "w1"])
     return joined.groupBy("topic_id").agg(F.avg(F.ln((F.coalesce("both", F.lit(0)) + 1) / F.col("df"))).alias("u_mass"))
+
+
+def topic_scores(dtm: Dtm, numbers: list[int], n_top: int = 10, **training) -> DataFrame:
+    """For each number of topics a model's mean u_mass coherence and its perplexity, exp(-likelihood bound per token)."""
+    rows, spark = [], dtm.cells.sparkSession
+    for k in numbers:
+        model, vocab, vectors = train_topics(dtm, k, **training)
+        score = coherence(topic_token_weights(model, vocab, n_top), dtm.cells, n_top).agg(F.avg("u_mass")).first()[0]
+        rows.append((k, score, float(np.exp(model.logPerplexity(vectors)))))
+    return spark.createDataFrame(rows, "n_topics int, coherence double, perplexity double")
+
+
+def train_lsi(dtm: Dtm, k: int) -> tuple[DataFrame, DataFrame]:
+    """G21 (LSI): the ``k`` largest singular values of the document-term matrix: (topic_id, token, weight, singular_value), (document_id, topic_id, weight).
+
+    Spark's distributed truncated decomposition; the driver holds k vectors over the vocabulary. A document's weight is its
+    counts times the topic's token vector. The sign of a topic is such that its heaviest token is positive.
+    """
+    from pyspark.mllib.linalg import Vectors
+    from pyspark.mllib.linalg.distributed import RowMatrix
+
+    spark = dtm.cells.sparkSession
+    vectors, vocab = document_vectors(dtm)
+    rows = vectors.select("features").rdd.map(lambda r: Vectors.fromML(r.features))
+    found = RowMatrix(rows).computeSVD(k)
+    v, s = found.V.toArray(), found.s.toArray()
+    v = v * np.sign(v[np.abs(v).argmax(0), np.arange(len(s))])
+    parts = ((int(i), pd.DataFrame({"topic_id": i, "token_id": np.arange(len(v)), "weight": v[:, i], "singular_value": float(s[i])})) for i in range(len(s)))
+    weights = None
+    for _, frame in parts:
+        one = spark.createDataFrame(frame, "topic_id int, token_id long, weight double, singular_value double")
+        weights = one if weights is None else weights.unionByName(one)
+    weights = weights.join(vocab, "token_id").select("topic_id", "token", "weight", "singular_value")
+    documents = dtm.cells.join(weights, "token").groupBy("document_id", "topic_id").agg(F.sum(F.col("value") * F.col("weight")).alias("weight"))
+    return weights, documents

@@ -15,6 +15,25 @@ from pyspark.sql import functions as F
 EPSILON = 1e-5
 
 
+#: The metrics that can be asked for, and their columns.
+METRICS = {
+    "l2_norm": ("l2_norm",), "slope": ("slope", "intercept"), "chi2_stats": ("chi2_stats", "chi2_p"), "stats": ("min", "max", "mean"),
+    "earth_mover": ("earth_mover",), "entropy": ("entropy",), "kld": ("kld",), "skew": ("skew",),
+}
+
+
+def gof_metrics(cells: DataFrame, documents: int, metrics: list[str] | None = None, x_offset: float = 0.0, ordinal: str = "x") -> DataFrame:
+    """G1: token, word_count and the columns of the named metrics (all, if None); the slope's line is over ordinals from ``x_offset``."""
+    wanted = list(METRICS) if metrics is None else metrics
+    if unknown := set(wanted) - set(METRICS):
+        raise ValueError(f"unknown metrics: {sorted(unknown)}")
+    found = goodness_of_fit(cells, documents, ordinal).withColumnRenamed("earth_mover_distance", "earth_mover")
+    found = found.withColumn("intercept", F.col("intercept") - F.col("slope") * F.lit(x_offset))
+    if "chi2_stats" in wanted:
+        found = found.withColumn("chi2_p", chi_squared_p(F.col("chi2_stats"), documents - 1))
+    return found.select("token", "word_count", *[c for m in wanted for c in METRICS[m]])
+
+
 def goodness_of_fit(cells: DataFrame, documents: int, ordinal: str = "x") -> DataFrame:
     """Per token word_count, l2_norm, slope, intercept, chi2_stats, earth_mover_distance, entropy, kld, skew, min, max, mean.
 
@@ -63,12 +82,73 @@ def slopes(cells: DataFrame, keys: list[str], x: str = "year", y: str = "value")
     return cells.groupBy(*keys).agg(k.alias("k"), m.alias("m"), F.min(x).alias("x1"), F.max(x).alias("x2")).withColumns({"y1": F.col("k") * F.col("x1") + F.col("m"), "y2": F.col("k") * F.col("x2") + F.col("m")})
 
 
+def slopes_with_p(cells: DataFrame, keys: list[str], x: str = "year", y: str = "value") -> DataFrame:
+    """``slopes`` and p, the two-sided probability of such a slope if there were none (Student's t); null under three points."""
+    r2, n = F.regr_r2(y, x), F.regr_count(y, x)
+    tests = cells.groupBy(*keys).agg(r2.alias("_r2"), n.alias("_n"))
+    return slopes(cells, keys, x, y).join(tests, list(keys)).withColumn("p", _slope_p(F.col("_r2").cast("double"), F.col("_n").cast("double"))).drop("_r2", "_n")
+
+
+def _slope_p(r2: Column, n: Column) -> Column:
+    @F.pandas_udf("double")
+    def run(r2: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([None if not (c > 2) or r != r else student_tail(r, c - 2) for r, c in zip(r2, n, strict=True)], dtype="float64")
+
+    return run(r2, n)
+
+
+def student_tail(r2: float, freedom: float) -> float:
+    """Two-sided tail of Student's t for a squared correlation: the regularised incomplete beta function I(1 - r2; freedom / 2, 1 / 2)."""
+    from math import exp, lgamma, log
+
+    x, a, b = min(1.0, max(0.0, 1 - r2)), freedom / 2, 0.5
+    if x in (0.0, 1.0):
+        return x
+
+    def fraction(x, a, b):  # the continued fraction of the incomplete beta function
+        c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1) or 1e-300)
+        h = d
+        for m in range(1, 1000):
+            for term in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+                d = 1 / (1 + term * d or 1e-300)
+                c = 1 + term / c or 1e-300
+                h *= d * c
+            if abs(d * c - 1) < 1e-15:
+                break
+        return h
+
+    front = exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * log(x) + b * log(1 - x))
+    return front * fraction(x, a, b) / a if x < (a + 1) / (a + b + 2) else 1 - front * fraction(1 - x, b, a) / b
+
+
+def token_count_data(index: DataFrame, grouping: str, columns: list[str], total: str = "n_tokens", normalize: bool = False, smooth: bool = False) -> DataFrame:
+    """Sums of count columns by a numeric grouping, on demand over the group's total, and values that are missing (no tokens) interpolated along the grouping.
+
+    A missing value between two known ones lies on the line between them, after the last one it is that one, before the first it stays null.
+    """
+    sums = index.groupBy(grouping).agg(*[F.sum(c).cast("double").alias(c) for c in columns], F.sum(total).cast("double").alias("_total"))
+    if normalize:
+        sums = sums.withColumns({c: F.try_divide(c, "_total") for c in columns})
+    sums = sums.drop("_total")
+    if not smooth:
+        return sums
+    # one row a group: few
+    before, after = Window.orderBy(grouping).rowsBetween(Window.unboundedPreceding, 0), Window.orderBy(grouping).rowsBetween(0, Window.unboundedFollowing)
+    x = F.col(grouping)
+    for c in columns:
+        known = F.when(F.col(c).isNotNull(), F.struct(x.cast("double").alias("x"), F.col(c).alias("y")))
+        a, b = F.last(known, ignorenulls=True).over(before), F.first(known, ignorenulls=True).over(after)
+        between = a["y"] + (b["y"] - a["y"]) * F.try_divide(x - a["x"], b["x"] - a["x"])
+        sums = sums.withColumn("_" + c, F.coalesce(F.col(c), between, a["y"]))
+    return sums.select(grouping, *[F.col("_" + c).alias(c) for c in columns])
+
+
 def boxplot(df: DataFrame, value: str, keys: list[str] = ()) -> DataFrame:
     """Quartiles, interquartile range, whiskers at 1.5 of it, number of outliers."""
     q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     quartiles = df.groupBy(*keys).agg(q.alias("_q")).select(*keys, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("q2"), F.col("_q")[2].alias("q3"))
     quartiles = quartiles.withColumn("iqr", F.col("q3") - F.col("q1")).withColumns({"upper": F.col("q3") + 1.5 * F.col("iqr"), "lower": F.col("q1") - 1.5 * F.col("iqr")})
-    joined = df.join(F.broadcast(quartiles), list(keys)) if keys else df.join(F.broadcast(quartiles))  # one row a group
+    joined = df.join(quartiles, list(keys)) if keys else df.join(F.broadcast(quartiles))  # one row
     names = [*keys, "q1", "q2", "q3", "iqr", "upper", "lower"]
     return joined.groupBy(*names).agg(F.count_if((F.col(value) > F.col("upper")) | (F.col(value) < F.col("lower"))).alias("n_outliers"))
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.predicates import mask, search_predicate
 from corpusloom.operators.index import overload
+from corpusloom.operators.values import scale_to_range
 
 NO_TOKENS = "Topics has no significant presence in any documents in the entire corpus"
 
@@ -69,6 +70,20 @@ class TopicWeights:
         counts = lists.select(*keys, F.explode(pairs).alias("_p")).groupBy(*keys, F.col("_p.s").alias("source"), F.col("_p.t").alias("target")).agg(F.count(F.lit(1)).alias("n_docs"))
         return counts.where(F.col("n_docs") >= n_docs) if n_docs > 1 else counts
 
+    def topic_document_network(self, labels: dict[int, str] | None = None, low: float = 0.1, high: float = 2.0) -> DataFrame:
+        """The rows with their documents' names as titles, weights scaled so that the largest is ``high``, topics by their labels on demand."""
+        rows = scale_to_range(self.data, "weight", low, high).join(self.index.select("document_id", "document_name"), "document_id").withColumn("title", F.col("document_name"))
+        if labels is None:
+            return rows
+        pairs = [F.lit(x) for pair in labels.items() for x in pair]
+        return rows.withColumn("topic_id", F.try_element_at(F.create_map(*pairs), F.col("topic_id")) if pairs else F.lit(None).cast("string"))
+
+    def focus_and_others(self, topics: list[int]) -> DataFrame:
+        """The focus topics' rows and the other rows of their documents, one after the other."""
+        focus = self.filter_by_topics(topics)
+        others = self.filter_by_topics(topics, negate=True).data.join(focus.data.select("document_id").distinct(), "document_id", "left_semi")
+        return focus.data.withColumn("focus", F.lit(True)).unionByName(others.withColumn("focus", F.lit(False)))
+
     def pivot_topic_network(self, key: str, aggregate: str = "mean", threshold: float = 0.0) -> DataFrame:
         """Mean or maximal weight of each topic by a pivot column, above the threshold, scaled so that the largest is 1 and none is below 0.1."""
         data = self.data if key in self.data.columns else overload(self.data, self.index, [key])
@@ -123,7 +138,7 @@ def compress_topics(weights: DataFrame) -> DataFrame:
     """Topics in use numbered anew from 0, in their order."""
     used = weights.select("topic_id").distinct()
     codes = used.withColumn("_new", (F.row_number().over(Window.orderBy("topic_id")) - 1).cast(weights.schema["topic_id"].dataType))  # one row a topic
-    return weights.join(F.broadcast(codes), "topic_id").withColumn("topic_id", F.col("_new")).drop("_new")
+    return weights.join(codes, "topic_id").withColumn("topic_id", F.col("_new")).drop("_new")
 
 
 def top_tokens(ttw: DataFrame, n: int) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import matrices, networks, pairs, texts
+from corpusloom.plans import further, matrices, networks, pairs, texts
 from corpusloom.plans.tables import SQL, Q
 
-__all__ = ["ORACLE_SQL", "QUERIES", "matrices", "networks", "pairs", "texts"]
+__all__ = ["ORACLE_SQL", "QUERIES", "further", "matrices", "networks", "pairs", "texts"]
 
 QUERIES = Q
 ORACLE_SQL = SQL

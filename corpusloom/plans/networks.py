@@ -142,9 +142,16 @@ def graph_bipartite(spark, d):
     return graph.is_bipartite(_edges(spark, d))
 
 
-@query("graph_betweenness")
+_WALKS = """, m AS (SELECT source, target FROM e WHERE weight >= 0.9 * greatest(1.0, (SELECT max(weight) FROM e))), u AS (SELECT source AS a, target AS b FROM m UNION SELECT target, source FROM m), v AS (SELECT DISTINCT a AS id FROM u),
+walk AS (SELECT id AS s, id AS t, 0 AS d FROM v UNION SELECT s, b, d + 1 FROM walk JOIN u ON t = a WHERE d < 20), dist AS (SELECT s, t, min(d) AS d FROM walk GROUP BY ALL),
+path AS (SELECT id AS s, id AS t, 0 AS d FROM v UNION ALL SELECT path.s, u.b, path.d + 1 FROM path JOIN u ON path.t = u.a JOIN dist ON dist.s = path.s AND dist.t = u.b AND dist.d = path.d + 1), sig AS (SELECT s, t, d, count(*)::DOUBLE AS n FROM path GROUP BY ALL),
+bt AS (SELECT v.id, coalesce(sum(x.n * y.n / z.n), 0) / ((SELECT count(*) FROM v) - 1) / ((SELECT count(*) FROM v) - 2) AS b FROM v LEFT JOIN sig x ON x.t = v.id AND x.s <> v.id LEFT JOIN sig y ON y.s = v.id AND y.t NOT IN (v.id, x.s) LEFT JOIN sig z ON z.s = x.s AND z.t = y.t AND z.d = x.d + y.d GROUP BY v.id)"""
+
+
+@query("graph_betweenness", f"WITH RECURSIVE {_EDGES}{_WALKS} SELECT id::VARCHAR AS id, round(b, 9) AS betweenness, round(7 + 10 * coalesce(b / nullif(max(b) OVER (), 0), 0), 7) AS size FROM bt")
 def graph_betweenness(spark, d):
-    return graph.betweenness(graph.sub_network(_edges(spark, d), 0.9))
+    found = graph.betweenness(graph.sub_network(_edges(spark, d), 0.9))
+    return found.withColumns({"betweenness": F.round("betweenness", 9), "size": F.round("size", 7)})
 
 
 @query("graph_louvain")
@@ -199,12 +206,22 @@ def ml_topic_tokens(spark, d):
 # sources
 
 
-@query("src_html_text")
+_HTML = r"""regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<head\\b.*?</head\\s*>|<!--.*?-->', ' ', 'g'), '(?i)<br\\s*/?>|</(p|div|li|h[1-6]|tr|ul|ol|table|section|article|nav)>', E'\\n', 'g'), '(?s)<[^>]*>', ' ', 'g')""".replace("\\\\", "\\")
+for _entity, _sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+    _HTML = f"replace({_HTML}, '{_entity}', '{_sign}')"
+_HTML = rf"regexp_replace(regexp_replace(regexp_replace({_HTML}, '[ \t\x0B\f\r]+', ' ', 'g'), ' ?\n[ \n]*', E'\n', 'g'), '^[ \n]+|[ \n]+$', '', 'g')"
+
+
+@query("src_html_text", f"SELECT page_id, {_HTML} AS text FROM pages")
 def src_html_text(spark, d):
     return table(spark, d, "pages").select("page_id", html_text(F.col("html")).alias("text"))
 
 
-@query("src_segments")
+# a mark is put at each place where sentences part, as this side has no patterns that look behind
+_SPLIT = r"""regexp_replace(regexp_replace(text, '([.!?][\"''”’)]?)\s+([\"''“‘(]?[\p{Lu}\p{N}])', E'\\1\x01\\2', 'g'), '\n{2,}', E'\x01', 'g')"""
+
+
+@query("src_segments", f"SELECT doc_id, (k - 1)::INT AS segment, s AS text FROM (SELECT doc_id, unnest(l) AS s, unnest(range(1, len(l) + 1)) AS k FROM (SELECT doc_id, list_filter(string_split({_SPLIT}, E'\\x01'), lambda x: length(trim(x)) > 0) AS l FROM documents))")
 def src_segments(spark, d):
     return segments(table(spark, d, "documents").select("doc_id", "text"), "sentence")
 

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.keyness import significance
@@ -123,6 +123,23 @@ class Pipeline:
         """an error when a row fails."""
         return replace(self, docs=self.docs.where(F.when(predicate, F.lit(True)).otherwise(F.raise_error(F.lit(message)).cast("boolean"))))
 
+    def reduce(self, aggregate: Callable[[], Column] | Column, zero=None):
+        """All documents folded to one value by an aggregate expression; ``zero`` where there are none. Partial results are made in tasks."""
+        value = self.docs.agg(aggregate() if callable(aggregate) else aggregate).first()[0]
+        return zero if value is None else value
+
+    def exhaust(self) -> Pipeline:
+        """everything is computed and nothing kept."""
+        self.docs.write.format("noop").mode("overwrite").save()
+        return self
+
+    def single(self):
+        """the one row that there is, an error otherwise."""
+        rows = self.docs.limit(2).collect()
+        if len(rows) != 1:
+            raise ValueError("there is not exactly one document")
+        return rows[0]
+
     def take(self, n: int) -> Pipeline:
         """F14."""
         return replace(self, docs=self.docs.orderBy("document_id").limit(n))

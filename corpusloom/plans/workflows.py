@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.tokens import TokensTransformOpts
-from corpusloom.operators import cooccurrence, ml, topics
+from corpusloom.operators import cooccurrence, ml, tagged, topics, vocabulary
 from corpusloom.operators.dtm import Dtm
+from corpusloom.plans.config import named
 from corpusloom.plans.pipeline import ContextOpts, Pipeline
 from corpusloom.sources.store import Store
 
@@ -42,11 +43,14 @@ def co_occurrence(spark: SparkSession, source, target: str, opts: ContextOpts =
 
 def train_topics(spark: SparkSession, source, target: str, k: int = 100, max_iter: int = 20, seed: int = 1, n_tokens: int = 200, minimum_probability: float = 0.005, **reading) -> Store:
     """A topic model with its relations: weights of tokens and documents, overview, vocabulary, index."""
-    dtm = prepared(spark, source, **reading).to_dtm()
+    return _train(spark, prepared(spark, source, **reading).to_dtm(), target, k, max_iter, seed, n_tokens, minimum_probability, reading)
+
+
+def _train(spark: SparkSession, dtm: Dtm, target: str, k: int, max_iter: int, seed: int, n_tokens: int, minimum_probability: float, options: dict) -> Store:
     model, vocab, vectors = ml.train_topics(dtm, k, max_iter, seed=seed)
     store = Store(spark, target)
     model.write().overwrite().save(f"{target}/model")
-    store.save({"k": k, "max_iter": max_iter, "seed": seed, **reading}, vocabulary=vocab, index=dtm.index)
+    store.save({"k": k, "max_iter": max_iter, "seed": seed, **options}, vocabulary=vocab, index=dtm.index)
     _store_topics(store, ml.topic_token_weights(model, store.load("vocabulary"), n_tokens), ml.predict_topics(model, vectors, minimum_probability), n_tokens)
     return store
 
@@ -89,12 +93,48 @@ def load_dtm(spark: SparkSession, folder: str, **slices) -> Dtm:
     return Store(spark, folder).load_dtm(**slices)
 
 
+def tag_corpus(spark: SparkSession, source, target: str, tagger: str, **reading) -> Store:
+    """Documents tagged by a function given by dotted name (text -> (token, lemma, tag) triples), stored as a row a token with the vocabulary."""
+    p = Pipeline.read(spark, source, **reading)
+    rows = p.index().join(tagged.tag(p.docs.select("document_id", "text"), named(tagger)), "document_id")
+    store = Store(spark, target)
+    store.save({"tagger": tagger}, docs=rows, index=p.index())
+    store.save(store.options(), vocabulary=vocabulary.vocabulary(store.load("docs"), first_seen=False))
+    return store
+
+
+def stored(spark: SparkSession, folder: str, pos_includes: str = "", pos_excludes: str = "", lemmatize: bool = False, min_len: int = 1, to_lower: bool = False, tf_threshold: int = 1) -> Pipeline:
+    """Tokens of a stored tagged corpus that pass the filters."""
+    old = Store(spark, folder)
+    opts = tagged.ExtractOpts(lemmatize=lemmatize, pos_includes=pos_includes, pos_excludes=pos_excludes)
+    return Pipeline(old.load("docs")).filter_tagged(opts, TokensTransformOpts(min_len=min_len, to_lower=to_lower)).vocabulary(tf_threshold)
+
+
+def vectorize_stored(spark: SparkSession, folder: str, target: str, min_df: int = 1, min_tf: int = 1, max_tokens: int | None = None, **filters) -> Store:
+    """A document-term matrix of a stored tagged corpus."""
+    store = Store(spark, target)
+    store.save_dtm(stored(spark, folder, **filters).to_dtm(min_df=min_df, min_tf=min_tf, max_tokens=max_tokens), source=folder, **filters)
+    return store
+
+
+def train_topics_stored(spark: SparkSession, folder: str, target: str, k: int = 100, max_iter: int = 20, seed: int = 1, n_tokens: int = 200, minimum_probability: float = 0.005, **filters) -> Store:
+    """A topic model of a stored tagged corpus."""
+    return _train(spark, stored(spark, folder, **filters).to_dtm(), target, k, max_iter, seed, n_tokens, minimum_probability, {"source": folder, **filters})
+
+
 def main(args: list[str]) -> None:
+    """NAME SOURCE TARGET [key=value ...]; predict-topics also takes model=FOLDER, merge-topics clusters as JSON."""
     name, source, target, *rest = args
-    jobs = {"vectorize": vectorize, "co-occurrence": co_occurrence, "train-topics": train_topics}
-    value = lambda v: int(v) if v.isdigit() else v
-    spark = SparkSession.builder.appName(f"corpusloom {name}").getOrCreate()
-    jobs[name](spark, source, target, **{k: value(v) for k, v in (r.split("=", 1) for r in rest)})
+    value = lambda v: int(v) if v.lstrip("-").isdigit() else {"true": True, "false": False}.get(v, v)
+    options = {k: value(v) for k, v in (r.split("=", 1) for r in rest)}
+    jobs = {
+        "vectorize": vectorize, "co-occurrence": co_occurrence, "train-topics": train_topics, "vectorize-id": vectorize_stored, "train-topics-id": train_topics_stored, "pos-tag": tag_corpus,
+        "predict-topics": lambda spark, source, target, model, **o: predict_topics(spark, model, source, target, **o),
+        "merge-topics": lambda spark, source, target, clusters: merge_topics(spark, source, json.loads(clusters), target),
+    }
+    if name not in jobs:
+        raise SystemExit(f"{name} is none of {', '.join(jobs)}")
+    jobs[name](SparkSession.builder.appName(f"corpusloom {name}").getOrCreate(), source, target, **options)
 
 
 if __name__ == "__main__":

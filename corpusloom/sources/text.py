@@ -40,13 +40,21 @@ def read_lines(spark: SparkSession, path: str, sep: str | None = None) -> DataFr
 
 
 def zip_members(batches: Iterator[pd.DataFrame], matches: re.Pattern, encoding: str) -> Iterator[pd.DataFrame]:
-    """Members of archives, one at a time."""
+    """Members of archives, some megabytes at a time."""
+    names, texts, size = [], [], 0
     for batch in batches:
         for content in batch["content"]:
             with zipfile.ZipFile(io.BytesIO(content)) as archive:
                 for name in sorted(archive.namelist()):
                     if not name.endswith("/") and matches.match(name.rsplit("/", 1)[-1]):
-                        yield pd.DataFrame({"filename": [name], "text": [archive.read(name).decode(encoding)]})
+                        data = archive.read(name)
+                        names.append(name), texts.append(data.decode(encoding))
+                        size += len(data)
+                        if size >= 8 << 20:
+                            yield pd.DataFrame({"filename": names, "text": texts})
+                            names, texts, size = [], [], 0
+    if names:
+        yield pd.DataFrame({"filename": names, "text": texts})
 
 
 def read_zip(spark: SparkSession, path: str, pattern: str = "*.txt", encoding: str = "utf-8") -> DataFrame:
@@ -176,3 +184,28 @@ def render(template: str, columns: Iterable[str]) -> Column:
     pieces = re.split(r"\{(\w+)\}", template)
     known = set(columns)
     return F.concat(*[F.coalesce(F.col(p).cast("string"), F.lit("")) if k % 2 and p in known else F.lit(p) for k, p in enumerate(pieces)])
+
+
+def doc_topics(spark: SparkSession, path: str, normalize: bool = False, least: float = 0.005) -> DataFrame:
+    """document_id, topic_id, weight from lines ``id<tab>name<tab>topic<tab>weight<tab>topic<tab>weight...``; lines that begin with # are comments.
+
+    Weights under ``least`` go; on demand a document's others are made to sum to 1.
+    """
+    parts = F.split("value", "\t")
+    rows = spark.read.text(path).where(~F.col("value").startswith("#")).select(parts[0].cast("long").alias("document_id"), F.slice(parts, 3, F.size(parts)).alias("_p"))
+    pairs = F.transform(F.sequence(F.lit(1), F.floor(F.size("_p") / 2).cast("int")), lambda i: F.struct(F.get("_p", 2 * i - 2).cast("double").cast("int").alias("topic_id"), F.get("_p", 2 * i - 1).cast("double").alias("weight")))
+    pairs = F.filter(F.when(F.size("_p") >= 2, pairs), lambda p: p["weight"] >= least)
+    rows = rows.withColumn("_p", pairs).withColumn("_sum", F.aggregate("_p", F.lit(0.0), lambda a, p: a + p["weight"]) if normalize else F.lit(1.0))
+    return rows.select("document_id", "_sum", F.explode("_p").alias("_p")).select("document_id", F.col("_p.topic_id").alias("topic_id"), (F.col("_p.weight") / F.col("_sum")).alias("weight"))
+
+
+def topic_words(spark: SparkSession, path: str) -> DataFrame:
+    """topic_id, token, weight from lines ``topic<tab>token<tab>weight``; the smallest weight is what every token has, so its rows go."""
+    rows = spark.read.csv(path, sep="\t", schema="topic_id int, token string, weight double")
+    least = rows.agg(F.min("weight").alias("_least"))
+    return rows.join(F.broadcast(least)).where("weight > _least").drop("_least")  # one row
+
+
+def topic_keys(spark: SparkSession, path: str) -> DataFrame:
+    """topic_id, alpha, tokens from lines ``topic<tab>alpha<tab>tokens``."""
+    return spark.read.csv(path, sep="\t", schema="topic_id int, alpha double, tokens string")

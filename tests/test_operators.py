@@ -281,5 +281,5 @@ def test_the_rest_does_not_need_llm():
 
 
 def test_unknown_metrics_are_refused():
-    with pytest.raises(ValueError, match="unknown metric: jaccard"):
-        ml.linkage(np.zeros((3, 2)), "average", "jaccard")
+    with pytest.raises(ValueError, match="unknown metric: manhattan"):
+        ml.linkage(np.zeros((3, 2)), "average", "manhattan")
