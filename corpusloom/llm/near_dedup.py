@@ -347,7 +347,7 @@ def _incidence(some: np.ndarray, hashes: np.ndarray, rows: np.ndarray, n: int) -
     return x
 
 
-def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, block: int = 1024) -> DataFrame:
+def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, block: int = 512) -> DataFrame:
     """One row per input row: id, n_shingles, component_id, kept.
 
     Two documents are linked when 100 * intersection >= ``percent`` * union of their shingle sets (``percent`` >= 75: the bands and
