@@ -7,9 +7,10 @@ import pandas as pd
 from pyspark.ml.clustering import LDA, BisectingKMeans, KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from corpusloom.operators.dtm import Dtm
 from corpusloom.operators.index import dense_ids
@@ -126,15 +127,15 @@ def hierarchical_clusters(df: DataFrame, name: str, column: str, n_top: int, by:
 
 
 def vectors_in(dtm: Dtm, vocab: DataFrame) -> DataFrame:
-    """document_id, features: sparse count vectors over a vocabulary (token_id from 0, token) for Spark's estimators."""
-    size = vocab.count()
-
-    @F.udf(VectorUDT())
-    def vector(pairs):
-        return SparseVector(size, sorted((int(p[0]), float(p[1])) for p in pairs))
+    """document_id, features: sparse count vectors over a vocabulary (token_id from 0, token) for Spark's estimators.
 
-    cells = dtm.cells.join(vocab, "token")
-    return cells.groupBy("document_id").agg(vector(F.collect_list(F.struct("token_id", F.col("value").cast("double")))).alias("features"))
+    Spark has no function that makes sparse vectors, but its JSON reader does, so they are made without Python.
+    """
+    size = vocab.count()
+    pairs = dtm.cells.join(vocab, "token").groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct(F.col("token_id").cast("int").alias("i"), F.col("value").cast("double").alias("x")))).alias("_p"))
+    vector = F.struct(F.lit(0).cast("byte").alias("type"), F.lit(size).cast("int").alias("size"), F.transform("_p", lambda p: p["i"]).alias("indices"), F.transform("_p", lambda p: p["x"]).alias("values"))
+    made = F.from_json(F.to_json(F.struct(vector.alias("features"))), StructType([StructField("features", VectorUDT())]))
+    return pairs.select("document_id", made["features"].alias("features"))
 
 
 def document_vectors(dtm: Dtm) -> tuple[DataFrame, DataFrame]:
