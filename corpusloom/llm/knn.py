@@ -1,10 +1,12 @@
 """Exact top-k search by inner product with KD-trees per shard.
 
-Vectors are dealt to shards by a hash of their id. Each shard is a KD-tree: median splits along the widest side, down to small
-leaves with tight bounding boxes. A query visits leaves best first, by the largest inner product that a leaf's box allows, and
-stops at the first leaf whose bound is below its k-th best score. That k-th score is propagated: every query first meets one
-shard, then some, then all others, and takes the k-th score so far along as the bound that a leaf has to reach. Queries travel
-in blocks of bounded size to shards of bounded size by an equi-join on the shard; the partial lists are merged per query.
+Vectors are dealt to cells, the leaves of a small KD-tree that median splits of a bounded sample make (at most ``CELLS``), and
+within a cell to shards by a hash of their id. Each shard is a KD-tree: median splits along the widest side, down to small leaves
+with tight bounding boxes. A query visits leaves best first, by the largest inner product that a leaf's box allows, and stops at
+the first leaf whose bound is below its k-th best score. That k-th score is propagated: every query first meets one shard of its
+own cell, then the others of its cell, then those of other cells, and takes the k-th score so far along as the bound that a box has
+to reach; cells whose box cannot reach it for any query of a block are not visited at all. Queries travel in blocks of bounded
+size to shards of bounded size by an equi-join on the shard; the partial lists are merged per query.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from pyspark.sql import functions as F
 from corpusloom.llm.scratch import free_name, partitions_for, written
 
 LEAF = 64
+#: Cells at most, and sampled rows for each; their boxes and splits are all that is sent to every task.
+CELLS, SAMPLED = 256, 64
 #: No score is below this.
 NO_BOUND = -(2**63)
 
@@ -75,6 +79,33 @@ class Tree:
         return found
 
 
+class Cells:
+    """Median splits of a sample: for each vector length a full binary tree of (axis, value), cells numbered by its leaves."""
+
+    def __init__(self, sample: dict[int, np.ndarray], depth: int) -> None:
+        self.depth, self.trees = depth, {}
+        for d, points in sample.items():
+            axes, values, parts = np.zeros((1 << depth) - 1, int), np.zeros((1 << depth) - 1, np.int64), [points]
+            for node in range(len(axes) if d else 0):
+                own = parts[node]
+                if len(own):
+                    axes[node] = int(np.argmax(own.max(0) - own.min(0)))
+                    values[node] = np.partition(own[:, axes[node]], len(own) // 2)[len(own) // 2]
+                right = own[:, axes[node]] >= values[node]
+                parts += [own[~right], own[right]]
+            self.trees[d] = axes, values
+
+    def of(self, points: np.ndarray) -> np.ndarray:
+        """The cell of each row; lengths that the sample lacks are all in cell 0."""
+        node = np.zeros(len(points), int)
+        if points.shape[1] and points.shape[1] in self.trees:
+            axes, values = self.trees[points.shape[1]]
+            for _ in range(self.depth):
+                node = 2 * node + 1 + (points[np.arange(len(points)), axes[node]] >= values[node])
+            return node - ((1 << self.depth) - 1)
+        return node
+
+
 def bounds(queries: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """In float64. Of integers too large for it to be exact, the bound is raised by what rounding can lose; it cannot overflow."""
     q, low_, high_ = (a.astype(np.float64) for a in (queries, low, high))
@@ -102,9 +133,26 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     good = F.col("_id").isNotNull() & F.col("_x").isNotNull() & F.forall("_x", lambda c: F.coalesce((c == c) & (F.abs(c) < float("inf")) & ~F.isnan(c), F.lit(False)))
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("_id"), x.alias("_x"), (F.lit(True) if queries is None else F.coalesce(queries, F.lit(False))).alias("_query"))
     rows = written(rows.where(good).select("_id", "_query", F.size("_x").alias("_d"), F.transform("_x", lambda c: F.floor(c * scale).cast("long")).alias("_v")), "knn-vectors")
-    count = rows.count()
+    count, asked_n = rows.agg(F.count(F.lit(1)), F.count_if("_query")).first()
     shards = max(1, -(-count // shard_rows))
-    dealt = rows.withColumn("_shard", F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(shards)).cast("int"))
+    depth = int(np.log2(max(1, min(CELLS, shards, -(-asked_n // block_rows)))))
+    each = max(1, -(-shards // (1 << depth)))  # shards of a cell
+    draw, wanted = F.pmod(F.xxhash64("_id", "_v", F.lit(9)), F.lit(1 << 30)), SAMPLED << depth
+    sample: dict[int, list] = {}
+    for r in rows.where(draw < int(min(1.0, 2 * wanted / max(1, count)) * (1 << 30))).orderBy(draw).limit(wanted).collect() if depth else []:
+        sample.setdefault(r._d, []).append(r._v)
+    cells = Cells({d: np.array(v, np.int64).reshape(len(v), d) for d, v in sample.items()}, depth)
+
+    def assign(batches):
+        for batch in batches:
+            lengths, cell = np.array(batch.column(2)), np.zeros(batch.num_rows, np.int32)
+            for d in np.unique(lengths).tolist():
+                own = np.flatnonzero(lengths == d)
+                cell[own] = cells.of(batch.column(3).take(pa.array(own)).flatten().to_numpy().reshape(len(own), d))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], names=["_id", "_query", "_d", "_v", "_cell"])
+
+    dealt = rows.select("_id", "_query", "_d", "_v").mapInArrow(assign, "_id long, _query boolean, _d int, _v array<long>, _cell int")
+    dealt = dealt.withColumn("_shard", (F.col("_cell") * each + F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(each))).cast("int"))
 
     def pack(batches):
         """One row per run of a shard (and vector length) of at most 2 * shard_rows rows: its number, ids and components as bytes."""
@@ -130,30 +178,62 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
             yield done()
 
     packed = "_shard int, _d int, _run long, _ids binary, _points binary"
-    sets = dealt.repartition(min(shards, partitions_for(rows, count, 1 << 17)), "_shard").sortWithinPartitions("_shard", "_d", "_id").mapInArrow(pack, packed)
+    sets = dealt.repartition(min(each << depth, partitions_for(rows, count, 1 << 17)), "_shard").sortWithinPartitions("_shard", "_d", "_id").mapInArrow(pack, packed)
     sets = written(sets, "knn-shards")
+
+    def boxes(batches):
+        """The box of each cell and vector length that a task sees."""
+        held: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            for cell, d, low, high in zip(*[batch.column(c).to_pylist() for c in range(4)], strict=True):
+                low, high = (np.frombuffer(x, np.int64).reshape(-1, d) for x in (low, high))
+                if d:
+                    a, b = low.min(0), high.max(0)
+                    old = held.get((cell, d), (a, b))
+                    held[cell, d] = np.minimum(old[0], a), np.maximum(old[1], b)
+        yield pa.RecordBatch.from_pydict(
+            {"_cell": pa.array([c for c, _ in held], pa.int32()), "_d": pa.array([d for _, d in held], pa.int32()), "_low": pa.array([a.tobytes() for a, _ in held.values()], pa.binary()), "_high": pa.array([b.tobytes() for _, b in held.values()], pa.binary())}
+        )
+
+    box = "_cell int, _d int, _low binary, _high binary"
+    known = sets.select(F.floor(F.col("_shard") / each).cast("int"), "_d", "_points", F.col("_points").alias("_same")).mapInArrow(boxes, box).repartition("_cell", "_d").mapInArrow(boxes, box)
+    frames = {(r._cell, r._d): (np.frombuffer(r._low, np.int64)[None], np.frombuffer(r._high, np.int64)[None]) for r in known.collect()}  # one a cell and length
     asked = dealt.where("_query")
-    homes = min(shards, max(1, -(-asked.count() // block_rows)))
-    asked = asked.withColumn("_shard", F.pmod(F.xxhash64("_id", F.lit(6)), F.lit(homes)).cast("int"))
+    homes = max(1, -(-asked_n // (block_rows << depth)))
+    asked = asked.withColumn("_home", (F.col("_cell") * homes + F.pmod(F.xxhash64("_id", F.lit(6)), F.lit(homes))).cast("int"))
 
-    def blocks(batches):
-        """Queries of one home shard and length in blocks: ids, components, least scores."""
+    def blocks(batches, first: int, last: int, others: bool):
+        """Queries of one home and length in blocks (ids, components, least scores), once for each shard to visit.
+
+        Shards ``first`` to ``last`` - 1 of the own cell, counted from one that the home tells; or all of other cells whose box
+        allows a query of the block its least score.
+        """
         held, ids, vectors, least = None, [], [], []
 
         def done():
-            return pa.RecordBatch.from_pydict({"_shard": pa.array([held[0]], pa.int32()), "_d": pa.array([held[1]], pa.int32()), "_qids": [np.array(ids, np.int64).tobytes()], "_q": [np.array(vectors, np.int64).tobytes()], "_least": [np.array(least, np.int64).tobytes()]})
+            home, d = held
+            cell, q, floor = home // homes, np.array(vectors, np.int64).reshape(len(ids), d), np.array(least, np.int64)
+            if others:
+                to = [c for (c, n), (low, high) in frames.items() if n == d and c != cell and (bounds(q, low, high)[:, 0] >= floor).any()]
+                shards_ = [c * each + k for c in to for k in range(each)]
+            else:
+                shards_ = [cell * each + (home + k) % each for k in range(first, last)]
+            block = [np.array(ids, np.int64).tobytes(), q.tobytes(), floor.tobytes()]
+            for at in range(0, len(shards_), 64):
+                some = shards_[at : at + 64]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([d] * len(some), pa.int32()), *[pa.array([x] * len(some), pa.binary()) for x in block]], names=["_shard", "_d", "_qids", "_q", "_least"])
 
         for batch in batches:
-            for shard, d, i, v, x in zip(*[batch.column(c).to_pylist() for c in ("_shard", "_d", "_id", "_v", "_floor")], strict=True):
-                if held != (shard, d) or len(ids) >= block_rows:
+            for home, d, i, v, x in zip(*[batch.column(c).to_pylist() for c in ("_home", "_d", "_id", "_v", "_floor")], strict=True):
+                if held != (home, d) or len(ids) >= block_rows:
                     if ids:
-                        yield done()
-                    held, ids, vectors, least = (shard, d), [], [], []
+                        yield from done()
+                    held, ids, vectors, least = (home, d), [], [], []
                 ids.append(i)
                 vectors.append(v)
                 least.append(NO_BOUND if x is None else x)
         if ids:
-            yield done()
+            yield from done()
 
     block = "_shard int, _d int, _qids binary, _q binary, _least binary"
 
@@ -187,20 +267,18 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
         order = Window.partitionBy("_query").orderBy(F.desc("_score"), "_vec")
         return found.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k)
 
-    # first the home shard, then about the square root of their number, then the others, each time with the k-th score so far as
-    # the bound: a query's partial lists stay near k * sqrt(shards) rows altogether
-    found, near = None, min(shards, 1 + int(np.ceil(np.sqrt(shards - 1))))
-    for first, end in ((0, 1), (1, near), (near, shards)):
-        if first >= end:
+    # one shard of the own cell, the cell's others, other cells, each time with the k-th score so far as the bound
+    found = None
+    for first, last, others in ((0, 1, False), (1, each, False), (0, 0, True)):
+        if not others and first >= last or others and not depth:
             continue
         if found is None:
             floors = asked.withColumn("_floor", F.lit(None).cast("long"))
         else:
             kth = found.where(F.col("_rank") == k).select(F.col("_query").alias("_id"), F.col("_score").alias("_floor"))
-            floors = asked.join(kth, "_id", "left")
-        packed_ = floors.repartition("_shard").sortWithinPartitions("_shard", "_d", "_id").mapInArrow(blocks, block)
-        step = F.explode(F.sequence(F.lit(first), F.lit(end - 1))).alias("_step")
-        visits = packed_.select("*", step).withColumn("_shard", F.pmod(F.col("_shard") + F.col("_step"), F.lit(shards)))
+            floors = asked.drop("_query").join(kth, "_id", "left")
+        floors = floors.select("_home", "_d", "_id", "_v", "_floor")
+        visits = floors.repartition("_home").sortWithinPartitions("_home", "_d", "_id").mapInArrow(lambda it, a=first, b=last, o=others: blocks(it, a, b, o), block)
         more = visits.join(sets, ["_shard", "_d"]).mapInArrow(visit, result)
         found = written(best(more if found is None else found.drop("_rank").unionByName(more)), "knn-best")
     names = [free_name(n, [id_col]) for n in ("query_id", "rank", "score")]
