@@ -189,7 +189,7 @@ class Dtm:
     def group_by_mapping(self, mapping: dict[int, list[int]], spark) -> DataFrame:
         """Explicit {new row: old rows}."""
         pairs = spark.createDataFrame([(k, int(d)) for k, ds in mapping.items() for d in ds], "category int, document_id long")
-        return self.cells.join(F.broadcast(pairs), "document_id").groupBy("category", "token").agg(F.sum("value").alias("value"))  # as given by the caller
+        return self.cells.join(pairs, "document_id").groupBy("category", "token").agg(F.sum("value").alias("value"))  # as given by the caller
 
     # other shapes
 

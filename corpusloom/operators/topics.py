@@ -172,6 +172,6 @@ def saliency(ttw: DataFrame, frequency: DataFrame) -> DataFrame:
     total = marginal.agg(F.sum("_q").alias("_all"))
     marginal = marginal.join(F.broadcast(total)).select("topic_id", (F.col("_q") / F.col("_all")).alias("_q"))  # one row
     of_token = ttw.groupBy("token").agg(F.sum("weight").alias("_sum"))
-    shares = ttw.join(of_token, "token").join(F.broadcast(marginal), "topic_id").withColumn("_p", F.col("weight") / F.col("_sum"))  # one row a topic
+    shares = ttw.join(of_token, "token").join(marginal, "topic_id").withColumn("_p", F.col("weight") / F.col("_sum"))  # one row a topic
     found = shares.groupBy("token").agg(F.sum(F.col("_p") * F.ln(F.col("_p") / F.col("_q"))).alias("distinctiveness")).join(frequency.withColumnRenamed("tf", "frequency"), "token")
     return found.withColumn("saliency", F.col("frequency") * F.col("distinctiveness"))

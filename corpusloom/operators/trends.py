@@ -40,7 +40,7 @@ def extract(grouped: DataFrame, wanted: Iterable[str], top: int, keys: list[str]
     """The rows of the ``top`` most frequent words that match; ties to the smaller word."""
     found = grouped.where(word_predicate(F.col("token"), wanted))
     words = found.groupBy("token").agg(F.sum("value").alias("_v")).orderBy(F.desc("_v"), "token").limit(top)
-    return found.join(F.broadcast(words.select("token")), "token").select(*keys, "token", "value")  # at most ``top`` rows
+    return found.join(words.select("token"), "token").select(*keys, "token", "value")  # at most ``top`` rows
 
 
 def wide(extracted: DataFrame, words: list[str], keys: list[str] = ("period",)) -> DataFrame:

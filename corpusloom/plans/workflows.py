@@ -76,7 +76,7 @@ def merge_topics(spark: SparkSession, folder: str, clusters: dict[str, list[int]
     token_weights = topics.merge_topics(old.load("topic_token_weights"), clusters)
     used = token_weights.select("topic_id").unionByName(document_weights.select("topic_id")).distinct()
     codes = topics.compress_topics(used.withColumn("_old", F.col("topic_id")))  # one row a topic
-    renumbered = lambda df: df.withColumnRenamed("topic_id", "_old").join(F.broadcast(codes), "_old").drop("_old")
+    renumbered = lambda df: df.withColumnRenamed("topic_id", "_old").join(codes, "_old").drop("_old")
     store.save({"clusters": {k: list(v) for k, v in clusters.items()}}, index=old.load("index"), vocabulary=old.load("vocabulary"))
     _store_topics(store, renumbered(token_weights), renumbered(document_weights), 200)
     return store
