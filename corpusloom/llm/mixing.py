@@ -25,7 +25,7 @@ WEIGHTS = (5, 2, 1)
 #: Bits of a draw, and of a rank when ranks are put in bins.
 BITS = 52
 #: Bits by which one level of the histogram refines a bin.
-STEP = 12
+STEP = 8
 
 
 def draws(ids: Column, texts: Column, seed: str) -> Column:
