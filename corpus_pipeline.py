@@ -13,7 +13,7 @@ from corpusloom.llm.language_id import identify_language
 from corpusloom.llm.mixing import draws, mix_sources
 from corpusloom.llm.near_dedup import near_dedup
 from corpusloom.llm.packing import pack_best_fit
-from corpusloom.llm.scratch import free_name, temporary, written
+from corpusloom.llm.scratch import broadcast_checked, free_name, temporary, written
 
 #: Documents whose best language is less probable than this go. On held-out documents (op8's rule) of the small check table 8 of 10251
 #: are below it, of which 5 are right; from 0.4 to 0.5 30 of 36 are right, and texts in two languages have 0.4 or more in one of them.
@@ -29,9 +29,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def joined(docs: DataFrame, decisions: DataFrame, keys: list[tuple[str, Column]], how: str) -> DataFrame:
-    """``docs`` joined to ``decisions`` on key columns of these, each equal (null to null) to what an expression gives for a document."""
+    """``docs`` joined to ``decisions`` (a written table) on key columns of these, each equal (null to null) to what an expression gives for a document.
+
+    Up to 100,000 decisions, as counted, are broadcast; more meet the documents in a shuffled join.
+    """
     names = {c: free_name(f"_decided_{c}", docs.columns) for c in decisions.columns}
-    decisions = decisions.select(*[F.col(c).alias(n) for c, n in names.items()])
+    decisions = broadcast_checked(decisions.select(*[F.col(c).alias(n) for c, n in names.items()]))
     on = [made.eqNullSafe(F.col(names[c])) for c, made in keys]
     return docs.join(decisions, on, how)
 
@@ -39,15 +42,16 @@ def joined(docs: DataFrame, decisions: DataFrame, keys: list[tuple[str, Column]]
 def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays; of rows that share id and text, the one with the longest original.
 
-    What goes is told by an anti-join, so where few documents go, Spark broadcasts these and moves no texts.
+    What goes is told by an anti-join, so where few documents go, no texts are moved.
     """
     with temporary(spark) as keep:
         found = exact_dedup(docs).groupBy("doc_id", "text_sha256").agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
         found = written(found, "pipeline-exact")
-        gone = keep(written(found.where("not kept or n > 1").select("doc_id", "text_sha256"), "pipeline-gone"))
-        repeated = keep(written(found.where("kept and n > 1").select("doc_id", "text_sha256"), "pipeline-repeated"))
+        found = found.withColumn("sha", F.unhex("text_sha256"))
+        gone = keep(written(found.where("not kept or n > 1").select("doc_id", "sha"), "pipeline-gone"))
+        repeated = keep(written(found.where("kept and n > 1").select("doc_id", "sha"), "pipeline-repeated"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keys = [("doc_id", F.col("doc_id")), ("text_sha256", F.sha2(without_whitespace(text).cast("binary"), 256))]
+    keys = [("doc_id", F.col("doc_id")), ("sha", F.unhex(F.sha2(without_whitespace(text).cast("binary"), 256)))]
     out = joined(docs, gone, keys, "left_anti")
     if repeated.isEmpty():
         return out
@@ -69,6 +73,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     copies = F.when(F.col("size") > 0, F.try_divide("taken", "size")).otherwise(1)
     taken = mix_sources(docs, seed=MIX_SEED).groupBy("doc_id", "draw").agg(F.round(F.avg(copies)).cast("int").alias("copies")).where("copies > 0")
+    taken = written(taken, "pipeline-mix")
     key = [("doc_id", F.col("doc_id")), ("draw", draws(F.col("doc_id").cast("long"), F.col("text").cast("string"), MIX_SEED))]
     name = free_name("_decided_copies", docs.columns)
     repeats = F.explode(F.sequence(F.lit(1), F.col(name))).alias(free_name("_copy", docs.columns))
