@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -12,6 +13,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _TABLES: list[str] = []
+#: The tables of each open ``temporary`` of this thread.
+_OPEN = threading.local()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,6 +36,8 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _TABLES.append(path)
+    for made in getattr(_OPEN, "stack", []):
+        made.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
@@ -45,17 +50,23 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """Deletes at its end the tables written within, but for those handed to the function that it gives, which hands them back."""
-    before, kept = set(_TABLES), set()
+    """Deletes at its end the tables that this thread wrote within, but for those handed to the function that it gives, which hands them back."""
+    made: list[str] = []
+    kept: set[str] = set()
+    _OPEN.stack = [*getattr(_OPEN, "stack", []), made]
 
     def keep(df: DataFrame) -> DataFrame:
         kept.add(df.written_to)
         return df
 
-    yield keep
-    for path in [p for p in _TABLES if p not in before and p not in kept]:
-        _TABLES.remove(path)
-        _delete(spark, path)
+    try:
+        yield keep
+    finally:
+        _OPEN.stack = _OPEN.stack[:-1]
+    for path in made:
+        if path not in kept and path in _TABLES:
+            _TABLES.remove(path)
+            _delete(spark, path)
 
 
 def purge(spark: SparkSession) -> None:
