@@ -31,10 +31,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def joined(docs: DataFrame, decisions: DataFrame, keys: list[tuple[str, Column]], how: str) -> DataFrame:
     """``docs`` joined to ``decisions`` (a written table) on key columns of these, each equal (null to null) to what an expression gives for a document.
 
-    Up to 100,000 decisions, as counted, are broadcast; more meet the documents in a shuffled join.
+    Decisions on some documents (anti- and semi-joins) are broadcast up to 100,000, as counted; more, and decisions on all
+    documents, meet these in a shuffled join.
     """
     names = {c: free_name(f"_decided_{c}", docs.columns) for c in decisions.columns}
-    decisions = broadcast_checked(decisions.select(*[F.col(c).alias(n) for c, n in names.items()]))
+    decisions = decisions.select(*[F.col(c).alias(n) for c, n in names.items()])
+    decisions = decisions.hint("merge") if how == "inner" else broadcast_checked(decisions)
     on = [made.eqNullSafe(F.col(names[c])) for c, made in keys]
     return docs.join(decisions, on, how)
 
