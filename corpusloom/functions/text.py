@@ -219,6 +219,14 @@ def swedish_dehyphen(x: Column, frequencies: dict[str, int] | None = None) -> Co
     return run(x)
 
 
+@TEXT.register("sparv-tokenize,pretokenize")
+def word_tokens_apart(x: Column) -> Column:
+    """Words and punctuation of the word tokenizer with single blanks between."""
+    from corpusloom.functions.tokens import word_tokenize
+
+    return F.array_join(word_tokenize(x), " ")
+
+
 def transform_text(x: Column, keys: str = "dehyphen,normalize-whitespace") -> Column:
     """Applies the transforms named in ``keys``."""
     return TEXT.compose(keys)(x)

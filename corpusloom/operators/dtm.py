@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.predicates import mask, word_predicate
+from corpusloom.functions.tokens import tokenize
 from corpusloom.operators.index import fill_gaps, temporal_key
 
 
@@ -66,6 +67,29 @@ class Dtm:
         n = self.index.agg(F.count(F.lit(1)).alias("n_documents"))
         return self.cells.agg(F.count_distinct("token").alias("n_terms"), F.sum("value").alias("total")).join(n)  # one row each
 
+    # what a matrix says of itself
+
+    @property
+    def terms(self) -> DataFrame:
+        """The tokens that it has."""
+        return self.cells.select("token").distinct()
+
+    def shape(self) -> tuple[int, int]:
+        """Numbers of documents and of tokens in use."""
+        return self.index.count(), self.terms.count()
+
+    def has_term(self, token) -> bool:
+        """X75."""
+        return not self.cells.where(F.col("token") == token).isEmpty()
+
+    def transposed(self) -> DataFrame:
+        """Tokens as documents: document_id (the token), token (the document), value."""
+        return self.cells.select(F.col("token").alias("document_id"), F.col("document_id").alias("token"), "value")
+
+    def with_index(self, index: DataFrame) -> Dtm:
+        """Another index; documents that it lacks go."""
+        return Dtm(self.cells.join(index.select("document_id"), "document_id", "left_semi"), index)
+
     # filters and slices
 
     def filter(self, predicate: Column | dict) -> Dtm:
@@ -207,3 +231,25 @@ class Dtm:
         """w1 < w2 and the sum over documents of the product of their values."""
         a, b = self.cells.toDF("document_id", "w1", "v1"), self.cells.toDF("document_id", "w2", "v2")
         return a.join(b, "document_id").where("w1 < w2").groupBy("w1", "w2").agg(F.sum(F.col("v1") * F.col("v2")).alias("value"))
+
+
+def from_texts(docs: DataFrame, text: str = "text", **options) -> Dtm:
+    """A5: from a column of texts; ``options`` as of ``vectorize``."""
+    tokens = docs.select("document_id", F.posexplode(tokenize(F.lower(text))).alias("pos", "token"))
+    return Dtm(vectorize(tokens, **options), docs.drop(text))
+
+
+def from_tokens(docs: DataFrame, tokens: str = "tokens", **options) -> Dtm:
+    """A5: from a column of token arrays."""
+    return Dtm(vectorize(docs.select("document_id", F.posexplode(tokens).alias("pos", "token")), **options), docs.drop(tokens))
+
+
+def from_bags(bags: DataFrame, index: DataFrame | None = None) -> Dtm:
+    """From rows document_id, token, value, equal cells summed; without an index the documents that occur are it."""
+    cells = bags.groupBy("document_id", "token").agg(F.sum("value").alias("value"))
+    return Dtm(cells, cells.select("document_id").distinct() if index is None else index)
+
+
+def from_pairs(coo: DataFrame, key: str = "document_id", sep: str = "/") -> Dtm:
+    """Pairs as tokens ``w1/w2`` of a matrix."""
+    return from_bags(coo.select(F.col(key).alias("document_id"), F.concat_ws(sep, "w1", "w2").alias("token"), "value"))

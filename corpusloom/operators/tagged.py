@@ -164,3 +164,11 @@ def tag(docs: DataFrame, tagger: Callable[[str], list[tuple[str, str, str]]]) ->
             yield pd.DataFrame(rows, columns=["document_id", "pos", "token", "lemma", "pos_tag"])
 
     return docs.select("document_id", "text").mapInPandas(run, "document_id long, pos int, token string, lemma string, pos_tag string")
+
+
+def filter_attributes(tokens: DataFrame, token: str = "token", **flags: bool) -> DataFrame:
+    """rows of tokens that are not white space and whose flag columns (is_alpha, is_stop, ...) are as wanted."""
+    keep = F.trim(F.col(token)) != ""
+    for name, wanted in flags.items():
+        keep &= F.col(name) == F.lit(wanted)
+    return tokens.where(keep)

@@ -59,3 +59,21 @@ def translate(cells: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
     """Token ids of one vocabulary to those of another, by token; what the other lacks goes."""
     ids = old.select("token", F.col("token_id").alias("_old")).join(new.select("token", F.col("token_id").alias("_new")), "token")
     return cells.join(ids, cells.token_id == ids._old).withColumn("token_id", F.col("_new")).drop("token", "_old", "_new")
+
+
+def lookup(vocab: DataFrame, tokens: list[str]) -> dict[str, int]:
+    """Ids of a few tokens; those that the vocabulary lacks are left out."""
+    return {r.token: r.token_id for r in vocab.where(F.col("token").isin(*tokens)).collect()}  # as many rows as tokens
+
+
+def opened(vocab: DataFrame, tokens: DataFrame) -> DataFrame:
+    """The vocabulary and, after its last id, the tokens that it lacks, with their counts."""
+    new = term_counts(tokens).select("token", "tf").join(vocab.select("token"), "token", "left_anti")
+    last = vocab.agg(F.coalesce(F.max("token_id"), F.lit(-1)).alias("_last"))
+    added = dense_ids(new, ["token"], "_k").join(last).select((F.col("_last") + 1 + F.col("_k")).cast("int").alias("token_id"), "token", "tf")  # one row
+    return vocab.select("token_id", "token", "tf").unionByName(added)
+
+
+def id_range(vocab: DataFrame, first: int, last: int) -> DataFrame:
+    """The part of the vocabulary between two ids, both included."""
+    return vocab.where(F.col("token_id").between(first, last))

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import tokens as tk
 from corpusloom.operators import cooccurrence as co
+from corpusloom.operators import dtm, ml, stats, values
 from corpusloom.operators import index as ix
-from corpusloom.operators import ml, stats, values
+from corpusloom.operators import tagged as tg
 from corpusloom.operators import topics as tp
+from corpusloom.operators import vocabulary as vc
 from corpusloom.plans.matrices import _YEARS as _GOF_YEARS
 from corpusloom.plans.pairs import _SPELLED, W
 from corpusloom.plans.pipeline import Pipeline
@@ -181,9 +183,9 @@ def stat_slopes_p(spark, d):
 @query("stat_token_counts", f"""WITH {DTM}, c AS (SELECT document_id, sum(value) FILTER (token % 2 = 0) AS even, sum(value) FILTER (token % 2 = 1) AS odd, sum(value) AS n FROM cells GROUP BY 1)
 SELECT year, round(sum(even) / sum(n), 9) AS even, round(sum(odd) / sum(n), 9) AS odd FROM idx JOIN c USING (document_id) GROUP BY year""")
 def stat_token_counts(spark, d):
-    dtm = orders_dtm(spark, d)
-    sums = dtm.cells.groupBy("document_id").agg(F.sum(F.when(F.col("token") % 2 == 0, F.col("value"))).alias("even"), F.sum(F.when(F.col("token") % 2 == 1, F.col("value"))).alias("odd"), F.sum("value").alias("n_tokens"))
-    found = stats.token_count_data(dtm.index.join(sums, "document_id"), "year", ["even", "odd"], normalize=True, smooth=True)
+    matrix = orders_dtm(spark, d)
+    sums = matrix.cells.groupBy("document_id").agg(F.sum(F.when(F.col("token") % 2 == 0, F.col("value"))).alias("even"), F.sum(F.when(F.col("token") % 2 == 1, F.col("value"))).alias("odd"), F.sum("value").alias("n_tokens"))
+    found = stats.token_count_data(matrix.index.join(sums, "document_id"), "year", ["even", "odd"], normalize=True, smooth=True)
     return found.withColumns({c: F.round(c, 9) for c in ("even", "odd")})
 
 
@@ -321,6 +323,48 @@ def snk_pipeline(spark, d):
     return Pipeline(saved.load("docs")).to_dtm().cells
 
 
+# matrices and vocabularies
+
+
+@query("agg_from_texts", f"WITH {TOK} SELECT document_id, count(DISTINCT token) AS n_types, count(*) AS n_tokens FROM tok GROUP BY 1")
+def agg_from_texts(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), "text", "lang")
+    return dtm.from_texts(docs).cells.groupBy("document_id").agg(F.count(F.lit(1)).alias("n_types"), F.sum("value").alias("n_tokens"))
+
+
+@query("agg_from_tokens", f"WITH {TURNS} SELECT token, count(*) AS tf FROM ttok GROUP BY 1")
+def agg_from_tokens(spark, d):
+    return dtm.from_tokens(turns(spark, d)).term_frequency().select("token", F.col("tf"))
+
+
+@query("agg_from_bags", f"WITH {DTM} SELECT token AS document_id, document_id AS token, value FROM cells")
+def agg_from_bags(spark, d):
+    return dtm.from_bags(orders_dtm(spark, d).transposed()).cells
+
+
+@query("agg_from_pairs", f"WITH {TURNS}, {_SPELLED} SELECT document_id, w1 || '/' || w2 AS token, value FROM coo")
+def agg_from_pairs(spark, d):
+    return dtm.from_pairs(co.window_pairs(turns(spark, d), W)).cells
+
+
+@query("agg_with_index", f"WITH {DTM} SELECT document_id, token, value FROM cells WHERE document_id IN (SELECT document_id FROM idx WHERE status = 'O')")
+def agg_with_index(spark, d):
+    matrix = orders_dtm(spark, d)
+    return matrix.with_index(matrix.index.where("status = 'O'")).cells
+
+
+@query("agg_vocab_opened", f"WITH {TOK}, a AS (SELECT token, count(*) AS tf FROM tok WHERE lang = 'en' GROUP BY 1), b AS (SELECT token, count(*) AS tf FROM tok WHERE lang = 'de' AND token NOT IN (SELECT token FROM a) GROUP BY 1) SELECT (row_number() OVER (ORDER BY encode(token)) - 1)::INT AS token_id, token, tf FROM a UNION ALL SELECT ((SELECT count(*) FROM a) + row_number() OVER (ORDER BY encode(token)) - 1)::INT, token, tf FROM b")
+def agg_vocab_opened(spark, d):
+    tok = tokens(spark, d)
+    return vc.opened(vc.vocabulary(tok.where("lang = 'en'"), first_seen=False), tok.where("lang = 'de'"))
+
+
+@query("flt_attributes", f"WITH {TOK} SELECT document_id, pos, token FROM tok WHERE length(token) > 6 AND NOT regexp_matches(token, '\\p{{N}}')")
+def flt_attributes(spark, d):
+    flags = tokens(spark, d).withColumns({"is_long": F.length("token") > 6, "has_number": F.col("token").rlike(r"\p{N}")})
+    return tg.filter_attributes(flags, is_long=True, has_number=False).select("document_id", F.col("pos").cast("long").alias("pos"), "token")
+
+
 # tokens
 
 
@@ -337,7 +381,5 @@ def tok_extra_stopwords(spark, d):
 
 @query("ml_lsi")
 def ml_lsi(spark, d):
-    from corpusloom.operators.dtm import Dtm
-
     lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.concat("l_returnflag", "l_linestatus", F.col("l_linenumber").cast("string")).alias("token"), "l_quantity")
-    return ml.train_lsi(Dtm(lines.groupBy("document_id", "token").agg(F.sum("l_quantity").alias("value")), None), 5)[0]
+    return ml.train_lsi(dtm.Dtm(lines.groupBy("document_id", "token").agg(F.sum("l_quantity").alias("value")), None), 5)[0]

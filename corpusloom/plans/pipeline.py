@@ -45,6 +45,11 @@ class Pipeline:
         docs = read_documents(spark, source, **options)
         return Pipeline(docs if "document_id" in docs.columns else docs.withColumn("document_id", F.xxhash64("document_name")))
 
+    @staticmethod
+    def of_tokens(docs: DataFrame) -> Pipeline:
+        """Documents that are token arrays already (document_id, tokens, ...)."""
+        return Pipeline(docs)
+
     def apply(self, step: Callable[[Pipeline], Pipeline]) -> Pipeline:
         """H4: any step."""
         return step(self)

@@ -13,7 +13,8 @@ from corpusloom.operators import cooccurrence, ml, tagged, topics, vocabulary
 from corpusloom.operators.dtm import Dtm
 from corpusloom.plans.config import named
 from corpusloom.plans.pipeline import ContextOpts, Pipeline
-from corpusloom.sources.store import Store
+from corpusloom.sources import text
+from corpusloom.sources.store import Store, find_tags
 
 
 def prepared(spark: SparkSession, source, pattern: str = "*.txt", transforms: str = "dehyphen,normalize-whitespace", min_len: int = 1, fields: tuple[str, ...] = (), tf_threshold: int = 1, keep: tuple[str, ...] = (), mask: bool = False) -> Pipeline:
@@ -47,6 +48,7 @@ def train_topics(spark: SparkSession, source, target: str, k: int = 100, max_ite
 
 
 def _train(spark: SparkSession, dtm: Dtm, target: str, k: int, max_iter: int, seed: int, n_tokens: int, minimum_probability: float, options: dict) -> Store:
+    """Trains and stores the model, its options and its relations."""
     model, vocab, vectors = ml.train_topics(dtm, k, max_iter, seed=seed)
     store = Store(spark, target)
     model.write().overwrite().save(f"{target}/model")
@@ -103,6 +105,19 @@ def tag_corpus(spark: SparkSession, source, target: str, tagger: str, **reading)
     return store
 
 
+def extract_texts(spark: SparkSession, docs: DataFrame, target: str, opts: tagged.ExtractOpts = tagged.ExtractOpts(), **names) -> DataFrame:
+    """Annotated XML texts (document_name, text) as texts of the tokens that pass, stored and read back: document_name, text."""
+    rows = text.tagged_xml(docs, **names).withColumnRenamed("document_name", "document_id")
+    found = tagged.to_documents(tagged.padded(tagged.filter_tagged(rows, opts), opts))
+    found.select(F.col("document_id").alias("document_name"), F.array_join("tokens", " ").alias("text")).write.mode("overwrite").parquet(target)
+    return spark.read.parquet(target)
+
+
+def find_models(spark: SparkSession, folder: str) -> dict[str, dict]:
+    """Names of the topic models below a folder, with their options."""
+    return {name: Store(spark, f"{folder}/{name}").options() for name in find_tags(spark, folder, "topic_token_weights")}
+
+
 def stored(spark: SparkSession, folder: str, pos_includes: str = "", pos_excludes: str = "", lemmatize: bool = False, min_len: int = 1, to_lower: bool = False, tf_threshold: int = 1) -> Pipeline:
     """Tokens of a stored tagged corpus that pass the filters."""
     old = Store(spark, folder)

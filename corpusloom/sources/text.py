@@ -67,7 +67,7 @@ def read_zip(spark: SparkSession, path: str, pattern: str = "*.txt", encoding: s
 
 
 def read_any(spark: SparkSession, source, pattern: str = "*.txt", names: Iterable[str] | None = None) -> DataFrame:
-    """A zip, a folder or file, a DataFrame, texts or (name, text) pairs; ``names`` keeps files of these names."""
+    """A zip, a folder or file, a DataFrame, texts or (name, text) pairs; ``names`` keeps files of these names."""
     if isinstance(source, DataFrame):
         found = source
     elif isinstance(source, str) and source.endswith(".zip"):
@@ -81,7 +81,7 @@ def read_any(spark: SparkSession, source, pattern: str = "*.txt", names: Iterabl
 
 
 def read_documents(spark: SparkSession, source, pattern: str = "*.txt", fields: Iterable[str] = (), transforms: str = "", types: dict[str, str] | None = None) -> DataFrame:
-    """Read, transform, take metadata from file names (``types``: casts of the fields)."""
+    """Read, transform, take metadata from file names (``types``: casts of the fields)."""
     found = read_any(spark, source, pattern)
     if transforms:
         found = found.withColumn("text", transform_text(F.col("text"), transforms))
@@ -119,7 +119,7 @@ def segments(docs: DataFrame, kind: str = "document", size: int = 1000) -> DataF
 
 
 def tagged_csv(spark: SparkSession, path: str, text: str = "token", lemma: str = "baseform", tag: str = "pos", sep: str = "\t", sparv: bool = False) -> DataFrame:
-    """One row a token: document_name, pos, token, lemma, pos_tag; a file's lines stay in order.
+    """One row a token: document_name, pos, token, lemma, pos_tag; a file's lines stay in order.
 
     ``sparv``: the second line is a comment and base forms are lists.
     """
@@ -209,3 +209,33 @@ def topic_words(spark: SparkSession, path: str) -> DataFrame:
 def topic_keys(spark: SparkSession, path: str) -> DataFrame:
     """topic_id, alpha, tokens from lines ``topic<tab>alpha<tab>tokens``."""
     return spark.read.csv(path, sep="\t", schema="topic_id int, alpha double, tokens string")
+
+
+def read_text(spark: SparkSession, source: str, filename: str) -> str | None:
+    """The text of one file of a folder or archive, None if there is none of that name."""
+    found = read_any(spark, source, pattern=filename).where(F.col("filename") == filename).select("text").take(1)
+    return found[0][0] if found else None
+
+
+def read_feather(spark: SparkSession, path: str, schema: str, pattern: str = "*.feather") -> DataFrame:
+    """Arrow files of a folder, one table each: document_name and the columns of ``schema``; write Parquet from it once."""
+    import pyarrow as pa
+    from pyarrow import feather
+
+    def run(batches):
+        for batch in batches:
+            for name, content in zip(batch["document_name"], batch["content"], strict=True):
+                for chunk in feather.read_table(pa.BufferReader(content)).to_batches(max_chunksize=10_000):
+                    frame = chunk.to_pandas()
+                    frame.insert(0, "document_name", name)
+                    yield frame
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    named = _named(files, F.url_decode(F.col("path"))).select("document_name", "content")
+    return named.mapInPandas(run, f"document_name string, {schema}")
+
+
+def read_vocabulary(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
+    """token_id, token, tf from delimited text with a header; tf is null where there is none."""
+    rows = spark.read.csv(path, sep=sep, header=True)
+    return rows.select(F.col("token_id").cast("int").alias("token_id"), "token", (F.col("tf") if "tf" in rows.columns else F.lit(None)).cast("long").alias("tf"))

@@ -9,8 +9,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.functions import keyness
 from corpusloom.functions import tokens as tk
-from corpusloom.operators import graph, index, ml, stats, values
+from corpusloom.functions.text import transform_text
+from corpusloom.operators import dtm, graph, index, ml, stats, tagged, values
+from corpusloom.operators import vocabulary as vc
 from corpusloom.operators.dtm import Dtm
 from corpusloom.plans import catalogue, config
 from corpusloom.plans import workflows as wf
@@ -269,6 +272,7 @@ def test_jobs_by_name(spark, tmp_path):
     wf.main(["predict-topics", str(folder), out("p"), f"model={out('tm')}"])
     wf.main(["merge-topics", out("tm"), out("m"), 'clusters={"a": [0, 1]}'])
     assert store.Store(spark, out("m")).load("topic_token_overview").count() == 1
+    assert set(wf.find_models(spark, str(tmp_path))) == {"tm", "p", "m"} and wf.find_models(spark, str(tmp_path))["tm"]["k"] == 2
     with pytest.raises(SystemExit):
         wf.main(["nothing", "a", "b"])
 
@@ -282,6 +286,54 @@ def test_scratch_tables_go(spark):
     assert not store.exists(spark, one.written_to)
 
 
+def test_what_a_matrix_says_of_itself(spark):
+    matrix = dtm.from_texts(spark.createDataFrame([(1, "a b a", "x"), (2, "B c", "y"), (3, None, "z")], "document_id long, text string, kind string"))
+    assert matrix.shape() == (3, 3) and matrix.has_term("c") and not matrix.has_term("B") and matrix.index.columns == ["document_id", "kind"]
+    assert {tuple(r) for r in matrix.transposed().collect()} == {("a", 1, 2), ("b", 1, 1), ("b", 2, 1), ("c", 2, 1)}
+    assert matrix.with_index(matrix.index.where("kind = 'y'")).shape() == (1, 2)
+    vocab = spark.createDataFrame([(0, "a", 2), (1, "b", 2)], "token_id int, token string, tf long")
+    assert vc.lookup(vocab, ["b", "none"]) == {"b": 1}
+    more = spark.createDataFrame([(1, 0, "b"), (1, 1, "z"), (1, 2, "c"), (2, 0, "z")], "document_id long, pos int, token string")
+    assert {tuple(r) for r in vc.opened(vocab, more).collect()} == {(0, "a", 2), (1, "b", 2), (2, "c", 1), (3, "z", 2)}
+    assert [r.token for r in vc.id_range(vc.opened(vocab, more), 1, 2).orderBy("token_id").collect()] == ["b", "c"]
+    assert {r.token for r in vc.opened(vocab.where("false"), more).where("token_id < 2").collect()} == {"b", "c"}
+
+
+def test_single_texts_arrow_files_and_vocabularies(spark, tmp_path):
+    import pandas as pd
+
+    (tmp_path / "a.txt").write_text("one")
+    (tmp_path / "b.txt").write_text("two")
+    assert src.read_text(spark, str(tmp_path), "b.txt") == "two" and src.read_text(spark, str(tmp_path), "c.txt") is None
+    for k in range(2):
+        pd.DataFrame({"token": ["x", f"y{k}"], "n": [1, k]}).to_feather(tmp_path / f"doc_{k}.feather")
+    found = src.read_feather(spark, str(tmp_path), "token string, n long")
+    assert {tuple(r) for r in found.collect()} == {("doc_0", "x", 1), ("doc_0", "y0", 0), ("doc_1", "x", 1), ("doc_1", "y1", 1)}
+    (tmp_path / "vocab.csv").write_text("token\ttoken_id\ttf\na\t0\t7\nb\t1\t\n")
+    assert [tuple(r) for r in src.read_vocabulary(spark, str(tmp_path / "vocab.csv")).orderBy("token_id").collect()] == [(0, "a", 7), (1, "b", None)]
+
+
+def test_texts_out_of_annotated_xml(spark, tmp_path):
+    docs = spark.createDataFrame([("d", '<t><s><w pos="NN" lemma="|hus|">Huset</w> <w pos="VB" lemma="|">är</w> <w pos="NN" lemma="|">Stort</w></s></t>')], "document_name string, text string")
+    found = wf.extract_texts(spark, docs, str(tmp_path / "out"), tagged.ExtractOpts(lemmatize=True, pos_includes="|NN|"))
+    assert [tuple(r) for r in found.collect()] == [("d", "hus stort")]
+    assert spark.range(1).select(transform_text(F.lit("Hej,du! a-b 1.5"), "sparv-tokenize")).first()[0] == "Hej , du ! a-b 1.5"
+    flags = spark.createDataFrame([("a", True, False), (" ", True, False), ("b", False, False), ("c", True, True)], "token string, is_alpha boolean, is_stop boolean")
+    assert [r.token for r in tagged.filter_attributes(flags, is_alpha=True, is_stop=False).collect()] == ["a"]
+    assert Pipeline.of_tokens(spark.createDataFrame([(1, ["a", "b", "a"])], "document_id long, tokens array<string>")).to_dtm().cells.count() == 2
+
+
+def test_own_metrics_and_keys(spark):
+    """Callables and columns where names are taken, too."""
+    coo = spark.createDataFrame([("a", "b", 4), ("a", "c", 2)], "w1 string, w2 string, value long")
+    assert {r.w2: r.weight for r in keyness.significance(coo, lambda c, z, a, b, n, normalize: c / z).collect()} == pytest.approx({"b": 4 / 6, "c": 2 / 6})
+    years = spark.createDataFrame([(1991,), (2004,)], "year int")
+    assert [r[0] for r in years.select(index.temporal_key(F.col("year"), lambda y: F.when(y < 2000, "old").otherwise("new"))).collect()] == ["old", "new"]
+    assert [r[0] for r in years.select(index.filename_fields(F.lit("a.txt"), {"n": F.col("year") + 1})["n"]).collect()] == [1992, 2005]
+    matrix = dtm.from_bags(spark.createDataFrame([(1, "a", 1), (2, "a", 1)], "document_id long, token string, value long"))
+    assert matrix.filter(F.col("document_id") > 1).cells.count() == 1
+
+
 def test_stop_words(spark):
     df = spark.createDataFrame([(["the", "house", "and", "of", "garden"],), ([],), (None,)], "tokens array<string>")
     found = [r[0] for r in df.select(tk.remove_stopwords(F.col("tokens"), (*tk.language_stopwords("english"), "house"))).collect()]
