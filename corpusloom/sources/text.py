@@ -58,7 +58,7 @@ def zip_members(batches: Iterator[pd.DataFrame], matches: re.Pattern, encoding:
 
 
 def read_zip(spark: SparkSession, path: str, pattern: str = "*.txt", encoding: str = "utf-8") -> DataFrame:
-    """One row a member of the archive(s): filename, document_name, text."""
+    """One row a member of the archive(s): filename, document_name, text. An archive is read by one task and has at most 2 GB; more data come as several archives."""
     import fnmatch
 
     matches = re.compile(fnmatch.translate(pattern))
