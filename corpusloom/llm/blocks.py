@@ -148,10 +148,12 @@ class Dictionary:
     def __init__(self, blocks: DataFrame, entries: int = ENTRIES, least_row: int = LEAST_ROW, made_with: int = PARTS) -> None:
         self.blocks, self.coarse, self.merged = blocks, made_with, None
         total, count = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("part") < 0)).first()
-        self.parts = max(made_with, -(-total // entries))
+        # a task takes parts one after the other, so where they are small it takes several
+        self.tasks = max(1, -(-total // entries))
+        self.parts = max(made_with, self.tasks)
         if self.parts > made_with:
             self.fine = -(-self.parts // made_with)
-            self.parts = self.fine * made_with
+            self.parts = self.tasks = self.fine * made_with
             together = max(1, -(-least_row * self.parts * count // total))
             self.merged = self._merge(max(1, -(-count // together)))
 
@@ -205,7 +207,7 @@ class Dictionary:
 
     def dealt(self, rows: DataFrame) -> DataFrame:
         """Rows of one part in one task, side by side; those without a block first."""
-        return spread(rows, self.parts, "part").sortWithinPartitions("part", F.col("block").asc_nulls_first())
+        return spread(rows, self.tasks, "part").sortWithinPartitions("part", F.col("block").asc_nulls_first())
 
     def back(self, answers: DataFrame) -> DataFrame:
         """Answers to ``rows`` as answers to the rows of ``blocks``."""
