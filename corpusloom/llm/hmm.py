@@ -7,15 +7,19 @@ token has its smoothed share of the training counts. The likelihood of a text is
     sum over state paths of  prod  transition * P(class | state)   times   prod  P(token | class),
 
 computed exactly by the scaled forward recursion. Token counts come from all training texts, joined to the documents block by
-block (see ``blocks``). Baum-Welch starts from parameters found on a small sample; each further iteration runs over all training
-sequences: blocks add up expected counts, groups of blocks add those up, and only the groups' sums reach the driver.
+block (see ``blocks``). Baum-Welch starts from states that are groups of classes with like neighbours, as counted in all training
+sequences, and each iteration runs over all of them: blocks add up counts, groups of blocks add those up, and only the groups' sums
+reach the driver.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,8 +34,10 @@ STATES = 6
 OWN, SHARED = 2048, 1024
 #: How the last bytes are cut: enough to tell endings apart.
 TAIL = 3
-#: Sums of expected counts that reach the driver at most.
-FEW = 32
+#: Classes are counted by their neighbours' class modulo this. The most frequent tokens have the lowest classes, so they differ in it.
+NEAR = 64
+#: Sums of counts that reach the driver at most.
+FEW = 8
 
 
 def tokens_of(text: bytes) -> list[bytes]:
@@ -108,34 +114,45 @@ def forward(model: Model, classes: np.ndarray, ends: np.ndarray, backward: bool
     return start, move * model.move, emit, float(logs.sum())
 
 
-def initial(sequences: list[np.ndarray], classes: int, states: int, rounds: int = 12) -> Model:
-    """Baum-Welch on a few sequences, from a start in which states differ by the sequences that they emit."""
-    rng = np.random.default_rng(3)
-    if not sequences:
-        return Model.from_counts(np.ones(states), np.ones((states, states)), np.ones((classes, states)))
-    # split sequences by their most telling classes: k-means on square roots of class shares
-    shares = np.sqrt(np.stack([np.bincount(s, minlength=classes) / len(s) for s in sequences]))
-    centres = shares[rng.choice(len(shares), states, replace=len(shares) < states)] + 1e-3 * rng.random((states, classes))
-    for _ in range(8):
-        near = (shares @ centres.T - 0.5 * (centres**2).sum(1)).argmax(1)
-        centres = np.stack([shares[near == s].mean(0) if (near == s).any() else centres[s] for s in range(states)])
-    total = np.stack([centres[s] ** 2 for s in range(states)], 1) + 1e-4
-    sizes = np.bincount(near, minlength=states) + 1.0
-    model = Model.from_counts(sizes, 50.0 * np.eye(states) + 1, total * 1000 * (1 + 0.2 * rng.random(total.shape)))
-    flat, ends = np.concatenate(sequences), np.cumsum([len(s) for s in sequences])
+def neighbours(classes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per class: how often the class modulo ``NEAR`` comes next in a sequence, how often before, and how often the class occurs."""
+    follows = np.ones(len(classes), bool)
+    follows[ends - 1] = False
+    at = np.flatnonzero(follows)
+    one, two = classes[at].astype(np.int64), classes[at + 1].astype(np.int64)
+    after, before = (np.bincount(a * NEAR + b % NEAR, minlength=(OWN + SHARED) * NEAR).reshape(-1, NEAR) for a, b in ((one, two), (two, one)))
+    return after, before, np.bincount(classes, minlength=OWN + SHARED)
+
+
+def initial(after: np.ndarray, before: np.ndarray, times: np.ndarray, states: int, rounds: int = 30) -> Model:
+    """A start from the ``neighbours`` of all sequences: k-means on square roots of shares, where a class weighs what it occurs.
+
+    A state emits the classes of its group by their counts and three tenths of the others', and mostly follows itself.
+    """
+    near, weight = np.concatenate([after, before], 1), times[:, None]
+    shares = np.sqrt((near + near.sum(0) / max(1, near.sum())) / (near.sum(1, keepdims=True) + 1))
+    # the heaviest class far from the mean first, then those far from all before
+    apart = ((shares - (weight * shares).sum(0) / max(1, times.sum())) ** 2).sum(1)
+    centres = np.zeros((states, shares.shape[1]))
+    for s in range(states):
+        centres[s] = shares[(times * apart).argmax()]
+        apart = np.minimum(apart if s else np.inf, ((shares - centres[s]) ** 2).sum(1))
     for _ in range(rounds):
-        model = Model.from_counts(*forward(model, flat, ends, backward=True)[:3])
-    return model
+        group = (shares @ centres.T - 0.5 * (centres**2).sum(1)).argmax(1)
+        centres = np.stack([(weight * shares)[group == s].sum(0) / n if (n := times[group == s].sum()) else centres[s] for s in range(states)])
+    emit = weight * np.where(group[:, None] == np.arange(states), 1.0, 0.3)
+    # states that begin alike would stay alike
+    emit *= 1 + 0.2 * np.random.default_rng(3).random(emit.shape)
+    return Model.from_counts(np.ones(states), 50.0 * np.eye(states) + 1, emit)
 
 
-def hmm_score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_on: Column | None = None, states: int = STATES, iterations: int = 2, sample_tokens: int = 60_000, entries: int = ENTRIES) -> DataFrame:
+def hmm_score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_on: Column | None = None, states: int = STATES, iterations: int = 4, entries: int = ENTRIES) -> DataFrame:
     """One row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities).
 
     ``train_on`` (of the id column; all rows, if None) tells the rows that are learned from; held_out is the rest. base_score
-    is the add-one unigram model's. Null and empty texts are just their end. ``sample_tokens`` bounds the sample on which
-    Baum-Welch starts; its ``iterations`` and all counts use every training row. Null ids follow ``train_on`` as it evaluates
-    (null: held out); rows that share an id are scored each. Other columns are ignored; an empty table gives an empty result.
-    ``entries``: see ``blocks``.
+    is the add-one unigram model's. Null and empty texts are just their end. The start of Baum-Welch, each of its ``iterations``
+    and all counts use every training row. Null ids follow ``train_on`` as it evaluates (null: held out); rows that share an id
+    are scored each. Other columns are ignored; an empty table gives an empty result. ``entries``: see ``blocks``.
     """
     spark = df.sparkSession
     flag = F.lit(True) if train_on is None else F.coalesce(train_on, F.lit(False))
@@ -224,18 +241,18 @@ def hmm_score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tra
 
         log = np.log10(n + 1.0)
         inside = np.where(classes < OWN, 0.0, log - np.log10(size[classes].sum(1) + 1.0))
-        cols = [pa.array([squeeze(ids, flags, ends, classes[numbers])], pa.binary()), pa.array([int((flags & LEARN).sum())]), sums((n > 0).astype(np.int64)), sums(log - np.log10(n_all + v_all + 1.0)), sums(inside)]
-        yield pa.RecordBatch.from_arrays(cols, names=["docs", "learned", "known", "base", "inside"])
+        cols = [pa.array([squeeze(ids, flags, ends, classes[numbers])], pa.binary()), sums((n > 0).astype(np.int64)), sums(log - np.log10(n_all + v_all + 1.0)), sums(inside)]
+        yield pa.RecordBatch.from_arrays(cols, names=["docs", "known", "base", "inside"])
 
-    ready = with_answers(blocks, pieces_of.back(answered(both, answer)), rows_of, "docs binary, learned long, known array<long>, base array<double>, inside array<double>")
+    ready = with_answers(blocks, pieces_of.back(answered(both, answer)), rows_of, "docs binary, known array<long>, base array<double>, inside array<double>")
     ready = written(ready, "lm-sequences")
-    final = spark.sparkContext.broadcast(trained(ready, states, iterations, sample_tokens))
+    final = spark.sparkContext.broadcast(trained(ready, states, iterations))
 
     def score(batches):
         for batch in batches:
             for row in range(batch.num_rows):
                 (ids, flags, ends, classes), _ = unsqueeze(batch.column(0)[row].as_py())
-                known, base, inside = (batch.column(c)[row].values for c in (2, 3, 4))
+                known, base, inside = (batch.column(c)[row].values for c in (1, 2, 3))
                 logs = forward(final.value, classes, ends) / np.log(10) + inside.to_numpy()
                 sizes = np.diff(ends, prepend=0).astype(np.int64)
                 cols = [ids_of(ids, flags), pa.array(flags & LEARN == 0), pa.array(sizes), known, base, pa.array(logs)]
@@ -245,84 +262,55 @@ def hmm_score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tra
     return out.select(F.col("_id").alias(id_col), *[F.col(c).alias(free_name(c, [id_col])) for c in ("held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")])
 
 
-def training_part(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """ids, ends and classes of a block's training sequences."""
-    (ids, flags, ends, classes), _ = unsqueeze(data)
+def training_part(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Classes and ends of a block's training sequences."""
+    (_, flags, ends, classes), _ = unsqueeze(data)
     keep = flags & LEARN > 0
     sizes = np.diff(ends, prepend=0)
-    return ids.view(np.int64)[keep], np.cumsum(sizes[keep]), classes[np.repeat(keep, sizes)]
+    return classes[np.repeat(keep, sizes)], np.cumsum(sizes[keep])
 
 
-def start_sample(ready: DataFrame, sample_tokens: int, sequences: int = 2000) -> list[np.ndarray]:
-    """Training sequences of ``sample_tokens`` tokens altogether, or a little more, by a hash of id and classes.
-
-    A rate from the number of training texts leaves about ``sequences`` of any input to be ordered. Of a text longer than a
-    twentieth of the sample a stretch from a hashed place is taken; texts under 20 tokens come last.
-    """
-    longest = max(1, sample_tokens // 20)
-    rate = min(1.0, sequences / max(1, ready.agg(F.sum("learned")).first()[0] or 0))
-
-    def some(batches):
-        for batch in batches:
-            for data in batch.column(0).to_pylist():
-                ids, ends, classes = training_part(data)
-                found = []
-                for i, a, b in zip(ids.tolist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                    draw = xxhash.xxh64_intdigest(classes[a:b].tobytes(), i & 0xFFFFFFFF) >> 1
-                    if draw < rate * 2**63:
-                        at = a + draw % max(1, b - a - longest + 1)
-                        found.append((b - a < 20, draw, classes[at : min(b, at + longest)].tobytes()))
-                cols = list(zip(*found, strict=True)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.bool_(), pa.int64(), pa.binary()), strict=True)], names=["short", "draw", "sequence"])
-
-    sample, size = [], 0
-    for r in ready.select("docs").mapInArrow(some, "short boolean, draw long, sequence binary").orderBy("short", "draw", "sequence").limit(sequences).collect():
-        if size < sample_tokens:
-            sample.append(np.frombuffer(r.sequence, np.int32))
-            size += len(sample[-1])
-    return sample
-
-
-def trained(ready: DataFrame, states: int, iterations: int, sample_tokens: int) -> Model:
-    """Baum-Welch: first on a bounded sample of sequences, then over all of them."""
+def trained(ready: DataFrame, states: int, iterations: int) -> Model:
+    """Baum-Welch, its start included, over all training sequences."""
     spark = ready.sparkSession
-    model = initial(start_sample(ready, sample_tokens), OWN + SHARED, states)
     blocks = max(1, ready.count())
+    model = initial(*_summed(ready, neighbours, blocks, [(OWN + SHARED, NEAR), (OWN + SHARED, NEAR), (OWN + SHARED,)]), states)
     for _ in range(iterations):
-        model = Model.from_counts(*_expected(ready, spark.sparkContext.broadcast(model), blocks, states))
+        sent = spark.sparkContext.broadcast(model)
+        expected = _summed(ready, lambda *part, sent=sent: forward(sent.value, *part, backward=True)[:3], blocks, [(states,), (states, states), (OWN + SHARED, states)])
+        model = Model.from_counts(*expected)
     return model
 
 
-def _expected(ready: DataFrame, sent, blocks: int, states: int) -> list[np.ndarray]:
-    """Expected counts over all training sequences: summed in tasks, then twice in groups, at last the sums of a few groups on the driver."""
-    shapes = [(states,), (states, states), (OWN + SHARED, states)]
+def _summed(ready: DataFrame, counts_of: Callable, blocks: int, shapes: list[tuple[int, ...]]) -> list[np.ndarray]:
+    """Counts (of these shapes) over all training sequences: summed in tasks, then twice in groups, at last the sums of a few groups on the driver."""
     cuts = np.cumsum([int(np.prod(s)) for s in shapes])
     groups = int(np.ceil(np.sqrt(blocks)))
 
     def batch_of(group: int, total: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["g", "sums"])
+        return pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([zstandard.compress(total.tobytes())], pa.binary())], names=["g", "sums"])
 
-    def expect(batches):
+    def count(batches):
         total = np.zeros(cuts[-1])
         for batch in batches:
             for data in batch.column(0).to_pylist():
-                _, ends, classes = training_part(data)
+                classes, ends = training_part(data)
                 if len(ends):
-                    total += np.concatenate([x.ravel() for x in forward(sent.value, classes, ends, backward=True)[:3]])
+                    total += np.concatenate([x.ravel() for x in counts_of(classes, ends)])
         yield batch_of(TaskContext.get().partitionId() % groups, total)
 
     def add(batches):
         total, group = np.zeros(cuts[-1]), None
         for batch in batches:
             for g, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                total += np.frombuffer(data)
+                total += np.frombuffer(zstandard.decompress(data))
                 group = g
         if group is not None:
             yield batch_of(group % FEW, total)
 
-    sums = ready.select("docs").mapInArrow(expect, "g int, sums binary").repartition(groups, "g").mapInArrow(add, "g int, sums binary")
+    sums = ready.select("docs").mapInArrow(count, "g int, sums binary").repartition(groups, "g").mapInArrow(add, "g int, sums binary")
     if groups > FEW:
         sums = sums.repartition(FEW, "g").mapInArrow(add, "g int, sums binary")
     sums = sums.select("sums").collect()
-    total = np.sum([np.frombuffer(r.sums) for r in sums], axis=0) if sums else np.zeros(cuts[-1])
+    total = np.sum([np.frombuffer(zstandard.decompress(r.sums)) for r in sums], axis=0) if sums else np.zeros(cuts[-1])
     return [x.reshape(s) for x, s in zip(np.split(total, cuts[:-1]), shapes, strict=True)]

@@ -179,6 +179,32 @@ def test_hmm_awkward_and_empty(spark):
     assert hmm.tokens_of(b"") == [b"\n"]
 
 
+def test_hmm_starts_on_all_training_texts(spark):
+    """Short texts, and what stands late in a long one, shape the start as any other token: a sample of long texts misses them."""
+    rng = random.Random(5)
+    some = lambda letters, n: " ".join(rng.choice(letters) for _ in range(n))
+    rows = [(7 * k, some("abcdefgh", 100)) for k in range(1000)] + [(7 * k + 1, some("stuvwxyz", 10)) for k in range(1000)] + [(7 * k + 2, some("stuvwxyz", 10)) for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for iterations in (0, 1):
+        held = [r for r in hmm_score(df, train_on=F.col("doc_id") % 7 != 2, states=2, iterations=iterations).collect() if r.held_out]
+        assert len(held) == 20 and sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_neighbours_by_brute_force():
+    rng = np.random.default_rng(6)
+    sequences = [rng.integers(0, hmm.OWN + hmm.SHARED, n) for n in (1, 40, 1, 1, 700, 2)]
+    after, before, times = Counter(), Counter(), Counter()
+    for s in sequences:
+        times.update(s.tolist())
+        for a, b in zip(s[:-1].tolist(), s[1:].tolist(), strict=True):
+            after[a, b % hmm.NEAR] += 1
+            before[b, a % hmm.NEAR] += 1
+    found = hmm.neighbours(np.concatenate(sequences).astype(np.int32), np.cumsum([len(s) for s in sequences]))
+    for counted, expected in zip(found[:2], (after, before), strict=True):
+        assert {(int(i), int(j)): int(counted[i, j]) for i, j in np.argwhere(counted)} == expected
+    assert {int(i): int(found[2][i]) for i in np.flatnonzero(found[2])} == times
+
+
 LANGUAGES = {"xx": "akolumi", "yy": "ştrœnßd", "zz": "qwxvyzj"}
 
 
