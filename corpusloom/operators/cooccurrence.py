@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.tokens import PAD
+from corpusloom.operators.blocks import window_pair_sums
 from corpusloom.operators.windows import concept_windows
 
 
@@ -27,10 +28,7 @@ def _position_pairs(tokens: Column, reach: int, weight) -> Column:
 
 def window_pairs(docs: DataFrame, width: int, keys: Iterable[str] = ("document_id",), tokens: str = "tokens", pad: str = PAD) -> DataFrame:
     """Keys, w1 < w2, value. Pads hold their place but do not pair; a token does not pair with itself."""
-    both = lambda p, q, n: (F.least(n - 1, p + width) - F.greatest(F.lit(0), q - width) + 1).cast("long")
-    rows = docs.select(*keys, F.explode(_position_pairs(F.col(tokens), 2 * width, both)).alias("_p"))
-    rows = rows.where((F.col("_p.a") != F.col("_p.b")) & (F.col("_p.a") != pad) & (F.col("_p.b") != pad))
-    return rows.groupBy(*keys, F.least("_p.a", "_p.b").alias("w1"), F.greatest("_p.a", "_p.b").alias("w2")).agg(F.sum("_p.v").alias("value"))
+    return window_pair_sums(docs, width, keys, tokens, pad)
 
 
 def window_counts(docs: DataFrame, width: int, keys: Iterable[str] = ("document_id",), tokens: str = "tokens", pad: str = PAD) -> DataFrame:
