@@ -11,8 +11,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.sources.scratch import written
-
 
 def _ln(x: Column) -> Column:
     """Natural logarithm clipped at 1e-10."""
@@ -72,26 +70,27 @@ def significance(coo: DataFrame, metric: str | Callable, keys: list[str] = (), w
     keys = list(keys)
     fn = METRICS[metric] if isinstance(metric, str) else metric
     c = F.col("value").cast("double")
-    # pairs are read for three totals; counting them again each time would cost far more than writing them
-    coo = written(coo.where("value <> 0"), "pairs")
-    total = coo.groupBy(*keys).agg(F.sum(c).alias("_z"))
-    sides = coo.select(*keys, F.col("w1").alias("w"), c.alias("v"))
-    if symmetric:
-        sides = sides.unionByName(coo.select(*keys, F.col("w2").alias("w"), c.alias("v")))
-    sums = sides.groupBy(*keys, "w").agg(F.sum("v").alias("_s"))
-    joined = coo.join(sums.withColumnsRenamed({"w": "w1", "_s": "_a"}), [*keys, "w1"], "left").join(sums.withColumnsRenamed({"w": "w2", "_s": "_b"}), [*keys, "w2"], "left")
-    joined = joined.join(total, keys) if keys else joined.join(total)  # without keys one row
-    joined = joined.join(words.withColumnRenamed("n_words", "_n"), keys) if words is not None else joined.withColumn("_n", F.lit(None).cast("double"))
+    # imported here, as operators import functions
+    from corpusloom.operators.blocks import small, with_word_values
+
+    joined, total = with_word_values(coo if hasattr(coo, "from_parts") else coo.where("value <> 0"), keys, symmetric=symmetric)  # sums of windows are never 0
+    joined = joined.join(small(total, "totals"), keys) if keys else joined.join(F.broadcast(total))  # without keys one row
+    joined = joined.join(small(words.withColumnRenamed("n_words", "_n"), "words"), keys) if words is not None else joined.withColumn("_n", F.lit(None).cast("double"))
     at = [F.coalesce(F.col(x), F.lit(0.0)) for x in ("_a", "_b")]
     weight = fn(c, F.col("_z"), *at, F.col("_n").cast("double"), normalize)
-    finite = F.when(F.isnan(weight) | (F.abs(weight) == float("inf")), F.lit(0.0)).otherwise(F.coalesce(weight, F.lit(0.0)))
-    return joined.select(*keys, "w1", "w2", "value", finite.alias("weight")).where("weight <> 0")
+    # exploded, the weight is worked out once; as a column, once for each mention of it
+    once = joined.select(*keys, "w1", "w2", "value", F.explode(F.array(weight.cast("double"))).alias("_w"))
+    w = F.col("_w")
+    finite = F.when(F.isnan(w) | (F.abs(w) == float("inf")), F.lit(0.0)).otherwise(F.coalesce(w, F.lit(0.0)))
+    return once.select(*keys, "w1", "w2", "value", finite.alias("weight")).where("weight <> 0")
 
 
 def hal_cwr_by_windows(coo: DataFrame, windows: DataFrame, keys: list[str]) -> DataFrame:
     """Common window ratio with true window counts (keys, token, n_windows); undefined and negative become 0."""
-    first, second = windows.withColumnsRenamed({"token": "w1", "n_windows": "_x"}), windows.withColumnsRenamed({"token": "w2", "n_windows": "_y"})
-    joined = coo.join(first, [*keys, "w1"], "left").join(second, [*keys, "w2"], "left")
+    from corpusloom.operators.blocks import with_word_values
+
+    joined, _ = with_word_values(coo, keys, windows.withColumnRenamed("n_windows", "n"))
+    joined = joined.withColumnsRenamed({"_a": "_x", "_b": "_y"})
     ratio = _ratio(F.col("value").cast("double"), F.col("_x") + F.col("_y") - F.col("value"))
     return joined.select(*keys, "w1", "w2", "value", F.greatest(F.coalesce(ratio, F.lit(0.0)), F.lit(0.0)).alias("weight"))
 
@@ -105,4 +104,6 @@ def weigh(full: DataFrame, concept: DataFrame, keys: list[str], column: str = "w
 
 def per_words(coo: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
     """Value over the group's number of words (keys, n_words)."""
-    return coo.join(counts, keys).withColumn("value", F.coalesce(_ratio(F.col("value").cast("double"), F.col("n_words")), F.lit(0.0))).drop("n_words")
+    from corpusloom.operators.blocks import small
+
+    return coo.join(small(counts, "words"), keys).withColumn("value", F.coalesce(_ratio(F.col("value").cast("double"), F.col("n_words")), F.lit(0.0))).drop("n_words")

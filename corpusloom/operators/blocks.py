@@ -19,12 +19,14 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from corpusloom.sources.scratch import written
 
 #: Most tokens, and most pairs, of a block; one document is never cut.
-TOKENS, PAIRS = 3 << 20, 1 << 22
+TOKENS, PAIRS = 3 << 20, 1 << 21
+#: Rows of a table that every task may hold.
+SMALL = 100_000
 #: Rows of an Arrow batch that goes back to Spark.
 BATCH = 1 << 16
 #: Part of the rows that hold a block's own numbers, and of those that hold its sums by key.
@@ -45,6 +47,7 @@ def packed(columns: dict[str, pa.Array]) -> bytes:
         if pa.types.is_integer(a.type) and name.startswith("_") and len(a) and not a.null_count:
             v = a.to_numpy(zero_copy_only=False)
             a = pa.array(v.astype(np.promote_types(np.min_scalar_type(v.min()), np.min_scalar_type(v.max()))))
+        a = a.combine_chunks() if isinstance(a, pa.ChunkedArray) else a
         small[name] = pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
     batch = pa.record_batch(small)
     sink = pa.BufferOutputStream()
@@ -254,4 +257,149 @@ def window_pair_sums(docs: DataFrame, width: int, keys: Iterable[str], tokens: s
         rows = {k: c.take(pa.array(key)) for k, c in zip(keys, columns, strict=True)} | {"w1": words.take(pa.array(lo)), "w2": words.take(pa.array(hi)), "value": pa.array(value)}
         return pa.Table.from_batches(list(_batches(rows)))
 
-    return named.mapInArrow(count, "part int, data binary").groupBy("part").applyInArrow(add, schema)
+    dealt = named.mapInArrow(count, "part int, data binary").groupBy("part")
+    out = dealt.applyInArrow(add, schema)
+    out.from_parts = keys, dealt, add
+    return out
+
+
+def small(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written, and broadcast if its counted rows are few."""
+    kept = written(df, label)
+    return F.broadcast(kept) if kept.count() <= SMALL else kept
+
+
+def _row(block: int, part: int, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    return pa.record_batch({"block": pa.array([block], pa.int64()), "part": pa.array([part], pa.int32()), "data": pa.array([packed(columns)], pa.binary())})
+
+
+def _in_parts(block: int, columns: list[pa.Array], words: pa.Array, more: dict[str, pa.Array], parts: int) -> tuple[np.ndarray, list[pa.RecordBatch]]:
+    """A row for each part of (keys, word); the order in which the parts have them."""
+    key, firsts = _tuples(columns, len(words))
+    hashes = _key_hashes([c.take(pa.array(firsts)) for c in columns], len(firsts))
+    part = (_mixed(_hashes(words) ^ hashes[key]) % np.uint64(parts)).astype(np.int16)
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else []
+    every = {"words": words} | {f"k{i}": c for i, c in enumerate(columns)} | more
+    every = {name: a.take(pa.array(order)) for name, a in every.items()}
+    rows = [_row(block, int(part[s]), {name: a.slice(s, e - s) for name, a in every.items()}) for s, e in zip(starts, [*starts[1:], len(part)], strict=True)]
+    return order, rows
+
+
+def _block_rows(table: pa.Table, keys: list[str], block: int, symmetric: bool, parts: int) -> Iterator[pa.RecordBatch]:
+    n, value = table.num_rows, _whole(table.column("value"))
+    c = value.cast(pa.float64()).fill_null(0.0).to_numpy(zero_copy_only=False)
+    columns = [_whole(table.column(f"_k{i}")) for i in range(len(keys))]
+    key, firsts = _tuples(columns, n)
+    columns = [x.take(pa.array(firsts)) for x in columns]
+    yield _row(block, TOTALS, {"_s": pa.array(np.bincount(key, c, len(firsts)))} | {f"k{i}": x for i, x in enumerate(columns)})
+    words, (first, second) = _numbered([_whole(table.column("w1")), _whole(table.column("w2"))])
+    used, at = np.unique(np.concatenate([key * len(words) + first, key * len(words) + second]), return_inverse=True)
+    sums = np.bincount(at[:n], c, len(used)) + (np.bincount(at[n:], c, len(used)) if symmetric else 0.0)
+    key, word = np.divmod(used, len(words))
+    order, rows = _in_parts(block, [x.take(pa.array(key)) for x in columns], words.take(pa.array(word)), {"_s": pa.array(sums)}, parts)
+    yield from rows
+    place = np.empty(len(used), np.int64)
+    place[order] = np.arange(len(used))
+    own = {"_first": pa.array(place[at[:n]]), "_second": pa.array(place[at[n:]]), "_v": value, "_word": pa.array(word[order]), "words": words}
+    if columns:
+        own |= {"_key": pa.array(key[order])} | {f"k{i}": x for i, x in enumerate(columns)}
+    yield _row(block, OWN, own)
+
+
+def with_word_values(coo: DataFrame, keys: list[str], values: DataFrame | None = None, symmetric: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(keys, w1, w2, value, _a, _b), (keys, _z): pairs with a value of either word, null if there is none, and the sums of ``value`` by key.
+
+    ``values``: keys, token, n, each word once a key. Without it a word's value is the sum of its pairs where it is w1 (``symmetric``: or w2).
+    Only the distinct words of a block of pairs are shuffled, not its pairs. Sums of ``window_pair_sums`` with the same keys become blocks
+    where they are made.
+    """
+    kinds = [coo.schema[k].dataType for k in keys]
+    named = coo.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "w1", "w2", "value")
+    parts = parts_for(named, 8 << 20)
+    given = values is not None
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for i, table in enumerate(_blocks(batches, lambda b: np.ones(b.num_rows, np.int64), PAIRS)):
+            yield from _block_rows(table, keys, TaskContext.get().partitionId() << 32 | i, symmetric, parts)
+
+    def split_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _blocks(batches, lambda b: np.ones(b.num_rows, np.int64), PAIRS):
+            yield from _in_parts(-1, [_whole(table.column(f"_k{i}")) for i in range(len(keys))], _whole(table.column("token")), {"_s": _whole(table.column("n"))}, parts)[1]
+
+    def answer(table: pa.Table) -> pa.Table:
+        blocks = table.column("block").to_pylist()
+        got = [unpacked(d.as_buffer()) for d in table.column("data").combine_chunks()]
+        sizes = [len(g["words"]) for g in got]
+        words, of = _numbered([g["words"] for g in got])
+        code, known = np.concatenate(of), pc.is_valid(pa.concat_arrays([g["words"] for g in got])).to_numpy(zero_copy_only=False)
+        for i in range(len(keys)):
+            column = pa.concat_arrays([g[f"k{i}"] for g in got])
+            key, firsts = _tuples([column], len(column))
+            code = np.unique(code * len(firsts) + key, return_inverse=True)[1]
+            known &= pc.is_valid(column).to_numpy(zero_copy_only=False)
+        s = np.concatenate([g["_s"].cast(pa.float64()).to_numpy(zero_copy_only=False) for g in got])
+        size = int(code.max()) + 1
+        if given:
+            told = np.repeat(np.array(blocks) < 0, sizes)
+            total, has = np.zeros(size), np.zeros(size, bool)
+            total[code[told]], has[code[told]] = s[told], True
+        else:
+            total, has = np.bincount(code, s, size), np.ones(size, bool)
+        answers = zip(blocks, np.split(total[code], np.cumsum(sizes)[:-1]), np.split(has[code] & known, np.cumsum(sizes)[:-1]), strict=True)
+        part = table.column("part")[0].as_py()
+        rows = [_row(b, part, {"x": pa.array(x), "_ok": pa.array(ok.astype(np.uint8))}) for b, x, ok in answers if b >= 0]
+        return pa.Table.from_batches(rows, pa.schema({"block": pa.int64(), "part": pa.int32(), "data": pa.binary()}))
+
+    names = [*keys, "w1", "w2", "value", "_a", "_b"]
+
+    def join(table: pa.Table) -> pa.Table:
+        part = _numbers(table.column("part").combine_chunks())
+        got = [unpacked(table.column("data")[int(i)].as_buffer()) for i in np.argsort(part)]
+        own, answers = got[0], got[1:]
+        x = np.concatenate([a["x"].to_numpy() for a in answers])
+        missing = np.concatenate([a["_ok"].to_numpy() for a in answers]) == 0
+        first, second, word = _numbers(own["_first"]), _numbers(own["_second"]), _numbers(own["_word"])
+        of = _numbers(own["_key"])[first] if keys else None
+        rows = {k: own[f"k{i}"].take(pa.array(of)) for i, k in enumerate(keys)}
+        rows |= {"w1": own["words"].take(pa.array(word[first])), "w2": own["words"].take(pa.array(word[second])), "value": own["_v"].cast(value_type)}
+        rows |= {"_a": pa.array(x[first], mask=missing[first]), "_b": pa.array(x[second], mask=missing[second])}
+        return pa.Table.from_batches(list(_batches({name: rows[name] for name in names})))
+
+    value_type = _arrow_type(coo, "value")
+    made_by, dealt, add = getattr(coo, "from_parts", (None, None, None))
+    if made_by == keys:
+
+        def split_part(table: pa.Table) -> pa.Table:
+            rows, part = add(table), table.column("part")[0].as_py()
+            rows = rows.rename_columns([*[f"_k{i}" for i in range(len(keys))], "w1", "w2", "value"])
+            made = (r for i in range(0, rows.num_rows, PAIRS) for r in _block_rows(rows.slice(i, PAIRS), keys, part << 32 | i, symmetric, parts))
+            return pa.Table.from_batches(list(made))
+
+        table = written(dealt.applyInArrow(split_part, ROW), "blocks")
+    else:
+        table = written(named.mapInArrow(split, ROW), "blocks")
+    asked = table.where("part >= 0")
+    if given:
+        told = values.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "token", "n").where("n is not null")
+        asked = asked.unionByName(told.mapInArrow(split_values, ROW))
+    answers = asked.groupBy("part").applyInArrow(answer, ROW)
+    schema = StructType([*[StructField(k, t) for k, t in zip(keys, kinds, strict=True)], *[StructField(w, StringType()) for w in ("w1", "w2")], StructField("value", coo.schema["value"].dataType), StructField("_a", DoubleType()), StructField("_b", DoubleType())])
+    joined = table.where(F.col("part") == OWN).unionByName(answers).groupBy("block").applyInArrow(join, schema)
+
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column("data"):
+                got = unpacked(data.as_buffer())
+                yield pa.record_batch({k: got[f"k{i}"] for i, k in enumerate(keys)} | {"_z": got["_s"]})
+
+    of_keys = StructType([*[StructField(k, t) for k, t in zip(keys, kinds, strict=True)], StructField("_z", DoubleType())])
+    sums = table.where(F.col("part") == TOTALS).mapInArrow(totals, of_keys).groupBy(*keys).agg(F.sum("_z").alias("_z"))
+    return joined, sums
+
+
+def _arrow_type(df: DataFrame, column: str) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(df.schema[column].dataType)

@@ -113,8 +113,8 @@ for _metric, _sql in _METRICS.items():
 
     @query(f"key_{_metric.lower()}", None if _metric.startswith("LLR") else f"WITH {_SUMS}, m AS (SELECT lang, w1, w2, value, coalesce({_sql}, 0) AS weight FROM j) SELECT lang, w1, w2, value, round(weight, 5) AS weight FROM m WHERE weight <> 0")
     def key_metric(spark, d, metric=_metric):
-        arrays = token_arrays(spark, d)
-        words = arrays.groupBy("lang").agg(F.sum(F.size("tokens")).alias("n_words"))
+        # the other metrics do not ask for numbers of words
+        words = token_arrays(spark, d).groupBy("lang").agg(F.sum(F.size("tokens")).alias("n_words")) if metric == "LLR_N" else None
         return ky.significance(_by_lang(spark, d), metric, ["lang"], words).withColumn("weight", F.round("weight", 5))
 
 

@@ -1,11 +1,13 @@
 """Pairs counted and joined block by block: whole results, and nothing shuffled for each pair."""
 
 import random
+import re
 from collections import Counter
 
 import pyarrow as pa
 import pytest
 
+from corpusloom.functions import keyness as ky
 from corpusloom.operators import blocks
 from corpusloom.operators import cooccurrence as co
 from corpusloom.plans import catalogue
@@ -67,3 +69,51 @@ def test_all_pairs_of_one_word_are_dealt_to_several_parts():
     none = blocks.np.zeros(100, blocks.np.uint64)
     assert len(set(blocks._part_of_pairs(words, lo, hi, none, 64).tolist())) > 30
     assert 1 < len(set(blocks._part_of_pairs(words, hi, lo + 101, none, 64).tolist())) <= 4
+
+
+PAIRS = [("x", "a", "b", 3), ("x", "a", "c", 1), ("x", "b", "c", 5), ("y", "a", "b", 2), ("y", "b", "z", 0), (None, "a", "b", 9), ("y", "c", "d", None), ("x", "é", "𝄞", 4)]
+
+
+@pytest.mark.parametrize("most", [1, 3, 1 << 20])
+@pytest.mark.parametrize("symmetric", [False, True])
+@pytest.mark.parametrize("kind", ["long", "double"])
+def test_sums_of_words_over_small_blocks(spark, monkeypatch, most, symmetric, kind):
+    monkeypatch.setattr(blocks, "PAIRS", most)
+    rows = [(*r[:3], r[3] if r[3] is None or kind == "long" else r[3] + 0.5 if r[3] else 0.0) for r in PAIRS]
+    coo = spark.createDataFrame(rows, f"lang string, w1 string, w2 string, value {kind}")
+    found = ky.significance(coo, lambda c, z, a, b, n, normalize: a * 1e6 + b * 1e3 + z, ["lang"], symmetric=symmetric).collect()
+    z, s = Counter(), Counter()
+    for lang, w1, w2, v in rows:
+        z[lang] += v or 0
+        s[lang, w1] += v or 0
+        s[lang, w2] += (v or 0) * symmetric
+    expected = {(g, a, b, v): s[g, a] * 1e6 + s[g, b] * 1e3 + z[g] for g, a, b, v in rows if v and g}
+    assert {tuple(r)[:4]: r.weight for r in found} == pytest.approx(expected) and len(found) == len(expected)
+
+
+def test_values_given_for_words(spark):
+    coo = spark.createDataFrame(PAIRS, "lang string, w1 string, w2 string, value long")
+    windows = spark.createDataFrame([("x", "a", 4), ("x", "b", 6), ("x", "c", None), ("y", "a", 2), ("y", "b", 5), (None, "a", 9), (None, "b", 9), ("w", "a", 1)], "lang string, token string, n_windows long")
+    found = {tuple(r)[:4]: r.weight for r in ky.hal_cwr_by_windows(coo, windows, ["lang"]).collect()}
+    assert found == pytest.approx({r: {("x", "a", "b", 3): 3 / 7, ("y", "a", "b", 2): 2 / 5}.get(r, 0.0) for r in PAIRS})
+
+
+def test_keys_of_sums_and_of_keyness_may_differ(spark):
+    docs = spark.createDataFrame(some_docs(), "document_id long, lang string, tokens array<string>").where("lang is not null")
+    per_document = co.window_pairs(docs, 2, ("document_id", "lang"))
+    found = ky.significance(per_document, lambda c, z, a, b, n, normalize: z + a / 1e6, ["lang"])
+    kept = ky.significance(per_document.select("*"), lambda c, z, a, b, n, normalize: z + a / 1e6, ["lang"])
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, kept.collect()))
+
+
+@pytest.mark.parametrize("name", ["key_llr", "key_llr_n", "key_llr_z", "key_dice", "key_ppmi", "key_hal_cwr", "key_per_words"])
+def test_keyness_shuffles_words_of_blocks_but_no_pairs(spark, tmp_path, name):
+    spark.createDataFrame([(i, "the cat and the dog " * 5, "en", "a") for i in range(5)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = catalogue.QUERIES[name](spark, str(tmp_path))
+    assert not [line for line in exchanges(df) if "w1#" in line or "w2#" in line or "lang#" in line]
+
+
+def test_a_weight_is_worked_out_once(spark):
+    coo = spark.createDataFrame(PAIRS, "lang string, w1 string, w2 string, value long")
+    plan = ky.significance(coo, "LLR", ["lang"])._jdf.queryExecution().executedPlan().toString()
+    assert max(len(re.findall(r"LOG\(|ln\(", line, re.I)) for line in plan.splitlines()) <= 9
