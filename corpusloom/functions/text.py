@@ -6,6 +6,7 @@ or ``key?[a,b]``; ``-`` and ``_`` in keys mean the same.
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from collections.abc import Callable
 
@@ -160,15 +161,20 @@ def dedent(x: Column) -> Column:
     return F.array_join(F.transform(F.split(x, "\n", -1), strip), "\n")
 
 
-@TEXT.register("strip-accents,fix-accents,remove-accents")
-def strip_accents(x: Column) -> Column:
-    """Decomposes and drops what is not ASCII."""
+def _ascii_of() -> tuple[str, str]:
+    """Characters whose canonical decomposition begins with an ASCII character, and those characters."""
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c)).encode("ascii", "ignore").decode()) for c in range(128, sys.maxunicode + 1) if not 0xD800 <= c < 0xE000 and unicodedata.decomposition(chr(c))]
+    pairs = [(c, to) for c, to in pairs if to]
+    if any(len(to) > 1 for _, to in pairs):
+        raise ValueError("a character decomposes to several ASCII characters")
+    return "".join(c for c, _ in pairs), "".join(to for _, to in pairs)
 
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: unicodedata.normalize("NFD", t).encode("ascii", "ignore").decode(), na_action="ignore")
 
-    return run(x)
+@TEXT.register("strip-accents,fix-accents,remove-accents")
+def strip_accents(x: Column) -> Column:
+    """Decomposes and drops what is not ASCII; character by character, without Python."""
+    found, ascii_of = _ascii_of()
+    return F.when(x.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.translate(x, found, ascii_of), r"[^\x00-\x7F]+", "")).otherwise(x)
 
 
 @TEXT.register("normalize-unicode")
