@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from corpusloom.operators.index import dense_ids
 
@@ -12,14 +13,21 @@ PADDING, LOW_TF = "*", "__low-tf__"
 
 
 def term_counts(tokens: DataFrame) -> DataFrame:
-    """Token, tf, and where it first occurs."""
-    return tokens.groupBy("token").agg(F.count(F.lit(1)).alias("tf"), F.min(F.struct("document_id", "pos")).alias("_first"))
+    """Token, tf, and where it first occurs.
+
+    A place is one number if ids are whole numbers: Spark sums up numbers in hash tables, but sorts all tokens for a least struct.
+    """
+    place = F.struct("document_id", "pos")
+    if isinstance(tokens.schema["document_id"].dataType, IntegralType):
+        place = F.col("document_id").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)") + F.col("pos").cast("decimal(11,0)")
+    return tokens.groupBy("token").agg(F.count(F.lit(1)).alias("tf"), F.min(place).alias("_first"))
 
 
 def vocabulary(tokens: DataFrame, first_seen: bool = True) -> DataFrame:
     """token_id, token, tf; ids 0, 1, ... in first-seen order, or in the tokens' order."""
-    counts = term_counts(tokens).select("token", "tf", F.col("_first.document_id").alias("_d"), F.col("_first.pos").alias("_p"))
-    return dense_ids(counts, ["_d", "_p"] if first_seen else ["token"], "token_id").select(F.col("token_id").cast("int").alias("token_id"), "token", "tf")
+    counts = term_counts(tokens)
+    ranked = dense_ids(counts, ["_first"], "token_id") if first_seen else dense_ids(counts.select("token", "tf"), ["token"], "token_id")
+    return ranked.select(F.col("token_id").cast("int").alias("token_id"), "token", "tf")
 
 
 def keeps(threshold: int, keep: tuple[str, ...] = ()) -> Column:

@@ -6,6 +6,7 @@ from collections import Counter
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.functions import keyness as ky
 from corpusloom.operators import blocks
@@ -117,3 +118,47 @@ def test_a_weight_is_worked_out_once(spark):
     coo = spark.createDataFrame(PAIRS, "lang string, w1 string, w2 string, value long")
     plan = ky.significance(coo, "LLR", ["lang"])._jdf.queryExecution().executedPlan().toString()
     assert max(len(re.findall(r"LOG\(|ln\(", line, re.I)) for line in plan.splitlines()) <= 9
+
+
+def test_accents_are_stripped_as_unicode_decomposes_them(spark):
+    import unicodedata
+
+    from corpusloom.functions import text
+
+    every = ["".join(map(chr, range(a, min(a + 4096, 0xD800)))) for a in range(0, 0xD800, 4096)] + ["".join(map(chr, range(a, a + 4096))) for a in range(0xE000, 0x30000, 4096)] + ["", None, "plain", "éé𝄞"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(every)], "i int, text string").select("i", text.strip_accents(F.col("text")).alias("t"))
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+    assert {r.i: r.t for r in df.collect()} == {i: t if t is None else unicodedata.normalize("NFD", t).encode("ascii", "ignore").decode() for i, t in enumerate(every)}
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_first_places_are_found_without_sorting_all_tokens(spark, kind):
+    from corpusloom.operators import vocabulary as vc
+
+    rows = [(3, 0, "c"), (2, 5, "b"), (2, 4, "a"), (-1, 9, "z"), (3, 1, "a"), (2**62, 0, "q"), (-(2**62), 2**31 - 1, "p")]
+    tokens = spark.createDataFrame(rows, "document_id long, pos int, token string").withColumn("document_id", F.col("document_id").cast(kind))
+    found = [r.token for r in vc.vocabulary(tokens).orderBy("token_id").collect()]
+    first = {}
+    for d, p, t in sorted(rows, key=lambda r: (r[0] if kind == "long" else str(r[0]), r[1])):
+        first.setdefault(t, len(first))
+    assert found == sorted(first, key=first.get)
+    if kind == "long":
+        assert "SortAggregate" not in vc.term_counts(tokens)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["agg_vocab_translate", "join_decode"])
+def test_tokens_are_counted_before_they_are_encoded(spark, name):
+    plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    lines = [(len(line) - len(line.lstrip(" :+-")), line) for line in plan.splitlines()]
+    depth = next(d for d, line in lines if "generate" in line.lower())
+    assert any("Aggregate [token" in line for d, line in lines[: next(i for i, (_, x) in enumerate(lines) if "generate" in x.lower())] if d < depth)
+
+
+def test_terms_by_language_shuffle_texts_once(spark):
+    dealt = exchanges(catalogue.QUERIES["topk_terms_by_lang"](spark, "/root/testdata/sf0.001"))
+    assert not [line for line in dealt if "document_id#" in line and "token#" in line]
+
+
+def test_bags_of_orders_are_dealt_in_partitions_that_follow_the_input(spark):
+    plan = catalogue.QUERIES["agg_from_bags"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "l_partkey" not in "".join(line for line in plan.splitlines() if "Exchange hashpartitioning" in line)
