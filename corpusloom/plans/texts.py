@@ -17,7 +17,7 @@ from corpusloom.plans.tables import DTM, TAGGED, TOK, TURNS, documents, orders_d
 @query("topk_terms_by_lang", f"""WITH {TOK}, c AS (SELECT lang, token, count(*) AS tf FROM tok GROUP BY ALL)
 SELECT lang, token, tf, rank FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY tf DESC, token)::INT AS rank FROM c) WHERE rank <= 10""")
 def topk_terms_by_lang(spark, d):
-    tok = tokens(spark, d)
+    tok = tokens(spark, d, by_document=True)
     return Dtm(vectorize(tok), documents(spark, d).drop("text")).top_by_category("lang", 10)
 
 
@@ -219,8 +219,9 @@ SELECT token_id, count(*) AS value FROM tok JOIN n USING (token) GROUP BY token_
 def agg_vocab_translate(spark, d):
     old = vc.vocabulary(tokens(spark, d), first_seen=False)
     new = vc.vocabulary(turns(spark, d).select("document_id", F.posexplode("tokens").alias("pos", "token")), first_seen=False)
-    cells = vc.encode(tokens(spark, d), old).select("document_id", "token_id")
-    return vc.translate(cells, old, new).groupBy(F.col("token_id").cast("long").alias("token_id")).agg(F.count(F.lit(1)).alias("value"))
+    # equal tokens get equal ids: counted first, each travels once
+    cells = vc.encode(vc.term_counts(tokens(spark, d)).select("token", F.col("tf").alias("value")), old).select("token_id", "value")
+    return vc.translate(cells, old, new).groupBy(F.col("token_id").cast("long").alias("token_id")).agg(F.sum("value").alias("value"))
 
 
 @query("agg_encode_ids", f"""WITH {TOK}, v AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS token_id FROM (SELECT token FROM tok GROUP BY token HAVING count(*) >= 20))
@@ -236,7 +237,9 @@ def agg_encode_ids(spark, d):
 def join_decode(spark, d):
     tok = tokens(spark, d)
     vocab = vc.vocabulary(tok, first_seen=False)
-    return vc.decode(vc.encode(tok, vocab).select("token_id"), vocab).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    # equal tokens get equal ids: counted first, each travels once
+    counts = vc.term_counts(tok).select("token", F.col("tf").alias("n"))
+    return vc.decode(vc.encode(counts, vocab).select("token_id", "n"), vocab).groupBy("token").agg(F.sum("n").alias("n"))
 
 
 @query("agg_dtm", f"WITH {TURNS} SELECT document_id, token, count(*) AS value FROM ttok GROUP BY ALL")
