@@ -14,6 +14,8 @@ from pyspark.sql.types import StructField, StructType
 
 from corpusloom.operators.dtm import Dtm
 from corpusloom.operators.index import dense_ids
+from corpusloom.operators.lda_em import model_of, topic_sums
+from corpusloom.sources.scratch import written
 
 
 def kmeans(df: DataFrame, column: str, k: int, seed: int = 1, bisecting: bool = False, random_start: bool = False) -> DataFrame:
@@ -126,13 +128,18 @@ def hierarchical_clusters(df: DataFrame, name: str, column: str, n_top: int, by:
     return top.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(run, "name string, cluster long")
 
 
-def vectors_in(dtm: Dtm, vocab: DataFrame) -> DataFrame:
+def _numbered(dtm: Dtm, vocab: DataFrame) -> DataFrame:
+    """document_id, _p: token numbers and values of a document."""
+    return dtm.cells.join(vocab, "token").groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct(F.col("token_id").cast("int").alias("i"), F.col("value").cast("double").alias("x")))).alias("_p"))
+
+
+def vectors_in(dtm: Dtm, vocab: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """document_id, features: sparse count vectors over a vocabulary (token_id from 0, token) for Spark's estimators.
 
     Spark has no function that makes sparse vectors, but its JSON reader does, so they are made without Python.
     """
     size = vocab.count()
-    pairs = dtm.cells.join(vocab, "token").groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct(F.col("token_id").cast("int").alias("i"), F.col("value").cast("double").alias("x")))).alias("_p"))
+    pairs = _numbered(dtm, vocab) if pairs is None else pairs
     vector = F.struct(F.lit(0).cast("byte").alias("type"), F.lit(size).cast("int").alias("size"), F.transform("_p", lambda p: p["i"]).alias("indices"), F.transform("_p", lambda p: p["x"]).alias("values"))
     made = F.from_json(F.to_json(F.struct(vector.alias("features"))), StructType([StructField("features", VectorUDT())]))
     return pairs.select("document_id", made["features"].alias("features"))
@@ -147,13 +154,22 @@ def document_vectors(dtm: Dtm) -> tuple[DataFrame, DataFrame]:
 def train_topics(dtm: Dtm, k: int = 100, max_iter: int = 20, optimizer: str = "online", seed: int = 1, alpha: float | None = None):
     """(model, vocabulary, vectors).
 
-    "em" goes through all documents in each iteration. "online" draws as many as there are in each, with replacement, so that
+    "em" goes through all documents in each iteration, block by block (``lda_em``); its model is the local one that Spark's gives. "online" draws as many as there are in each, with replacement, so that
     a document is left out of all iterations with a probability of about exp(-max_iter).
     """
-    vectors, vocab = document_vectors(dtm)
+    vocab = written(dense_ids(dtm.cells.select("token").distinct(), ["token"], "token_id"), "vocabulary")
+    pairs = written(_numbered(dtm, vocab), "vectors")  # read in each of the steps that follow
+    vectors = vectors_in(dtm, vocab, pairs)
     lda = LDA(k=k, maxIter=max_iter, optimizer=optimizer, seed=seed, featuresCol="features", subsamplingRate=1.0)
     if alpha:
         lda = lda.setDocConcentration([alpha])
+    if optimizer == "em":
+        prior, eta = alpha or 50 / k + 1, 1.1  # as Spark has them
+        if prior <= 1:
+            raise ValueError("the em optimizer takes document concentrations above 1")
+        docs = pairs.select(F.transform("_p", lambda p: p["i"]).alias("_i"), F.transform("_p", lambda p: p["x"]).alias("_x"))
+        topics = topic_sums(docs, vocab.count(), k, max_iter, seed, prior, eta)
+        return model_of(docs.sparkSession, topics, seed, prior, eta), vocab, vectors
     return lda.fit(vectors), vocab, vectors
 
 
